@@ -1,0 +1 @@
+"""textloom: Spark-native preparation and analysis of document corpora."""
