@@ -184,8 +184,8 @@ def oracle(epochs: int = 2, table: str = "documents", columns: str | None = None
 
 def crc_table(table: str) -> str:
     """``table`` with ``crc``, the CRC-32 of its texts, which DuckDB lacks."""
-    return f"""SELECT *, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+    return f"""SELECT d.*, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
                        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
-               FROM {table}, (SELECT list(c ORDER BY i) AS t FROM (
+               FROM {table} d, (SELECT list(c ORDER BY i) AS t FROM (
                     SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END, i::BIGINT) AS c
                     FROM range(256) r(i)))"""

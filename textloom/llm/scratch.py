@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
         path = sc.getCheckpointDir()
-    return path.rstrip("/")
+    # With its scheme, so that Python on the executors resolves it as Spark does.
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
