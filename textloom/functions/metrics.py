@@ -34,14 +34,16 @@ LEXICAL = (
     "type_token_ratio", "hapax_ratio", "dislegomena_ratio", "unique_words", "guiraud_r", "herdan_c", "dugast_u", "sichel_s",
     "brunet_w", "honore_r", "maas_ttr", "yule_k", "simpson_d", "entropy_words", "stopword_ratio", "long_word_ratio", "short_word_ratio",
 )
-COUNTS = {
-    "n_chars": None, "n_letters": r"\p{L}", "n_upper": r"\p{IsUppercase}", "n_lower": r"\p{IsLowercase}",
-    "n_digits": r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "n_spaces": " ", "n_tabs": r"\t", "n_newlines": r"\n",
-    "n_punct": r"""[.,;:!?"'()\-\[\]{}]""", "n_nonascii": r"[^\x00-\x7F]", "n_alpha": r"\p{L}", "n_alnum": r"[\p{L}\p{N}]",
-    "n_vowels": "[aeiouyAEIOUY]", "n_periods": r"\.", "n_commas": ",", "n_semicolons": ";", "n_colons": ":", "n_exclaims": "!",
-    "n_questions": r"\?", "hashtags": "#", "atsigns": "@", "urls": PATTERN["urls"], "emails": PATTERN["emails"],
-    "repeat_char_runs": r"(?d)(.)\1\1+",
+#: Characters that are counted alone, and classes of them.
+SINGLE = {
+    "n_spaces": " ", "n_tabs": "\t", "n_newlines": "\n", "n_periods": ".", "n_commas": ",", "n_semicolons": ";", "n_colons": ":",
+    "n_exclaims": "!", "n_questions": "?", "hashtags": "#", "atsigns": "@",
 }
+CLASSES = {
+    "n_letters": r"\p{L}", "n_upper": r"\p{IsUppercase}", "n_lower": r"\p{IsLowercase}", "n_digits": r"\p{Nd}²³¹⁰⁴-⁹₀-₉",
+    "n_punct": r""".,;:!?"'()\-\[\]{}""", "n_alnum": r"\p{L}\p{N}", "n_vowels": "aeiouyAEIOUY",
+}
+PATTERNS = {"urls": PATTERN["urls"], "emails": PATTERN["emails"], "repeat_char_runs": r"(?d)(.)\1\1+"}
 
 
 def _log(x: Column) -> Column:
@@ -150,19 +152,34 @@ def lexical(s: Column) -> dict[str, Column]:
     return {k: F.when(s["n"] > 0, c) for k, c in out.items()}
 
 
+def _left(text: Column, drop: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, drop, F.lit("")))
+
+
 def character_entropy(text: Column) -> Column:
-    """Entropy of the characters in bits, from the run lengths of the sorted characters."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    clogc = let(run_lengths(chars), lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * F.log2(x.cast("double"))))
-    n = F.length(text).cast("double")
-    return F.when(n > 0, F.log2(F.when(n > 0, n)) - clogc / F.when(n > 0, n)).otherwise(0.0)
+    """Entropy of the characters in bits; each distinct character is counted by what its removal takes off the length."""
+
+    def of(t: Column) -> Column:
+        distinct = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
+        counts = F.transform(distinct, lambda c: _left(t, c).cast("double"))
+        clogc = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * F.log2(x))
+        n = F.length(t).cast("double")
+        return F.when(n > 0, F.log2(F.when(n > 0, n)) - clogc / F.when(n > 0, n)).otherwise(0.0)
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def characters(text: Column) -> dict[str, Column]:
     """Character counts and ratios."""
     text = F.coalesce(text, F.lit(""))
-    count = {k: (F.length(text) if p is None else F.regexp_count(text, F.lit(p))).cast("bigint") for k, p in COUNTS.items()}
+    count = {"n_chars": F.length(text)} | {k: _left(text, F.lit(c)) for k, c in SINGLE.items()}
+    count |= {k: F.length(F.regexp_replace(text, f"[^{c}]+", "")) for k, c in CLASSES.items()}
+    count["n_alpha"] = count["n_letters"]
+    count["n_nonascii"] = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    count |= {k: F.regexp_count(text, F.lit(p)) for k, p in PATTERNS.items()}
+    # The pattern backtracks in every word, so texts without the sign skip it.
+    count["emails"] = F.when(F.contains(text, F.lit("@")), count["emails"]).otherwise(0)
+    count = {k: c.cast("bigint") for k, c in count.items()}
     count["n_consonants"] = F.greatest(F.lit(0).cast("bigint"), count["n_letters"] - count["n_vowels"])
     n, letters = F.greatest(count["n_chars"], F.lit(1)), count["n_letters"]
     shares = {
