@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import generation as gen
 from textloom.functions import labels, metrics, scoring, vectors
+from textloom.functions.tokens import white_words
 from textloom.operators import describe, evaluate, ml, pairing, sampling
 from textloom.plans import corpus
 from textloom.plans.queries import common as C
+from textloom.sources.text import folder_counts
 
 R = C.Registry()
 
@@ -372,3 +374,52 @@ R.sql["q00_flagship_flesch_by_label"] = f"""
 def q67_generic_describe(spark, d):
     by = C.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     return by.agg(F.count("*").alias("n_rows"), F.round(F.avg("o_totalprice"), 4).alias("mean_total"), F.round(F.median("o_totalprice"), 4).alias("median_total"))
+
+
+@R.add(r"""
+    SELECT host, lang, count(*) AS n FROM (SELECT p[1] AS host, CASE WHEN len(p) > 2 THEN p[2] ELSE '' END AS lang FROM (
+        SELECT string_split(regexp_replace(url, '^https?://', ''), '/') AS p FROM pages)) GROUP BY ROLLUP (host, lang)""")
+def q68_path_rollup(spark, d):
+    paths = C.table(spark, d, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path"))
+    return folder_counts(paths, ("host", "lang"))
+
+
+_SCORES = {
+    "flesch_reading_ease": "greatest(0.0, least(100.0, 206.835 - 1.015 * n / sents - 84.6 * syl / n))",
+    "flesch_kincaid_grade_level": "0.39 * n / sents + 11.8 * syl / n - 15.59",
+    "coleman_liau_index": "5.88 * lens / n - 29.6 * sents / n - 15.8",
+    "gunning_fog_index": "0.4 * (n / sents + 100 * poly / n)",
+    "smog_index": "CASE WHEN sents >= 3 THEN 1.043 * sqrt(30.0 * poly / sents) + 3.1291 ELSE 0.0 END",
+    "dale_chall_readability_score": "0.1579 * 100 * poly / n + 0.0496 * n / sents + CASE WHEN 100 * poly / n > 5 THEN 3.6365 ELSE 0.0 END",
+}
+
+
+@R.add(f"SELECT doc_id, {', '.join(f'round((CASE WHEN length(trim(text)) < 10 OR n = 0 THEN {gen.DEFAULTS[k]} ELSE {x} END)::DOUBLE, 5) AS {k}' for k, x in _SCORES.items())} FROM ({C.stats()})")
+def q69_readability_or_default(spark, d):
+    held = C.documents(spark, d).withColumn("s", metrics.word_statistics(F.col("text")))
+    columns = gen.readability_or_default(F.col("text"), F.col("s"))
+    return held.select("doc_id", *(F.round(c, 5).alias(k) for k, c in columns.items()))
+
+
+@R.add(f"""
+    SELECT doc_id, list_sum(list_transform(list_zip(list_resize(w, 512, 0), range(512)), lambda x: CASE WHEN x[2] >= len(w) OR x[2] < 5 THEN -100 ELSE x[1] END))::BIGINT AS label_sum, least(len(w), 512)::BIGINT AS n_kept
+    FROM (SELECT doc_id, list_transform({C.white('text')}, lambda x: length(x)) AS w FROM documents)""")
+def q70_capped_masked_labels(spark, d):
+    ids = F.transform(white_words(F.col("text")), F.length)
+    held = C.documents(spark, d).select("doc_id", gen.cap_tokens(ids, 512).alias("ids"))
+    total = F.aggregate(gen.mask_labels(F.col("ids"), 512, 0, F.lit(5)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return held.select("doc_id", total.alias("label_sum"), F.size("ids").cast("bigint").alias("n_kept"))
+
+
+@R.add(r"""
+    SELECT role, round(avg(length(text)) FILTER (ok), 6) AS chars, count(*) FILTER (ok) AS n_samples, count(*) FILTER (NOT ok) AS errors
+    FROM (SELECT *, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10 AS ok FROM conversations) GROUP BY role""")
+def q71_valid_generations(spark, d):
+    turns = C.table(spark, d, "conversations").select("role", F.length("text").cast("double").alias("chars"), gen.valid_generation(F.col("text")).alias("ok"))
+    means = evaluate.system_means(turns, "role", ["chars"], "ok")
+    return means.withColumn("chars", F.round("chars", 6))
+
+
+@R.add(f"SELECT pair_id, plain FROM {_PAIRS} ORDER BY md5('42:' || pair_id), pair_id LIMIT 5")
+def q72_seeded_sample(spark, d):
+    return sampling.shuffled_sample(_pairs(spark, d), "pair_id", 5).select("pair_id", "plain")
