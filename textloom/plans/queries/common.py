@@ -111,12 +111,12 @@ def stats(source: str = "documents", key: str = "doc_id", text: str = "text") ->
 
 #: SQL of the readability columns over ``stats``.
 READABILITY = {
-    "flesch": "206.835 - 1.015 * n / sents - 84.6 * syl / n",
-    "fk": "0.39 * n / sents + 11.8 * syl / n - 15.59",
+    "flesch": "206.835 - 1.015 * (n / sents) - 84.6 * (syl / n)",
+    "fk": "0.39 * (n / sents) + 11.8 * (syl / n) - 15.59",
     "fog": "0.4 * (n / sents + 100 * over6 / n)",
     "smog": "CASE WHEN poly > 0 THEN 1.0430 * sqrt(30.0 * poly / sents) + 3.1291 ELSE 0.0 END",
-    "cli": "5.89 * lens / n - 0.3 * sents / n - 15.8",
-    "ari": "4.71 * lens / n + 0.5 * n / sents - 21.43",
+    "cli": "5.89 * (lens / n) - 0.3 * (sents / n) - 15.8",
+    "ari": "4.71 * (lens / n) + 0.5 * (n / sents) - 21.43",
     "dale": "64 - 0.95 * (100 * over2 / n)",
     "words_per_sent": "n / sents",
     "chars_per_sent": "length(regexp_replace(text, '[.!?]+', '', 'g')) / sents",

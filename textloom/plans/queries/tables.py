@@ -385,20 +385,20 @@ def q68_path_rollup(spark, d):
 
 
 _SCORES = {
-    "flesch_reading_ease": "greatest(0.0, least(100.0, 206.835 - 1.015 * n / sents - 84.6 * syl / n))",
-    "flesch_kincaid_grade_level": "0.39 * n / sents + 11.8 * syl / n - 15.59",
-    "coleman_liau_index": "5.88 * lens / n - 29.6 * sents / n - 15.8",
+    "flesch_reading_ease": "greatest(0.0, least(100.0, 206.835 - 1.015 * (n / sents) - 84.6 * (syl / n)))",
+    "flesch_kincaid_grade_level": "0.39 * (n / sents) + 11.8 * (syl / n) - 15.59",
+    "coleman_liau_index": "5.88 * (lens / n) - 29.6 * (sents / n) - 15.8",
     "gunning_fog_index": "0.4 * (n / sents + 100 * poly / n)",
     "smog_index": "CASE WHEN sents >= 3 THEN 1.043 * sqrt(30.0 * poly / sents) + 3.1291 ELSE 0.0 END",
-    "dale_chall_readability_score": "0.1579 * 100 * poly / n + 0.0496 * n / sents + CASE WHEN 100 * poly / n > 5 THEN 3.6365 ELSE 0.0 END",
+    "dale_chall_readability_score": "0.1579 * (100 * poly / n) + 0.0496 * (n / sents) + CASE WHEN 100 * poly / n > 5 THEN 3.6365 ELSE 0.0 END",
 }
 
 
-@R.add(f"SELECT doc_id, {', '.join(f'round((CASE WHEN length(trim(text)) < 10 OR n = 0 THEN {gen.DEFAULTS[k]} ELSE {x} END)::DOUBLE, 5) AS {k}' for k, x in _SCORES.items())} FROM ({C.stats()})")
+@R.add(f"SELECT doc_id, {', '.join(f'round((CASE WHEN length(trim(text)) < 10 OR n = 0 THEN {gen.DEFAULTS[k]} ELSE {x} END)::DOUBLE, 6) AS {k}' for k, x in _SCORES.items())} FROM ({C.stats()})")
 def q69_readability_or_default(spark, d):
     held = C.documents(spark, d).withColumn("s", metrics.word_statistics(F.col("text")))
     columns = gen.readability_or_default(F.col("text"), F.col("s"))
-    return held.select("doc_id", *(F.round(c, 5).alias(k) for k, c in columns.items()))
+    return held.select("doc_id", *(F.round(c, 6).alias(k) for k, c in columns.items()))
 
 
 @R.add(f"""

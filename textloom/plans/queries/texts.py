@@ -296,7 +296,7 @@ def q58_flesch_band(spark, d):
 @R.add(f"""
     SELECT doc_id, round(fre, 6) AS flesch_reading_ease, round(least(1.0, length(text) / 8000.0), 6)::DOUBLE AS observation,
            round(greatest(0.1, least(1.0, length(text) / 8000.0)), 6)::DOUBLE AS temperature, round(0.3 * (n_chars % 7) / 7.0 + 0.3 * (n_chars % 5) / 5.0 + 0.4 * fre / 100, 6)::DOUBLE AS reward
-    FROM (SELECT *, CASE WHEN length(trim(text)) < 10 OR n = 0 THEN 30.0 ELSE greatest(0.0, least(100.0, 206.835 - 1.015 * n / sents - 84.6 * syl / n)) END::DOUBLE AS fre FROM ({C.stats()}))""")
+    FROM (SELECT *, CASE WHEN length(trim(text)) < 10 OR n = 0 THEN 30.0 ELSE greatest(0.0, least(100.0, 206.835 - 1.015 * (n / sents) - 84.6 * (syl / n))) END::DOUBLE AS fre FROM ({C.stats()}))""")
 def q59_reward(spark, d):
     held = C.documents(spark, d).withColumn("s", metrics.word_statistics(F.col("text")))
     fre = gen.readability_or_default(F.col("text"), F.col("s"))["flesch_reading_ease"]
