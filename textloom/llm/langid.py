@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bytewords import flat, folded
-from textloom.llm.scratch import checked_broadcast, small_batches
+from textloom.llm.scratch import checked_broadcast, materialize, small_batches
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -208,11 +208,12 @@ def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id"
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & (allowed if allowed is not None else F.lit(True)))
-    order = Window.partitionBy("label").orderBy("h", "id")
-    drawn = (
-        rows.select("label", "id", F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LABEL)
-        .orderBy("r", "label").limit(SAMPLE_ROWS).select("label", "id").distinct()
-    )
+    # Hashes are uniform, so a share of 2 * PER_LABEL / n of their range holds enough of a label's n rows.
+    counts = checked_broadcast(materialize(rows.groupBy("label").agg(F.count("*").alias("n")), "labels"))
+    place = F.shiftrightunsigned("h", 11).cast("double") / float(2**53)
+    near = rows.select("label", "id", F.xxhash64("id").alias("h")).join(counts, "label").where(place * F.col("n") < 2 * PER_LABEL)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("r") <= PER_LABEL)
+    drawn = materialize(ranked.orderBy("r", "label").limit(SAMPLE_ROWS).select("label", "id").distinct(), "drawn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
