@@ -213,6 +213,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = materialize(identity.groupBy("root", "doc_id", "content").agg(F.count("*").alias("n")), "identity")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("kept")
     leads = counted.groupBy("root").agg(first, F.count("*").alias("members")).where("members > 1")
+    # Written first, so that the join reads two exchanges and a root of many rows can be split.
+    leads = checked_broadcast(materialize(leads, "leads"))
     dropped = counted.join(leads, "root").where("not (doc_id <=> kept.doc_id and content = kept.content)").select("doc_id", "content")
 
     def same(rows: DataFrame) -> Column:
