@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textloom.functions.let import let
+
 #: Pattern and replacement of each step, in the order they run.
 STEPS: tuple[tuple[str, str, str], ...] = (
     ("control", r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]", " "),
@@ -30,8 +33,14 @@ STEPS: tuple[tuple[str, str, str], ...] = (
     ("dots", r"\.{3,}", "..."),
     ("marks", r"([!?]){2,}", "$1"),
     ("space_before_mark", r"(?U)\s+([,.;:!?])", "$1"),
-    ("spaces", r"(?U)\s+", " "),
+    # Runs of white space, and single ones other than a space; what is a space already stays.
+    ("spaces", r"(?U)\s{2,}|[^\S ]", " "),
 )
+#: A text without any of these can't match the step's (often backtracking) pattern, so it is skipped.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "cr": ("\r",), "crlf": ("\r",), "blank_lines": ("\n\n\n",), "join_lines": ("\n",), "tags": ("<",), "urls": ("://", "www."), "emails": ("@",),
+    "hashtags": ("#",), "dots": ("...",), "marks": ("!!", "??", "!?", "?!"),
+}
 PATTERN = {name: pattern for name, pattern, _ in STEPS}
 
 
@@ -49,10 +58,22 @@ def steps(text: Column, names: tuple[str, ...]) -> Column:
     """Only the named steps, in the chain's order."""
     for name, pattern, replacement in STEPS:
         if name in names:
-            text = F.regexp_replace(text, pattern, F.lit(replacement))
+            text = _step(text, name, pattern, replacement)
     return text
 
 
+def _step(text: Column, name: str, pattern: str, replacement: str) -> Column:
+    if name not in NEEDS:
+        return F.regexp_replace(text, pattern, F.lit(replacement))
+
+    def guarded(t: Column) -> Column:
+        where = F.lower(t) if name == "urls" else t
+        needed = reduce(lambda a, b: a | b, (F.contains(where, F.lit(n)) for n in NEEDS[name]))
+        return F.when(needed, F.regexp_replace(t, pattern, F.lit(replacement))).otherwise(t)
+
+    return let(text, guarded)
+
+
 def clean(text: Column, unicode: bool = False) -> Column:
     """The whole chain; null gives "". ``unicode`` puts NFKC first."""
     text = F.coalesce(text, F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chunking, cleaning, labels, scoring
+from textloom.functions.let import let
 from textloom.functions.tokens import n_white_words
 from textloom.operators.sampling import cap_groups, drop_duplicates, stratified_split
 from textloom.sources import sinks, text
@@ -24,9 +25,12 @@ class Settings:
 
 def clean_documents(raw: DataFrame, settings: Settings = Settings(), unicode: bool = True) -> DataFrame:  # noqa: B008
     """``raw`` (with ``text``) cleaned, without texts of too few words, with n_chars and n_words."""
-    cleaned = raw.withColumn("text", cleaning.clean(F.col("text"), unicode)).where("text <> ''")
-    counted = cleaned.withColumns({"n_chars": F.length("text").cast("bigint"), "n_words": n_white_words(F.col("text"))})
-    return counted.where(F.col("n_words") >= settings.min_words)
+    # Exploding an array of one or no row keeps the filter above the chain; a predicate would be pushed
+    # below the projection and run the chain a second time.
+    row = let(cleaning.clean(F.col("text"), unicode), lambda t: F.struct(t.alias("text"), F.length(t).cast("bigint").alias("n_chars"), n_white_words(t).alias("n_words")))
+    kept = F.filter(F.array(row), lambda r: (r["text"] != "") & (r["n_words"] >= settings.min_words))
+    others = [c for c in raw.columns if c not in ("text", "n_chars", "n_words")]
+    return raw.select(*others, F.explode(kept).alias("__row")).select(*others, "__row.*")
 
 
 def deduplicate(docs: DataFrame, order: str = "s3_key") -> DataFrame:
