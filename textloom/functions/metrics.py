@@ -76,8 +76,10 @@ def word_statistics(text: Column) -> Column:
     """
 
     def of(w: Column) -> Column:
-        lengths, syll = F.transform(w, F.length), F.transform(w, tokens.syllables)
-        stop = F.create_map(*(x for s in STOPWORDS for x in (F.lit(s), F.lit(1))))
+        parts = F.struct(w.alias("w"), F.transform(w, F.length).alias("lengths"), F.transform(w, tokens.syllables).alias("syll"))
+        return let(parts, lambda p: counts(p["w"], p["lengths"], p["syll"]))
+
+    def counts(w: Column, lengths: Column, syll: Column) -> Column:
         base = {
             "n": F.size(w).cast("bigint"),
             "syllables": _sum(syll),
@@ -86,7 +88,7 @@ def word_statistics(text: Column) -> Column:
             "over2": F.size(F.filter(lengths, lambda x: x > 2)).cast("bigint"),
             "over6": F.size(F.filter(lengths, lambda x: x > 6)).cast("bigint"),
             "upto3": F.size(F.filter(lengths, lambda x: x <= 3)).cast("bigint"),
-            "stop": F.size(F.filter(w, lambda x: F.map_contains_key(stop, x))).cast("bigint"),
+            "stop": F.size(F.filter(w, lambda x: x.isin(*STOPWORDS))).cast("bigint"),
         }
         return F.struct(*(c.alias(k) for k, c in base.items()), run_lengths(w).alias("c"))
 
@@ -218,8 +220,7 @@ def word_statistics_a(text: Column) -> Column:
     def of(w: Column, toks: Column) -> Column:
         low = F.transform(w, F.lower)
         lengths, syll = F.transform(w, F.length), F.transform(low, tokens.syllables)
-        stop = F.create_map(*(x for t in STOPWORDS for x in (F.lit(t), F.lit(1))))
-        is_stop = lambda x: F.map_contains_key(stop, x)
+        is_stop = lambda x: x.isin(*STOPWORDS)
         per_sentence = F.transform(tokens.sentences(text), lambda p: F.regexp_count(p, F.lit(r"(?U)(?<!\w)\p{L}+(?!\w)")))
         return F.struct(
             F.size(w).cast("bigint").alias("n"), F.size(toks).cast("bigint").alias("t"), F.array_sort(lengths).alias("lengths"),
