@@ -11,7 +11,10 @@ from textloom.llm import cover_tree, decontaminate, langid, lm_scoring, mixing,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table, over all cores if its files have fewer splits than that; larger inputs are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
