@@ -209,6 +209,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     content = F.xxhash64(*docs.columns)
     marked = materialize(fingerprints(docs, id_col, text_col, width, content), "fingerprints")
     rooted = connected_components(links(marked.select("fp").distinct(), radius), "a", "b").withColumnRenamed("node", "fp")
+    return deduplicate_by(docs, marked, rooted, id_col, content)
+
+
+def deduplicate_by(docs: DataFrame, marked: DataFrame, rooted: DataFrame, id_col: str, content: Column) -> DataFrame:
+    """One row of each group: ``marked`` has doc_id, content and fp of every row, ``rooted`` the root of each linked fp."""
     identity = marked.join(rooted, "fp", "left").select("doc_id", "content", F.coalesce("root", "fp").alias("root"))
     counted = materialize(identity.groupBy("root", "doc_id", "content").agg(F.count("*").alias("n")), "identity")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("kept")
