@@ -3,9 +3,9 @@
 A seed hashes the tokens under the ones of a fixed mask and ignores those under
 its zeros, so a substituted token spoils only the seeds that look at it. Seeds
 of the benchmark and of the documents meet by hash; around each hit the item is
-laid on the document's tokens, and the best-scoring run of positions is taken
-(+1 for an equal token, -MISMATCH for a substituted one), so at least
-MISMATCH / (MISMATCH + 1) of a reported run's tokens are equal.
+laid on the document's tokens, and the longest run of positions is taken of
+whose tokens at least MISMATCH / (MISMATCH + 1) are equal. A run starts and ends
+at an equal token, unless it is the whole item.
 
 The benchmark is worked off in blocks of bounded size, each broadcast and
 joined with the documents in the scan; documents are never shuffled. More
@@ -51,12 +51,24 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """(start, end) of the run with the highest score, the first of the longest if tied."""
+def longest_run(equal: np.ndarray, whole: bool) -> tuple[int, int]:
+    """(start, end) of the longest run with MISMATCH / (MISMATCH + 1) equal tokens, the first if tied; empty if none is equal.
+
+    A run starts and ends at an equal token, except that all of ``equal`` counts
+    if it lies on a ``whole`` item.
+    """
+    n = len(equal)
     score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    return int(np.flatnonzero(score[: end + 1] == low[end])[0]), end
+    if whole and n and score[n] >= 0:
+        return 0, n
+    starts = np.flatnonzero(equal)
+    if not len(starts):
+        return 0, 0
+    ends = starts + 1
+    most = np.maximum.accumulate(score[ends][::-1])  # over the ends from each one on, last end first
+    last = ends[len(ends) - 1 - np.searchsorted(most, score[starts])]
+    k = int(np.argmax(last - starts))
+    return int(starts[k]), int(last[k])
 
 
 class Index:
@@ -93,7 +105,7 @@ class Index:
             tokens = self.items[item]
             lo, hi = max(bounds[row], shift), min(bounds[row + 1], shift + len(tokens))
             equal = hashes[lo:hi] == tokens[lo - shift : hi - shift]
-            start, end = best_run(equal)
+            start, end = longest_run(equal, len(equal) == len(tokens))
             if end - start >= min(self.min_tokens, len(tokens)):
                 same = int(equal[start:end].sum())
                 run = (same, start - end, int(bounds[row]) - int(lo) - start, int(shift) - int(lo) - start)
