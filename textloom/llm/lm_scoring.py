@@ -1,21 +1,24 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models share one vocabulary, order and smoothing. The vocabulary holds
-every word with at least ``word_share`` of all tokens, so it has at most
-1 / word_share words at any size of the corpus; the rest is one unknown word.
-Bigram counts are exact over all documents of a side; the ones with at least
-``pair_share`` of a side's tokens stay in the models (at most 2 / pair_share),
-which bounds what is broadcast. A bigram's probability is
+Both models share one vocabulary, order and smoothing. They hold every word and
+every bigram of the corpus, so they grow with it: counts are exact and distributed by
+64-bit keys (words, contexts and bigrams). A bigram's probability is
 
     p(b | a) = (c(a, b) + mu * p(b)) / (c(a) + mu),  p(b) = (c(b) + 1) / (N + V)
 
-with c(a) the sum over the bigrams kept, so both models are proper. A document's
+with c(a) the number of bigrams that start with a, N the side's tokens and V the
+words of both sides and an unknown one, so both models are proper. A document's
 score is its target loss less its background loss, per token in nats: low scores
 are like the target.
 
+No row per token is shuffled: documents are dealt into chunks; a chunk sends its
+distinct keys and its own counts of them once, in arrays by key share; a share
+adds the counts up and sends the sums back in the same order. A key that is in
+every document costs one entry a chunk.
+
 Defined results: null and empty texts have no tokens, and null losses and score.
 Without target (or background) rows that model is uniform over the vocabulary.
-Repeated rows count and are scored each. A document is of the target if its id
+Repeated rows count and are scored each (rows equal in id and text in one chunk). A document is of the target if its id
 is among the target ids, however often it is listed there.
 """
 
@@ -29,157 +32,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bytewords import Lookup, mix, word_hashes
+from textloom.llm.bytewords import mix, word_hashes
 from textloom.llm.scratch import checked_broadcast, materialize, small_batches
 
-WORD_SHARE = 2e-5
-PAIR_SHARE = 1e-6
 MU = 50.0
-#: Distinct keys that a task gathers before it passes them on.
-HELD = 1 << 20
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts[:0]
-
-
-def _gather(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Sums of (keys, counts by side), in batches of at most about HELD distinct keys."""
-    keys, counts, fresh = np.empty(0, np.int64), np.empty((0, 2), np.int64), []
-
-    def fold() -> None:
-        nonlocal keys, counts, fresh
-        keys, counts = _summed(np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([counts, *(c for _, c in fresh)]))
-        fresh = []
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["key", "target", "background"])
+#: Bytes of text in a chunk of documents, about.
+CHUNK_BYTES = 2 << 20
+#: Bytes of text whose keys one share gathers, about; a text of six bytes makes about one key of a chunk.
+SHARE_BYTES = 6 << 20
+_CONTEXT, _WORD, _START = (mix(np.array([k], np.uint64))[0] for k in (11, 12, 13))
+_PREVIOUS = mix(np.array([14], np.uint64))[0] | np.uint64(1)
+
+
+def token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bounds): for each token its word, its context and its bigram key, 3 x tokens, a word's even and the others odd; rows as in word_hashes."""
+    hashes, bounds = word_hashes(column)
+    previous = np.empty_like(hashes)
+    previous[1:] = hashes[:-1]
+    previous[bounds[:-1][np.diff(bounds) > 0]] = _START
+    keys = np.stack([mix(hashes ^ _WORD), mix(previous ^ _CONTEXT), mix(mix(previous * _PREVIOUS) + hashes)])
+    keys |= np.array([[0], [1], [1]], np.uint64)
+    keys[0] &= ~np.uint64(1)
+    return keys.view(np.int64), bounds
+
+
+def counted(column: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts): the sorted distinct keys of some rows, and their counts by side."""
+    keys, bounds = token_keys(column)
+    distinct, at = np.unique(keys, return_inverse=True)
+    side = np.tile(np.repeat(target.astype(bool), np.diff(bounds)), 3)
+    at = at.ravel()
+    return distinct, np.stack([np.bincount(at[rows], minlength=len(distinct)) for rows in (side, ~side)], axis=1).astype(np.int64)
 
-    for part in parts:
-        fresh.append(_summed(*part))
-        if sum(len(k) for k, _ in fresh) > HELD:
-            fold()
-            if len(keys) > HELD:
-                yield out()
-                keys, counts = keys[:0], counts[:0]
-    fold()
-    if len(keys):
-        yield out()
 
+@dataclass
+class Models:
+    """Both sides' counts of some keys; a key that isn't among them counts zero."""
 
-def _sided(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return keys, np.stack([target, ~target], axis=1).astype(np.int64)
-
+    keys: np.ndarray  # sorted
+    counts: np.ndarray  # keys x sides
+    totals: np.ndarray  # tokens by side
+    words: int  # of both sides, without the unknown one
+    mu: float = MU
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(key, target, background): exact counts of word hashes by side, from (text, target) rows."""
+    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, losses per token by side) of each row; rows without tokens have loss 0."""
+        keys, bounds = token_keys(column)
+        sizes = np.diff(bounds)
+        out, full = np.zeros((len(sizes), 2)), np.flatnonzero(sizes)
+        if not len(full):
+            return sizes, out
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(keys.shape, bool)
+        for side in (0, 1):
+            word, context, pair = np.where(known, self.counts[at, side], 0) if len(self.keys) else np.zeros(keys.shape)
+            mass = pair + self.mu * (word + 1) / (self.totals[side] + self.words + 1)
+            out[full, side] = -np.add.reduceat(np.log(mass) - np.log(context + self.mu), bounds[:-1][full]) / sizes[full]
+        return sizes, out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for batch in batches:
-                hashes, bounds = word_hashes(batch.column(0))
-                yield _sided(hashes.view(np.int64), np.repeat(batch.column(1).to_numpy(False).astype(bool), np.diff(bounds)))
 
-        yield from _gather(parts())
+def _totals(keys: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Tokens by side and words of some keys."""
+    word = (keys & 1) == 0
+    return [*counts[word].sum(axis=0).tolist(), int(word.sum())]
 
-    counted = docs.select("text", "target").mapInArrow(run, "key bigint, target bigint, background bigint")
-    return counted.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
+def train(docs: DataFrame) -> Models:
+    """Models of (text, target) rows in one piece, for corpora that the driver can hold; scoring doesn't use it."""
+    rows = docs.select("text", "target").toArrow()
+    keys, counts = counted(rows["text"].combine_chunks(), rows["target"].to_numpy())
+    *totals, words = _totals(keys, counts)
+    return Models(keys, counts, np.array(totals, np.float64), words)
 
-class Vocabulary:
-    """Ids of word hashes: 1.. in hash order, 0 for the unknown word."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.lookup = Lookup(np.sort(hashes.view(np.uint64)))
-        self.size = len(hashes) + 1
+def _by_share(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, share): the keys' order by share, then key, and the shares in that order."""
+    share = ((keys.view(np.uint64) >> np.uint64(1)) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    return order, share[order]
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int64)
-        i, at = self.lookup.find(hashes)
-        out[i] = at + 1
-        return out
 
-    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(previous, word, bounds): the bigrams of each row; the first word of a row follows id ``size``."""
-        hashes, bounds = word_hashes(column)
-        word = self.ids(hashes)
-        previous = np.empty_like(word)
-        previous[1:] = word[:-1]
-        previous[bounds[:-1][np.diff(bounds) > 0]] = self.size
-        return previous, word, bounds
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(key, target, background): exact bigram counts by side; a key is previous * size + word."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _asked(chunked: DataFrame, shares: int) -> DataFrame:
+    """(share, chunk, keys, counts): the distinct keys of each chunk by share, and the chunk's own counts of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for batch in batches:
-                previous, word, bounds = shared.value.pairs(batch.column(0))
-                yield _sided(previous * shared.value.size + word, np.repeat(batch.column(1).to_numpy(False).astype(bool), np.diff(bounds)))
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = counted(table["text"].combine_chunks(), table["target"].to_numpy())
+        order, share = _by_share(keys, shares)
+        present, first = np.unique(share, return_index=True)
+        offsets = np.append(first, len(order)).astype(np.int64)
+        chunk = pa.array(np.full(len(present), table["chunk"][0].as_py()), pa.int64())
+        columns = [pa.array(present), chunk, _lists(offsets, keys[order]), _lists(offsets * 2, counts[order].astype(np.int32).ravel())]
+        return pa.table(columns, ["share", "chunk", "keys", "counts"])
 
-        yield from _gather(parts())
+    return chunked.select("chunk", "text", "target").groupBy("chunk").applyInArrow(run, "share bigint, chunk bigint, keys array<bigint>, counts array<int>")
 
-    counted = docs.select("text", "target").mapInArrow(run, "key bigint, target bigint, background bigint")
-    return counted.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
+def _answered(asked: DataFrame) -> DataFrame:
+    """(chunk, share, counts): the corpus's counts of the keys each chunk asked for, in its order; chunk -1 has a share's totals."""
 
-@dataclass
-class Models:
-    vocabulary: Vocabulary
-    kept: Lookup
-    counts: np.ndarray  # kept bigrams x sides
-    context: np.ndarray  # ids and the start x sides
-    word: np.ndarray  # ids x sides, p(b)
-    mu: float = MU
+    def run(table: pa.Table) -> pa.Table:
+        lists = table["keys"].combine_chunks()
+        keys, own = lists.flatten().to_numpy(), table["counts"].combine_chunks().flatten().to_numpy().reshape(-1, 2)
+        distinct, at = np.unique(keys, return_inverse=True)
+        counts = np.stack([np.bincount(at, own[:, side], len(distinct)) for side in (0, 1)], axis=1).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(False))]) * 2
+        flat = np.concatenate([counts[at].ravel(), _totals(distinct, counts)])
+        chunk = np.append(table["chunk"].to_numpy(), -1)
+        share = np.full(len(chunk), table["share"][0].as_py())
+        return pa.table([pa.array(chunk), pa.array(share), _lists(np.append(offsets, len(flat)), flat)], ["chunk", "share", "counts"])
 
-    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, losses per token by side) of each row; rows without tokens have loss 0."""
-        previous, word, bounds = self.vocabulary.pairs(column)
-        sizes = np.diff(bounds)
-        out, full = np.zeros((len(sizes), 2)), np.flatnonzero(sizes)
-        i, at = self.kept.find(mix((previous * self.vocabulary.size + word).view(np.uint64)))
-        for side in (0, 1):
-            mass = self.mu * self.word[:, side][word]
-            mass[i] += self.counts[:, side][at]
-            logs = np.log(mass) - np.log(self.context[:, side] + self.mu)[previous]
-            if len(full):
-                out[full, side] = -np.add.reduceat(logs, bounds[:-1][full]) / sizes[full]
-        return sizes, out
+    return asked.groupBy("share").applyInArrow(run, "chunk bigint, share bigint, counts array<bigint>")
 
 
-def train(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Models from (text, target) rows."""
-    words = materialize(count_words(docs), "words")
-    total = words.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
-    frequent = words.where((F.col("target") + F.col("background")) >= max(1.0, word_share * (total.t + total.b)))
-    vocabulary_rows = frequent.toArrow()  # at most 1 / word_share rows
-    keys = vocabulary_rows["key"].to_numpy()
-    vocabulary = Vocabulary(keys)
-    ids = vocabulary.ids(keys.view(np.uint64))
-    counts = np.zeros((vocabulary.size, 2))
-    for side, name, n in ((0, "target", total.t), (1, "background", total.b)):
-        counts[ids, side] = vocabulary_rows[name].to_numpy()
-        counts[0, side] = n - counts[1:, side].sum()
-    word = (counts + 1) / (counts.sum(axis=0) + vocabulary.size)
-    large = (F.col("target") >= max(1.0, pair_share * total.t)) | (F.col("background") >= max(1.0, pair_share * total.b))
-    pairs = count_pairs(docs, vocabulary).where(large).toArrow()  # at most 2 / pair_share rows
-    key = pairs["key"].to_numpy()
-    spread = mix(key.view(np.uint64))
-    order = np.argsort(spread)
-    kept = np.stack([pairs[side].to_numpy() for side in ("target", "background")], axis=1)[order].astype(np.float64)
-    key = key[order]
-    context = np.stack([np.bincount(key // vocabulary.size, kept[:, side], vocabulary.size + 1) for side in (0, 1)], axis=1)
-    return Models(vocabulary, Lookup(spread[order]), kept, context, word)
-
-
-def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE
-) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens, target, target_loss, background_loss, score) for every row.
 
     ``target_ids`` has the ids of the target documents in a column ``doc_id``;
@@ -190,17 +159,27 @@ def cross_entropy_difference(
     ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("listed")).where("doc_id is not null").distinct()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sided = rows.join(checked_broadcast(materialize(ids, "target")), "doc_id", "left").select("doc_id", "text", F.coalesce("listed", F.lit(False)).alias("target"))
-    shared = spark.sparkContext.broadcast(train(sided, word_share, pair_share))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, losses = shared.value.losses(batch.column(1))
-            none = sizes == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (losses[:, 0], losses[:, 1], losses[:, 0] - losses[:, 1])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int64)), batch.column(2), *columns],
-                ["doc_id", "tokens", "target", "target_loss", "background_loss", "score"],
-            )
+    size = sided.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cores = spark.sparkContext.defaultParallelism
+    chunks, shares = max(cores, -(-size // CHUNK_BYTES)), max(cores, -(-size // SHARE_BYTES))
+    chunked = sided.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    answered = materialize(_answered(_asked(chunked, shares)), "counts")
+    row = answered.where("chunk = -1").agg(*(F.coalesce(F.sum(F.col("counts")[k]), F.lit(0)) for k in range(3))).first()
+    totals, words = np.array(row[:2], np.float64), row[2]
+    answered = answered.where("chunk >= 0")
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        column = texts["text"].combine_chunks()
+        keys = np.unique(token_keys(column)[0])
+        order, _ = _by_share(keys, shares)
+        lists = answers["counts"].combine_chunks().take(pa.array(np.argsort(answers["share"].to_numpy())))
+        counts = np.zeros((len(keys), 2), np.int64)
+        counts[order] = lists.flatten().to_numpy().reshape(-1, 2)
+        sizes, loss = Models(keys, counts, totals, words).losses(column)
+        none = sizes == 0
+        columns = [pa.array(x, pa.float64(), mask=none) for x in (loss[:, 0], loss[:, 1], loss[:, 0] - loss[:, 1])]
+        names = ["doc_id", "tokens", "target", "target_loss", "background_loss", "score"]
+        return pa.table([texts["doc_id"].combine_chunks(), pa.array(sizes.astype(np.int64)), texts["target"].combine_chunks(), *columns], names)
 
     schema = "doc_id bigint, tokens bigint, target boolean, target_loss double, background_loss double, score double"
-    return sided.select("doc_id", "text", "target").mapInArrow(run, schema)
+    return chunked.select("chunk", "doc_id", "text", "target").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, schema)
