@@ -167,24 +167,27 @@ def test_pieces_do_not_change_a_prediction(monkeypatch):
 
 
 def brute_scores(rows, targets):
-    tokens = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
-    vocabulary = set(Counter(w for ws in tokens.values() for w in ws))
-    sides = {True: Counter(), False: Counter()}
-    pairs = {True: Counter(), False: Counter()}
-    for i, ws in tokens.items():
-        sides[i in targets].update(ws)
-        pairs[i in targets].update(zip(["<s>", *ws], ws, strict=False))
-    size, mu = len(vocabulary) + 1, lm_scoring.MU
+    """(tokens, target loss, background loss) of each row, by the counts of all other rows."""
+    tokens = [re.findall(r"\w+", (t or "").lower()) for _, t in rows]
+    size, mu = len({w for ws in tokens for w in ws}) + 1, lm_scoring.MU
+    words, pairs, contexts = ({True: Counter(), False: Counter()} for _ in range(3))
+
+    def add(i, ws, sign):
+        for counts, found in ((words, ws), (pairs, list(zip(["<s>", *ws], ws, strict=False))), (contexts, ["<s>", *ws][: len(ws)])):
+            for x in found:
+                counts[i in targets][x] += sign
+
+    for (i, _), ws in zip(rows, tokens, strict=True):
+        add(i, ws, 1)
     out = {}
-    for i, ws in tokens.items():
+    for (i, _), ws in zip(rows, tokens, strict=True):
+        add(i, ws, -1)
         losses = []
         for side in (True, False):
-            n = sum(sides[side].values())
-            context = Counter()
-            for (a, _), c in pairs[side].items():
-                context[a] += c
-            loss = [-math.log((pairs[side][a, b] + mu * (sides[side][b] + 1) / (n + size)) / (context[a] + mu)) for a, b in zip(["<s>", *ws], ws, strict=False)]
+            n = sum(words[side].values())
+            loss = [-math.log((pairs[side][a, b] + mu * (words[side][b] + 1) / (n + size)) / (contexts[side][a] + mu)) for a, b in zip(["<s>", *ws], ws, strict=False)]
             losses.append(sum(loss) / len(ws) if ws else None)
+        add(i, ws, 1)
         out[i] = (len(ws), *losses)
     return out
 

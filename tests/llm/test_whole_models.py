@@ -22,7 +22,7 @@ def held_to_brute_force(spark, rows, targets):
 
 def test_rare_words_count(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 50_000)
-    monkeypatch.setattr(lm_scoring, "SHARE_BYTES", 30_000)
+    monkeypatch.setattr(lm_scoring, "SHARE_TOKENS", 5_000)
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(["the"] * 200 + [f"w{x}" for x in rng.integers(0, 60_000, 600)])) for i in range(150)]  # a word of one token is under 2e-5 of all
     held_to_brute_force(spark, rows, list(range(0, 150, 4)))
@@ -32,3 +32,23 @@ def test_scores_of_documents(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").where(~F.col("text").rlike("[^\\x00-\\x7f]")).collect()]
     good = [r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").collect()]
     held_to_brute_force(spark, rows, good)
+
+
+def test_repeats_and_long_texts(spark, monkeypatch):
+    long = " ".join(f"w{i % 97} v{i % 31}" for i in range(300_000))
+    same = "an exact copy of a target document"
+    rows = [(0, same), (1, same), (2, same), (3, long), (4, "zz")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = spark.createDataFrame([(0,), (1,)], "doc_id bigint")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(df.union(df.where("doc_id = 2")), ids).collect()}
+    assert got[3].tokens == 600_000 and got[0].target_loss == got[1].target_loss and got[0].score > 0  # two copies of it are background, one other is target
+    for i, (n, t, b) in brute_scores([*rows, (2, same)], {0, 1}).items():
+        assert (got[i].tokens, got[i].target_loss, got[i].background_loss) == (n, pytest.approx(t), pytest.approx(b))
+
+
+def test_counts_are_packed_whole():
+    counts = np.array([0, 1, 254, 255, 256, 10**12, 0, 255])
+    assert (lm_scoring.unpack(lm_scoring.pack(counts), len(counts)) == counts).all() and len(lm_scoring.unpack(b"", 0)) == 0
+    for size in (1, 256, 257, 65536, 70000, 1 << 25):
+        at = np.array([0, size - 1, size // 2])
+        assert (lm_scoring._unplaned(lm_scoring._planes(at, size), 3) == at).all()
