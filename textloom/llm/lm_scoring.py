@@ -13,7 +13,7 @@ out); V stays. Its score is its target loss less its background loss, per token
 in nats: low scores are like the target.
 
 Texts are read once and never shuffled. Documents are packed into chunks of
-about 8 MB, each a row of distinct word hashes and word numbers. A chunk sends
+about 4 MB, each a row of distinct word hashes and word numbers. A chunk sends
 its distinct words and bigrams and its own counts of them once, in arrays by key
 share; a share adds them up and sends the sums back in the same order. A key
 that is in every document costs one entry a chunk.
@@ -44,9 +44,9 @@ from textloom.llm.scratch import checked_broadcast, materialize, small_batches
 
 MU = 50.0
 #: Bytes of text, and rows, after which a chunk of documents ends.
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 17
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 1 << 17
 #: Tokens of the corpus whose keys one share gathers, about.
-SHARE_TOKENS = 2_000_000
+SHARE_TOKENS = 1_000_000
 _WORD, _START = (mix(np.array([k], np.uint64))[0] for k in (12, 13))
 _PREVIOUS = mix(np.array([14], np.uint64))[0] | np.uint64(1)
 #: Counts below this take a byte, others nine.
