@@ -1,8 +1,12 @@
 """Runs of four fifths equal tokens, by their definition."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 
+from test_scans import brute_overlap
+
 from textloom.llm import bytewords, decontaminate
 
 
@@ -32,14 +36,38 @@ def test_items_with_a_fifth_substituted_are_found():
     swapped = [w if i % 5 != 2 else f"x{i}" for i, w in enumerate(item)]
     (hit,) = found(item, ["a"] * 9 + swapped + ["b"] * 9)
     assert hit == (0, 0, 9, 69, 0, 48)
+
+
+def test_recall_with_a_fifth_of_the_tokens_substituted():
+    """Whole items with random substitutions, which at least four fifths equal tokens make overlaps."""
     rng = np.random.default_rng(2)
-    for length, swaps, least in ((13, 1, 0.95), (15, 2, 0.95), (20, 3, 0.9), (40, 8, 0.9)):
-        hits = 0
+    for length, swaps in ((8, 1), (10, 2), (13, 1), (13, 2), (15, 3), (16, 2), (20, 4), (25, 5), (40, 8), (60, 12)):
+        own = [f"w{i}" for i in range(length)]
+        texts = []
         for _ in range(200):
-            own = [f"w{i}" for i in range(length)]
             other = list(own)
             for at in rng.choice(length, swaps, replace=False):
                 other[at] = "x"
-            hits += bool(found(own, ["a"] * 9 + other + ["b"] * 9))
-        print(length, swaps, hits / 200)
-        assert hits / 200 >= least
+            texts.append(" ".join(["a"] * 9 + other + ["b"] * 9))
+        index = decontaminate.Index([" ".join(own)], decontaminate.MIN_TOKENS)
+        hits = {h[0] for h in index.overlaps(*bytewords.word_hashes(pa.array(texts)))}
+        assert len(hits) / 200 >= 0.99, (length, swaps, len(hits))
+
+
+def test_runs_equal_brute_force_on_repeats():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        item, doc = ([str(x) for x in rng.integers(0, 3, rng.integers(1, 22))] for _ in range(2))
+        doc = doc + item[: int(rng.integers(0, 20))] + doc[:5]
+        got = sorted((s, e, i, n) for _, _, s, e, i, n in found(item, doc))
+        assert got == brute_overlap(" ".join(doc), " ".join(item), decontaminate.MIN_TOKENS)
+
+
+def test_texts_that_repeat_a_token_are_compared_in_short_time():
+    for n, limit in ((2000, 0.5), (20_000, 30)):
+        began = time.perf_counter()
+        assert found(["a"] * n, ["a"] * n) == [(0, 0, 0, n, 0, n)]
+        assert time.perf_counter() - began < limit
+    began = time.perf_counter()
+    assert not found(["a"] * 2000, (["a"] * 6 + ["b"] * 6) * 150)
+    assert time.perf_counter() - began < 5

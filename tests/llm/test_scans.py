@@ -83,43 +83,49 @@ def test_byte_words_equal_regex_words():
 
 
 def brute_overlap(doc, item, least):
-    """The best run over all alignments that share a seed of some mask."""
+    """(start, end, item_start, equal) of all runs: alignments by seed hits, longest runs first, over free tokens."""
     d, t = (re.findall(r"\w+", x.lower()) for x in (doc, item))
-    best = None
+    masks = decontaminate.MASKS if len(t) >= min(map(len, decontaminate.MASKS)) else ["1" * len(t)]
+    least, free, out, hits = min(least, len(t)), [True] * len(d), [], {}
     for shift in range(-len(t), len(d)):
-        hit = any(
+        n = sum(
             all(d[shift + p + k] == t[p + k] for k, b in enumerate(m) if b == "1")
-            for m in decontaminate.MASKS for p in range(len(t) - len(m) + 1) if 0 <= shift + p and shift + p + len(m) <= len(d)
+            for m in masks for p in range(len(t) - len(m) + 1) if 0 <= shift + p and shift + p + len(m) <= len(d)
         )
-        if hit:
-            equal = [0 <= shift + i < len(d) and d[shift + i] == x for i, x in enumerate(t) if 0 <= shift + i < len(d)]
-            top = max(((sum(1 if x else -4 for x in equal[a:b]), b - a, sum(equal[a:b])) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)))
-            if top[1] >= min(least, len(t)):
-                best = max(best or 0, top[2])
-    return best
+        if n:
+            hits[shift] = n
+    for shift in sorted(hits, key=lambda s: (-hits[s], s)):
+        while True:
+            best = None
+            for a in range(max(0, shift), min(len(d), shift + len(t))):
+                for b in range(a + least, min(len(d), shift + len(t)) + 1):
+                    equal = [d[k] == t[k - shift] for k in range(a, b)]
+                    if all(free[a:b]) and 5 * sum(equal) >= 4 * (b - a) and (equal[0] and equal[-1] or b - a == len(t)) and (best is None or b - a > best[1] - best[0]):
+                        best = (a, b, a - shift, sum(equal))
+            if best is None:
+                break
+            out.append(best)
+            free[best[0] : best[1]] = [False] * (best[1] - best[0])
+    return sorted(out)
 
 
 def test_overlaps(spark):
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(3000)]
     make = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
-    items = [make(40), make(16), make(25), make(5)]
+    items = [make(40), make(16), make(25), make(5), make(3), make(20)]
     swapped = [w if i % 8 else "other" for i, w in enumerate(items[0])]
-    docs = [make(100) + items[0] + make(50), make(30) + swapped, items[1], make(500), make(9) + items[2][:12] + make(9), make(9) + items[2][:15] + make(9), items[3], [], [w.upper() for w in items[1]]]
+    docs = [make(60) + items[0] + make(20), make(30) + swapped, items[1], make(90), make(9) + items[2][:12] + make(9), make(9) + items[2][:15] + make(9), items[3], [], [w.upper() for w in items[1]], items[4] + make(9), items[5] + make(3) + items[5][:14] + items[5]]
     rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(90, None), (2, " ".join(items[1])), (None, ", ".join(items[1]))]
     bench = [(i, " ".join(t)) for i, t in enumerate(items)] + [(11, " ".join(items[1])), (12, None), (None, "")]
     d = spark.createDataFrame([(*r, 5) for r in rows], "doc_id bigint, text string, item_id int")
     b = spark.createDataFrame(bench, "item_id bigint, text string")
-    got = Counter((r.doc_id, r.item_id, r.equal_tokens) for r in decontaminate.overlaps(d, b).collect())
-    want = Counter()
-    for doc, text in rows:
-        for item, passage in bench:
-            if text and passage and (same := brute_overlap(text, passage, decontaminate.MIN_TOKENS)):
-                want[doc, item, same] += 1
-    assert got == want
-    assert {k[:2] for k in got} == {(0, 0), (1, 0), (2, 1), (2, 11), (5, 2), (8, 1), (8, 11), (None, 1), (None, 11)}
+    got = Counter((r.doc_id, r.item_id, r.doc_start, r.doc_end, r.item_start, r.equal_tokens) for r in decontaminate.overlaps(d, b).collect())
+    want = Counter((doc, i, *run) for doc, text in rows for i, passage in bench if text and passage for run in brute_overlap(text, passage, decontaminate.MIN_TOKENS))
+    assert got == want and sum(k[0] == 10 for k in got) == 3
+    assert {k[:2] for k in got} == {(0, 0), (1, 0), (2, 1), (2, 11), (5, 2), (6, 3), (8, 1), (8, 11), (9, 4), (10, 5), (None, 1), (None, 11)}
     kept = decontaminate.clean_documents(d, b)
-    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "6", "7", "90"]
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "7", "90"]
     assert decontaminate.overlaps(d, b.limit(0)).count() == 0 and decontaminate.clean_documents(d.limit(0), b).count() == 0
 
 

@@ -2,20 +2,28 @@
 
 A seed hashes the tokens under the ones of a fixed mask and ignores those under
 its zeros, so a substituted token spoils only the seeds that look at it. Seeds
-of the benchmark and of the documents meet by hash; around each hit the item is
-laid on the document's tokens, and the longest run of positions is taken of
-whose tokens at least MISMATCH / (MISMATCH + 1) are equal. A run starts and ends
-at an equal token, unless it is the whole item.
+of the benchmark and of the documents meet by hash. A hit lays the item on the
+document's tokens; on each such alignment the longest run is taken of whose
+tokens at least MISMATCH / (MISMATCH + 1) are equal. A run starts and ends at an
+equal token, unless it is the whole item, and counts from ``min_tokens`` tokens
+on (or the item's length, if that is less).
+
+All runs are reported: alignments are taken by falling number of hits, then from
+the front, and on each the longest runs among tokens of the document that no
+earlier run of the item covers. So a passage that a document repeats is reported
+each time, and a text that repeats itself isn't compared with all its shifts.
 
 The benchmark is worked off in blocks of bounded size, each broadcast and
 joined with the documents in the scan; documents are never shuffled. More
-benchmark means more blocks, not larger ones (one item is never split).
+benchmark means more blocks, not larger ones (one item is never split). Tokens
+are compared by 64-bit hashes.
 
 Defined results: null and empty texts match nothing; an item of fewer tokens
-than the shortest mask isn't searched for, and one shorter than ``min_tokens``
-counts if all of its length is covered. Items with equal text are all
-reported. Repeated rows are reported each. An empty table on either side gives
-no overlaps.
+than the shortest mask is searched for as a whole, without substitutions. Items
+with equal text are all reported. Repeated rows are reported each. Texts and
+items of any length are compared whole, in memory that grows with their
+lengths, not with the product. An empty table on either side gives no overlaps.
+Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -28,14 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bytewords import Lookup, mix, word_hashes
-from textloom.llm.scratch import small_batches
+from textloom.llm.scratch import materialize, small_batches
 
 #: Tokens under a 1 are hashed, those under a 0 ignored.
-MASKS = ("11101011", "1101100101", "110010100101")
+MASKS = ("11011", "1101001")
 MISMATCH = 4
 MIN_TOKENS = 13
 #: UTF-8 bytes of benchmark text in one block.
 BLOCK_BYTES = 4 << 20
+#: Alignments that are counted in one go.
+PIECE = 1 << 20
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,6 +81,39 @@ def longest_run(equal: np.ndarray, whole: bool) -> tuple[int, int]:
     return int(starts[k]), int(last[k])
 
 
+class Seeds:
+    """The places of one mask's seeds in some items."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], mask: str):
+        self.mask = mask
+        own = [seeds(items[i], mask) for i in numbers]
+        sizes = [len(s) for s in own]
+        keys = np.concatenate([np.empty(0, np.uint64), *own])
+        item = np.repeat(np.array(numbers, np.int64), sizes)
+        place = np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]).astype(np.int64)
+        order = np.lexsort((place, item, keys))
+        keys, item, self.place = keys[order], item[order], place[order]
+        # A group holds the places of one seed in one item; a key's groups lie together.
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])
+        self.begin = np.append(np.flatnonzero(new), len(keys))
+        self.item = item[self.begin[:-1]]
+        unique, first = np.unique(keys[self.begin[:-1]], return_index=True)
+        self.lookup, self.first = Lookup(unique), np.append(first, len(self.item))
+
+    def hits(self, hashes: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, group) of every seed of the rows that an item has."""
+        found, at = self.lookup.find(seeds(hashes, self.mask))
+        inside = row_of[found] == row_of[found + len(self.mask) - 1] if len(found) else np.zeros(0, bool)
+        found, at = found[inside], at[inside]
+        return np.repeat(found, times := self.first[at + 1] - self.first[at]), _ranges(self.first[at], times)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each start and length, in one array."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
 class Index:
     """Seeds of one block of benchmark items."""
 
@@ -78,46 +121,68 @@ class Index:
         self.min_tokens = min_tokens
         hashes, bounds = word_hashes(pa.array(texts, pa.string()))
         self.items = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.lookups = []
-        for mask in MASKS:
-            own = [seeds(t, mask) for t in self.items]
-            keys = np.concatenate([np.empty(0, np.uint64), *own])
-            item = np.repeat(np.arange(len(own)), [len(s) for s in own])
-            place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(s)) for s in own)]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            unique, first = np.unique(keys[order], return_index=True)
-            self.lookups.append((Lookup(unique), np.append(first, len(keys)), item[order], place[order]))
+        shortest = min(map(len, MASKS))
+        of_length = lambda n: [i for i, t in enumerate(self.items) if len(t) == n]
+        whole = [(numbers, "1" * n) for n in range(1, shortest) if (numbers := of_length(n))]
+        long = [i for i, t in enumerate(self.items) if len(t) >= shortest]
+        self.seeds = [Seeds(self.items, numbers, mask) for numbers, mask in [*whole, *((long, m) for m in MASKS)]]
 
     def overlaps(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(row, item, start, end, item_start, equal): the best verified run of each item in each row."""
+        """(row, item, start, end, item_start, equal): the runs of each item in each row."""
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        hits = []
-        for mask, (lookup, first, item, place) in zip(MASKS, self.lookups, strict=True):
-            found, at = lookup.find(seeds(hashes, mask))
-            inside = row_of[found] == row_of[found + len(mask) - 1] if len(found) else np.zeros(0, bool)
-            found, at = found[inside], at[inside]
-            times = first[at + 1] - first[at]
-            entry = np.repeat(first[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            pos = np.repeat(found, times)
-            hits.append(np.stack([row_of[pos], item[entry], pos - place[entry]], axis=1))
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for row, item, shift in np.unique(np.concatenate(hits), axis=0).tolist():
-            tokens = self.items[item]
-            lo, hi = max(bounds[row], shift), min(bounds[row + 1], shift + len(tokens))
-            equal = hashes[lo:hi] == tokens[lo - shift : hi - shift]
-            start, end = longest_run(equal, len(equal) == len(tokens))
-            if end - start >= min(self.min_tokens, len(tokens)):
-                same = int(equal[start:end].sum())
-                run = (same, start - end, int(bounds[row]) - int(lo) - start, int(shift) - int(lo) - start)
-                best[row, item] = max(best.get((row, item), run), run)
-        for (row, item), (same, length, begin, offset) in best.items():
-            yield row, item, -begin, -begin - length, -offset, same
+        parts = []
+        for own in self.seeds:
+            pos, group = own.hits(hashes, row_of)
+            parts.append((row_of[pos], own.item[group], pos, own.begin[group], own.begin[group + 1], own.place))
+        base = np.cumsum([0, *(len(p[5]) for p in parts)])
+        row, item, pos, first, last = (np.concatenate([p[k] + (base[i] if k > 2 else 0) for i, p in enumerate(parts)]) for k in range(5))
+        places = np.concatenate([p[5] for p in parts])
+        order = np.lexsort((pos, item, row))
+        row, item, pos, first, last = (x[order] for x in (row, item, pos, first, last))
+        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+        for a, b in zip(new, [*new[1:], len(row)] if len(row) else [], strict=True):
+            r, i = int(row[a]), int(item[a])
+            doc, tokens = hashes[bounds[r] : bounds[r + 1]], self.items[i]
+            counts = np.zeros(len(doc) + len(tokens), np.int64)  # hits by shift, which is len(tokens) less than the index
+            cuts = np.searchsorted(np.cumsum(last[a:b] - first[a:b]), np.arange(PIECE, int((last[a:b] - first[a:b]).sum()), PIECE), "right")
+            for part in np.split(np.arange(a, b), np.unique(cuts)):
+                n = last[part] - first[part]
+                shift = np.repeat(pos[part] - bounds[r] + len(tokens), n) - places[_ranges(first[part], n)]
+                counts += np.bincount(shift, minlength=len(counts))
+            for start, end, shift, same in runs(doc, tokens, counts, min(self.min_tokens, len(tokens))):
+                yield r, i, start, end, start - shift, same
+
+
+def runs(doc: np.ndarray, item: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, shift, equal tokens): the runs on the alignments whose ``counts`` (by shift + len(item)) aren't zero."""
+    free, left = np.ones(len(doc), bool), len(doc)
+    shifts = np.flatnonzero(counts)
+    for shift in (shifts[np.argsort(-counts[shifts], kind="stable")] - len(item)).tolist():
+        lo, hi = max(0, shift), min(len(doc), shift + len(item))
+        if left < least:
+            return
+        if np.count_nonzero(free[lo:hi]) < least:
+            continue
+        equal, open_ = doc[lo:hi] == item[lo - shift : hi - shift], free[lo:hi]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+        todo = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < least or (MISMATCH + 1) * np.count_nonzero(equal[a:b]) < MISMATCH * least:
+                continue
+            start, end = longest_run(equal[a:b], b - a == len(item))
+            if end - start >= least:
+                start, end = a + start, a + end
+                yield lo + start, lo + end, shift, int(np.count_nonzero(equal[start:end]))
+                free[lo + start : lo + end] = False
+                left -= end - start
+                todo += [(a, start), (end, b)]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[list[int]], list[str]]]:
     """Item ids and text of each distinct text, block by block."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    distinct = items.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    distinct = materialize(items.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids")), "items")
     size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for k in range(n):
@@ -134,7 +199,7 @@ def overlaps(
     item_text_col: str = "text",
     min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
-    """One row per document row and benchmark item that overlap.
+    """One row per run of a benchmark item in a document row.
 
     doc_id, item_id, doc_start and doc_end (token positions, end exclusive),
     item_start, equal_tokens, similarity (equal share of the run) and coverage
