@@ -119,8 +119,11 @@ def brute_budgets(leaves, budget, weights, epochs):
                 left -= full[k]
         return full
 
+    def live(leaf):
+        return all(weights.get(name, {}).get(node, 1) > 0 for name, node in zip(("domain", "lang", "source"), leaf, strict=True))
+
     def cap(prefix):
-        return sum(t * epochs for leaf, t in leaves.items() if leaf[: len(prefix)] == prefix)
+        return sum(t * epochs for leaf, t in leaves.items() if leaf[: len(prefix)] == prefix and live(leaf))
 
     out = {(): budget}
     for depth, name in enumerate(("domain", "lang", "source")):
@@ -158,8 +161,28 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.op9_mix(df.limit(0)).count() == 0
 
 
+def test_budget_of_zero_weights_is_handed_on(spark):
+    rows = [(i, "w " * 10, "en", "s1" if i < 50 else "s2" if i < 60 else "s3", "x" if i < 60 else "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, dom string")
+    got = mixing.mix(df, F.col("dom"), {"source": {"s1": 0}}, F.lit(400)).collect()
+    assert sum(r.mix_tokens for r in got) == 400 and not any(r.source == "s1" for r in got)
+
+
+def test_rows_and_picks_agree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    monkeypatch.setattr(mixing, "RUN", 7)
+    docs = [(i % 300, f"w{i % 300} " * (1 + i % 13), "en", "src0", i % 3) for i in range(900)] + [(5, "hot", "en", "src0", k % 2) for k in range(400)] + [(6, "long " * 100_000, "de", "src1", 0)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for total in (1, 3000, 7000, 12000, 10**6):
+        made = mixing.Mixture(df, F.lit("d"), {}, F.lit(total), 2, 1, ("doc_id", "text", "lang", "source"))
+        key = lambda r: (r.mix_epoch, r.mix_order, r.mix_tokens)
+        picks, rows = made.picks().collect(), made.rows().collect()
+        assert sorted(map(key, picks)) == sorted(map(key, rows)) and all(len(r.text.split()) == r.mix_tokens for r in rows)
+
+
 def test_mixing_stays_native(spark, small):
     plan = queries.op9_mix_sources(spark, small)._jdf.queryExecution().toString()
+    plan += mixing.mixed_documents(spark.read.parquet(f"{small}/documents.parquet"), 1)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
 
 

@@ -3,21 +3,23 @@
 A token budget is propagated from the root through domain, language and source.
 At each node the children share its budget in proportion to their weights; a
 child short of tokens is filled up and the rest goes to its siblings. As a
-child's capacity is that of its whole subtree, a shortage reaches an ancestor's
-siblings only when its own siblings are used up. Each leaf then takes a prefix,
-by tokens, of its documents in seeded order: epoch by epoch, each epoch in an
-order of its own.
+child's capacity is that of the leaves in its subtree whose weights are positive
+all the way, a shortage reaches an ancestor's siblings only when its own siblings
+are used up. Each leaf then takes a prefix, by tokens, of its documents in seeded
+order: epoch by epoch, each epoch in an order of its own.
 
-No leaf is sorted as a whole. Documents fall into hash ranges of their order;
-token sums per range show which ranges are taken whole and in which one the
-budget ends, and only that range is ordered.
+Texts are read once for a narrow table of ids, content checks and token counts,
+in which equal rows are one row with a count. No leaf is sorted as a whole: only
+the epoch in which its budget ends is ordered, and there token sums by hash range
+show in which range it ends. That range is divided again until it holds some
+hundred rows, however large the leaf is; only these are ordered.
 
 Defined results: null domain, language or source count as ``''``, a null text
 has no tokens; documents without tokens are never selected; rows that repeat
-count and are ordered as separate rows (equal rows are interchangeable); a
-document is taken if the prefix before it is short of the leaf's budget. An
-empty table or budget gives no rows. Input columns named like the added ones
-are replaced.
+count and are ordered as separate rows (rows of one id and text are
+interchangeable); a document is taken if the prefix before it is short of the
+leaf's budget. A text counts whole, however long. An empty table or budget gives
+no rows. Input columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.scratch import checked_broadcast, materialize
 
-#: Ranges of the seeded order: hex digits of the hash, and so 16 ** n ranges.
-RANGE_DIGITS = 3
+#: Hex digits of the seeded order that one round divides a range by, and rows that need not be divided further.
+RANGE_DIGITS, RANGE_ROWS = 2, 256
+#: Copies of one row that are dealt out by one generated row.
+RUN = 4096
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 ADDED = (*LEVELS, "mix_tokens", "mix_epoch", "mix_order")
 
@@ -73,18 +77,109 @@ def _fill(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: Mapping[str, Mapping[str, int]], epochs: int) -> DataFrame:
     """Token budgets of the leaves (domain, language, source, tokens); budget may use ``total``, their sum."""
-    capped = leaves.select(*LEVELS, (F.col("tokens") * epochs).alias("cap"), "tokens")
+    weight = {c: _weight(F.col(c), weights.get(kind, {})) for c, kind in zip(LEVELS, ("domain", "lang", "source"), strict=True)}
+    live = F.least(*weight.values()) > 0
+    capped = leaves.select(*LEVELS, F.when(live, F.col("tokens") * epochs).otherwise(0).alias("cap"), "tokens")
     domain, lang, source = LEVELS
     total = Window.partitionBy(F.lit(0))
     top = capped.groupBy(domain).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("total", F.sum("tokens").over(total))
-    top = top.withColumn("budget", F.greatest(F.lit(0), budget).cast("bigint")).withColumn("weight", _weight(F.col(domain), weights.get("domain", {})))
-    mid = capped.groupBy(domain, lang).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(F.col(lang), weights.get("lang", {})))
-    low = capped.withColumn("weight", _weight(F.col(source), weights.get("source", {})))
+    top = top.withColumn("budget", F.greatest(F.lit(0), budget).cast("bigint")).withColumn("weight", weight[domain])
+    mid = capped.groupBy(domain, lang).agg(F.sum("cap").alias("cap")).withColumn("weight", weight[lang])
+    low = capped.withColumn("weight", weight[source])
     filled = _fill(top, []).select(domain, "budget")
     filled = _fill(mid.join(filled, domain), [domain]).select(domain, lang, "budget")
     return _fill(low.join(filled, [domain, lang]), [domain, lang]).select(*LEVELS, "budget")
 
 
+def _name(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _order(seed: int, epoch: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.col("mix_key")).cast("binary"))
+
+
+def _copies(rows: DataFrame, n: str) -> DataFrame:
+    """Every row as often as its column ``n`` says, without that column."""
+    runs = rows.withColumn("mix_run", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n), F.lit(RUN).cast("bigint"))))
+    return runs.withColumn("mix_copy", F.explode(F.sequence("mix_run", F.least(F.col("mix_run") + RUN - 1, F.col(n))))).drop("mix_run", "mix_copy", n)
+
+
+class Mixture:
+    """What a mix takes: ``narrow`` has the rows, ``ends`` where each leaf's budget ends, ``border`` how many copies of the rows there."""
+
+    def __init__(self, docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, epochs: int, seed: int, names: tuple[str, str, str, str]):
+        id_col, text_col, lang_col, source_col = names
+        self.seed, self.id_col, self.text_col = seed, id_col, text_col
+        clean = docs.drop(*(c for c in docs.columns if c in ADDED))
+        self.columns = clean.columns
+        key = F.concat_ws(":", _name(F.col(id_col)), F.crc32(_name(F.col(text_col)).cast("binary")).cast("string"))
+        self.leaved = clean.withColumns({LEVELS[0]: _name(domain), LEVELS[1]: _name(F.col(lang_col)), LEVELS[2]: _name(F.col(source_col)), "mix_key": key})
+        counted = self.leaved.select(*LEVELS, "mix_key", F.col(id_col).alias("mix_id"), token_count(F.col(text_col)).alias("mix_tokens")).where("mix_tokens > 0")
+        self.narrow = materialize(counted.groupBy(*LEVELS, "mix_key", "mix_id", "mix_tokens").agg(F.count("*").alias("n")), "narrow")
+        leaves = materialize(self.narrow.groupBy(*LEVELS).agg(F.sum(F.col("n") * F.col("mix_tokens")).alias("tokens"), F.count("*").alias("rows")), "leaves")
+        budgets = leaf_budgets(leaves, budget, weights, epochs).where("budget > 0")
+        whole = F.least(F.expr("budget div tokens"), F.lit(epochs))
+        ends = leaves.join(budgets, list(LEVELS)).select(*LEVELS, whole.cast("int").alias("last"), "budget", "tokens")
+        left = F.when(F.col("last") < epochs, F.col("budget") - F.col("last") * F.col("tokens")).otherwise(0)
+        self.ends = checked_broadcast(materialize(ends.select(*LEVELS, "last", left.alias("left"), F.lit("").alias("prefix")), "ends"))
+        size = leaves.agg(F.max("rows")).first()[0] or 0
+        while size > RANGE_ROWS:
+            self._divide()
+            size >>= 4 * RANGE_DIGITS
+        prefix = Window.partitionBy(*LEVELS).orderBy("mix_order", "mix_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.col("n") * F.col("mix_tokens")).over(prefix), F.lit(0))
+        border = self._at_end().withColumn("mix_before", before).where(F.col("mix_before") < F.col("left"))
+        taken = F.least(F.col("n"), F.ceil((F.col("left") - F.col("mix_before")) / F.col("mix_tokens"))).cast("bigint")
+        # A range of RANGE_ROWS rows, about, of each leaf.
+        self.border = materialize(border.select(*LEVELS, "mix_key", "mix_id", "mix_tokens", F.col("last").alias("mix_epoch"), "mix_order", "n", taken.alias("taken")), "border")
+
+    def _at_end(self) -> DataFrame:
+        """The narrow rows in the range of the seeded order in which their leaf's budget ends."""
+        ended = self.narrow.join(self.ends.where("left > 0"), list(LEVELS)).withColumn("mix_order", _order(self.seed, F.col("last")))
+        return ended.where(F.startswith("mix_order", "prefix"))
+
+    def _divide(self) -> None:
+        digits = F.substring(F.col("mix_order"), F.length("prefix") + 1, F.lit(RANGE_DIGITS))
+        sums = self._at_end().groupBy(*LEVELS, "last", "left", F.concat("prefix", digits).alias("prefix")).agg(F.sum(F.col("n") * F.col("mix_tokens")).alias("t"))
+        upto = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("prefix"))
+        reached = sums.withColumn("before", upto - F.col("t")).where("left > before")
+        end = reached.groupBy(*LEVELS, "last").agg(F.max(F.struct("prefix", (F.col("left") - F.col("before")).alias("left"))).alias("end"))
+        done = self.ends.where("left <= 0")
+        self.ends = checked_broadcast(materialize(end.select(*LEVELS, "last", "end.left", "end.prefix").unionByName(done), "ends"))
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with mix_epoch and mix_order, once for each epoch that takes them wholly before the border range."""
+        epochs = F.sequence(F.lit(0), F.when(F.col("left") > 0, F.col("last")).otherwise(F.col("last") - 1))
+        some = F.col("last") + F.when(F.col("left") > 0, 1).otherwise(0) > 0
+        dealt = rows.join(self.ends, list(LEVELS)).where(some).withColumn("mix_epoch", F.explode(epochs)).withColumn("mix_order", _order(self.seed, F.col("mix_epoch")))
+        before = F.col("mix_order").substr(F.lit(1), F.length("prefix")) < F.col("prefix")
+        return dealt.where((F.col("mix_epoch") < F.col("last")) | before).drop("last", "left", "prefix")
+
+    def picks(self) -> DataFrame:
+        """(mix_id and the ``mix_`` columns): a row for each document and epoch taken, from the narrow table alone."""
+        columns = ["mix_id", *LEVELS, "mix_tokens", "mix_epoch", "mix_order", "n"]
+        taken = self.border.withColumn("n", F.col("taken"))
+        return _copies(self._whole(self.narrow).select(*columns).unionByName(taken.select(*columns)), "n")
+
+    def rows(self) -> DataFrame:
+        """The rows taken, with all columns and the ``mix_`` ones."""
+        out = [*self.columns, *LEVELS, "mix_tokens", "mix_epoch", "mix_order"]
+        text = F.col(self.text_col).cast("string")
+        used = self.leaved.where(text.rlike(r"[^\x20\x09-\x0D]"))
+        whole = self._whole(used).withColumn("mix_tokens", token_count(text))
+        keys = self.border.groupBy(*LEVELS, "mix_key", "mix_epoch", "mix_order").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
+        met = used.join(checked_broadcast(materialize(keys, "keys")), [*LEVELS, "mix_key"]).withColumn("mix_tokens", token_count(text))
+        # A leaf has one group of equal rows at most that is taken in part.
+        part = met.where("taken < n").withColumn("mix_content", F.xxhash64(*self.columns))
+        shared = [*LEVELS, "mix_key", "mix_tokens", "mix_epoch", "mix_order", "taken"]
+        kinds = part.groupBy(*shared, "mix_content").agg(F.first(F.struct(*self.columns)).alias("mix_row"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*LEVELS, "mix_key").orderBy("mix_content").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kept = kinds.withColumn("n", F.least("n", F.col("taken") - before)).where("n > 0")
+        some = _copies(kept, "n").select(*(F.col("mix_row")[c].alias(c) for c in self.columns), *LEVELS, "mix_tokens", "mix_epoch", "mix_order")
+        return whole.select(*out).union(met.where("taken = n").select(*out)).union(some)
+
+
 def mix(
     docs: DataFrame,
     domain: Column,
@@ -103,33 +198,7 @@ def mix(
     node name (1 if absent); ``budget`` is a token count, and may use the column
     ``total``, all tokens of the table.
     """
-    clean = docs.drop(*(c for c in docs.columns if c in ADDED))
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    key = F.concat_ws(":", name(F.col(id_col)), F.crc32(name(F.col(text_col)).cast("binary")).cast("string"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("mix_epoch").cast("string"), F.lit(":"), F.col("mix_key")).cast("binary"))
-    def deal(rows: DataFrame) -> DataFrame:
-        epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))) if epochs > 1 else F.lit(0)
-        ranged = F.conv(F.substring("mix_order", 1, RANGE_DIGITS), 16, 10).cast("int")
-        return rows.withColumn("mix_epoch", epoch).withColumn("mix_order", order).withColumn("mix_range", ranged).drop("mix_key")
-
-    leaved = clean.withColumns({LEVELS[0]: name(domain), LEVELS[1]: name(F.col(lang_col)), LEVELS[2]: name(F.col(source_col)), "mix_key": key})
-    dealt = deal(leaved)
-    counted = leaved.select(*LEVELS, "mix_key", token_count(F.col(text_col)).alias("t"))
-    # Used twice below, and small: leaves x ranges rows.
-    ranges = materialize(deal(counted).groupBy(*LEVELS, "mix_epoch", "mix_range").agg(F.sum("t").alias("t")), "ranges")
-    budgets = leaf_budgets(ranges.where("mix_epoch = 0").groupBy(*LEVELS).agg(F.sum("t").alias("tokens")), budget, weights, epochs)
-    ends = Window.partitionBy(*LEVELS).orderBy("mix_epoch", "mix_range")
-    reached = ranges.withColumn("upto", F.sum("t").over(ends)).join(budgets, list(LEVELS)).where("budget > upto - t")
-    # One row per leaf: where the budget ends, and what of it is left there.
-    last = reached.groupBy(*LEVELS).agg(F.max(F.struct("mix_epoch", "mix_range", (F.col("budget") - F.col("upto") + F.col("t")).alias("left"))).alias("end"))
-    placed = dealt.join(checked_broadcast(materialize(last, "ends")), list(LEVELS))
-    at = F.struct("mix_epoch", "mix_range")
-    end = F.struct("end.mix_epoch", "end.mix_range")
-    whole = placed.where(at < end).withColumn("mix_tokens", token_count(F.col(text_col))).where("mix_tokens > 0")
-    border = placed.where(at == end).withColumn("mix_tokens", token_count(F.col(text_col))).where("mix_tokens > 0")
-    prefix = Window.partitionBy(*LEVELS).orderBy("mix_order", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    part = border.withColumn("mix_before", F.coalesce(F.sum("mix_tokens").over(prefix), F.lit(0))).where(F.col("mix_before") < F.col("end.left"))
-    return whole.drop("end", "mix_range").unionByName(part.drop("end", "mix_range", "mix_before"))
+    return Mixture(docs, domain, weights, budget, epochs, seed, (id_col, text_col, lang_col, source_col)).rows()
 
 
 #: The registered query's tree: sources whose number ends in an even digit are of domain ``even``.
@@ -141,14 +210,19 @@ def domain_of(source: Column) -> Column:
     return F.when(F.coalesce(source, F.lit("")).rlike("[02468]$"), "even").otherwise("odd")
 
 
+def _mixture(docs: DataFrame, epochs: int) -> Mixture:
+    budget = F.expr(f"total * {SHARE[0]} div {SHARE[1]}")
+    return Mixture(docs, domain_of(F.col("source")), WEIGHTS, budget, epochs, 42, ("doc_id", "text", "lang", "source"))
+
+
 def mixed_documents(docs: DataFrame, epochs: int) -> DataFrame:
-    return mix(docs, domain_of(F.col("source")), WEIGHTS, F.expr(f"total * {SHARE[0]} div {SHARE[1]}"), epochs)
+    return _mixture(docs, epochs).rows()
 
 
 def op9_mix(docs: DataFrame) -> DataFrame:
     """Which documents a mix of nine tenths of the tokens takes, each at most twice."""
-    return mixed_documents(docs, 2).select(
-        "doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"),
+    return _mixture(docs, 2).picks().select(
+        F.col("mix_id").alias("doc_id"), F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"),
         F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"), F.col("mix_order").alias("seed_order"),
     )
 
