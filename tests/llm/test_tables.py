@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, small, duck, name):
 
 
 def test_sharding_of_odd_rows(spark):
-    rows = [(i, f"text {i}", 1) for i in range(500)] + [(7, "hot", 2)] * 900 + [(None, None, 3), (None, "é", 3), (1, "", 3)]
+    rows = [(i, f"text {i}", 1) for i in range(500)] + [(7, "hot", 2)] * 900 + [(None, None, 3), (None, "é", 3), (1, "", 3), (2, "long " * 100_000, 3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, shard int")
     got = sharding.op5_rendezvous(df).collect()
     assert sorted((r.doc_id, r.text_crc32) for r in got if r.doc_id is not None) == sorted((d, zlib.crc32(t.encode())) for d, t, _ in rows if d is not None)

@@ -5,9 +5,14 @@ key's uniform draw for a shard of weight w, the score is -w / ln(u), so a shard
 wins a share of keys in proportion to its weight, and a new shard takes rows
 only into itself.
 
-Defined results: a null key draws like the empty string; repeated rows share a
-shard and get slots of their own; an empty table gives no rows. Columns are
-read by name into new names, so columns of the input can't clash.
+Texts are read once, for a narrow table of id, size and CRC-32 in which equal
+rows are one row with a count.
+
+Defined results: a null key draws like the empty string, and a null text is
+empty; repeated rows share a shard and get slots of their own; a text counts
+whole, however long; ties in score go to the smaller shard; an empty table gives
+no rows. Columns are read by name into new names, so columns of the input can't
+clash.
 """
 
 from __future__ import annotations
@@ -17,8 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash buckets that a shard's rows are numbered in, so no task holds a whole shard.
-SLOT_BUCKETS = 256
+from textloom.llm.scratch import materialize
+
+#: Hex digits of a row's hash that give its bucket; a shard's rows are numbered by bucket, so no task holds a whole shard.
+BUCKET_DIGITS = 3
 #: Copies of one row that are numbered by one generated row.
 RUN = 4096
 
@@ -29,13 +36,19 @@ def draw(key: Column, shard: int) -> Column:
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
+def _bids(key: Column, weights: Sequence[float], first: int = 0) -> list[Column]:
+    if min(weights, default=0) <= 0:
+        raise ValueError("weights must be positive")
+    return [F.struct((F.lit(-float(w)) / F.log(draw(key, i))).alias("score"), F.lit(-i).alias("shard")) for i, w in enumerate(weights, first)]
+
+
+def _best(bids: Sequence[Column]) -> Column:
+    return F.greatest(*bids) if len(bids) > 1 else bids[0]
+
+
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard (an int) that a string key falls to; ties go to the smaller shard."""
-    if not weights or min(weights) <= 0:
-        raise ValueError("weights must be positive")
-    scores = [F.struct((F.lit(-float(w)) / F.log(draw(key, i))).alias("score"), F.lit(-i).alias("shard")) for i, w in enumerate(weights)]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return (-best["shard"]).cast("int")
+    return (-_best(_bids(key, weights))["shard"]).cast("int")
 
 
 def shard_rows(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,19 +68,20 @@ def shard_rows(docs: DataFrame, weights: Sequence[float], grown: Sequence[float]
         .agg(F.count("*").alias("n"))
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    placed = rows.withColumns(
-        {
-            "shard": rendezvous(key, weights),
-            "grown_shard": rendezvous(key, grown),
-            "bucket": F.conv(F.substring(F.md5(key.cast("binary")), 1, 2), 16, 10).cast("int"),
-        }
-    )
+    own = rows.withColumn("own", _best(_bids(key, weights)))
+    more = _bids(key, grown[len(weights) :], len(weights)) if len(grown) > len(weights) else []
+    check = F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string")).cast("binary"))
+    placed = own.select(
+        "doc_id", "size", "text_crc32", "n", (-F.col("own.shard")).cast("int").alias("shard"), (-_best([F.col("own"), *more])["shard"]).cast("int").alias("grown_shard"),
+        F.conv(F.substring(check, 1, BUCKET_DIGITS), 16, 10).cast("int").alias("bucket"),
+    )
+    placed = materialize(placed, "placed")
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     totals = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("total"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
-    # At most shards x SLOT_BUCKETS rows: a proven bound for the broadcast.
+    # At most shards x 16 ** BUCKET_DIGITS rows: a proven bound for the broadcast.
     numbered = local.join(F.broadcast(offsets), ["shard", "bucket"]).withColumn("start", F.col("offset") + F.col("before"))
     runs = numbered.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))))
     slots = runs.withColumn("k", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN - 1, F.col("n") - 1))))
@@ -96,7 +110,7 @@ def oracle(shards: int = 16, table: str = "documents") -> str:
                                       lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
                FROM {table}, tab),
          p AS (SELECT *, (-({pick(shards)}).shard)::INTEGER AS shard, (-({pick(shards + 1)}).shard)::INTEGER AS grown_shard,
-                      ('0x' || substr(md5(k), 1, 2))::INTEGER AS bucket FROM r)
+                      ('0x' || substr(md5(k || ':' || text_crc32), 1, {BUCKET_DIGITS}))::INTEGER AS bucket FROM r)
     SELECT doc_id, size, text_crc32, 'key' AS law, shard,
            row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
     FROM p"""
