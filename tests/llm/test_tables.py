@@ -66,6 +66,10 @@ def test_url_rules(spark):
     assert got == sorted(map(str, want))
     assert url_rules.judge(df, spark.createDataFrame([], "host string, path string, action string"), "keep").where("verdict <> 'keep'").count() == 0
     assert url_rules.op7_rules(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "h://org/es/" + "x/" * 50_000), (2, "h://" + "a." * 200_000 + "com/en/")], "page_id bigint, url string")
+    assert {r.page_id: (len(r.path), r.rule, r.verdict) for r in url_rules.op7_rules(long).collect()} == {1: (100_004, "org/es/", "block"), 2: (4, "com/en/", "block")}
+    rules = spark.createDataFrame([("org", "/es/", "block"), ("org", "/es/", "allow"), (None, "/", "block"), ("com", None, "block")], "host string, path string, action string")
+    assert {(r.rule, r.verdict) for r in url_rules.judge(df, rules, "keep").collect()} == {(None, "keep"), ("org/es/", "allow")}
 
 
 def test_warc_round_trip(spark, tmp_path):

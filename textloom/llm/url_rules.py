@@ -1,15 +1,19 @@
 """URL filtering by hashed host-suffix and path-prefix expressions.
 
 Every URL is expanded into the expressions a rule could have: each suffix of
-its host at a label boundary, with each prefix of its path as long as some
+its host with as many labels as some rule's host, with each prefix of its path as long as some
 rule's path. Expressions and rules meet in an equi-join on the first four bytes
 of their SHA-256, so the shipped keys stay short; the full digest is confirmed
-after it, and of the rules that fit, the longest wins.
+after it, and of the rules that fit, the longest wins. Only expressions that meet
+a rule leave the join; their best rule by host and path is joined back to the
+pages, so no key holds a row of every page.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 which no rule fits. Repeated rows and ids keep a row each. Of two rules with
-the same expression, the one with the smaller action wins. An empty rule table
-leaves every URL with the default verdict.
+the same expression, the one with the smaller action wins; rules with a null
+host or path fit nothing. A URL counts whole, however long. An empty rule table
+leaves every URL with the default verdict, an empty page table gives no rows.
+Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.scratch import checked_broadcast, materialize
+
 PREFIX_HEX = 8
 #: Upper-case letters that hosts are folded from; others stay.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,10 +38,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """All suffixes of a host at label boundaries, the host itself included."""
+def host_suffixes(host: Column, depths: list[int]) -> Column:
+    """The suffixes of a host at label boundaries that have one of these numbers of labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    counts = F.filter(F.array(*map(F.lit, depths)), lambda n: n <= F.size(labels))
+    return F.transform(counts, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -46,7 +53,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """(page_id, host, path, rule, verdict) for every page.
 
     ``rules`` has the string columns host, path and action. The distinct
-    lengths of rule paths travel as one array, bounded by the longest path.
+    lengths of rule paths and label counts of rule hosts travel as arrays,
+    bounded by the longest path and host.
     """
     table = (
         rules.select("host", "path", "action")
@@ -60,25 +68,24 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
             "digest",
             F.substring("digest", 1, PREFIX_HEX).alias("prefix"),
             F.length("path").alias("path_length"),
+            F.size(F.split("host", r"\.")).alias("depth"),
         )
     )
+    table = materialize(table, "rules")
+    depths = sorted(r.depth for r in table.select("depth").distinct().collect())
     lengths = sorted(r.path_length for r in table.select("path_length").distinct().collect())
-    parsed = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url")
-    ).select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    url = F.col(url_col).cast("string")
+    parsed = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     if not lengths:
-        return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     prefixes = F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    # The row itself rides along with an expression that no rule has, so pages without any stay.
-    expressions = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    exploded = parsed.withColumn("digest", F.explode(F.array_append(expressions, F.lit("")))).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
-    matched = exploded.join(table.withColumnRenamed("digest", "full"), "prefix", "left")
-    fits = F.col("digest") == F.col("full")
-    best = F.max(F.when(fits, F.struct(F.length("rule").alias("length"), F.col("rule"), F.col("action"))))
-    # Partial aggregation folds a page's expressions to one row before the shuffle.
-    judged = matched.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
-    return judged.select(
+    expressions = F.flatten(F.transform(host_suffixes(F.col("host"), depths), lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
+    exploded = parsed.select("host", "path", F.explode(expressions).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
+    matched = exploded.join(checked_broadcast(table.withColumnRenamed("digest", "full")), "prefix").where("digest = full")
+    best = F.max(F.struct(F.length("rule").alias("length"), F.col("rule"), F.col("action"))).alias("best")
+    judged = checked_broadcast(materialize(matched.groupBy("host", "path").agg(best), "judged"))
+    return parsed.join(judged, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict")
     )
 
