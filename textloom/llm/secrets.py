@@ -5,14 +5,21 @@ matched. The further kinds are reported only if decoding confirms a structure:
 
 * ``jwt``: three base64url parts, of which the first decodes to a JSON object with
   an ``alg`` string (a signed-token header) and the second to a JSON object;
-* ``pem``: a private-key block whose base64 body decodes to a DER sequence with
-  consistent nested lengths, to an OpenSSH key, or to an encrypted key's body;
-* ``b64key`` and ``hexkey``: base64 or hex runs outside the above that decode to
-  such an encoding.
+* ``pem``: a private-key block whose base64 body decodes to a private key's DER, to
+  an OpenSSH container, or to an encrypted key's body;
+* ``b64key`` and ``hexkey``: base64 or hex outside the above that decodes to a
+  private key, wherever it starts in its run and over line breaks. The span is that
+  of the key, padding included.
+
+A private key's DER is a sequence whose nested lengths all fit and whose types are
+those of PKCS #1, SEC 1, PKCS #8 (with such a key inside) or an encrypted PKCS #8
+key. Public keys and certificates aren't reported.
 
 Positions are code points, ends exclusive; matches of a kind don't overlap.
 Defined results: a null text counts as empty and has no spans; repeated rows
-keep a row each; long texts are scanned whole.
+keep a row each; long texts are scanned whole, in time linear in their length but
+for runs built to hold many starts of keys; an empty table gives no rows. Only the
+two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +29,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,54 +46,118 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "b64key", "hexkey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+#: Runs of base64url parts joined by dots, of which any three in a row may be a token.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
+#: Where a header may begin inside a part: an object's brace and what may follow it, in base64.
+BRACE = re.compile(r"(?<![A-Za-z0-9])e[yw]")
+#: How an object with fields begins; where the bytes end early, what follows is open.
+OBJECT_START = re.compile(rb'[\x20\t\r\n]*+\{[\x20\t\r\n]*+"(?:[^"\\]|\\.)*+(?:"[\x20\t\r\n]*+(?::|\Z)|\\?\Z)', re.S)
+MARKER = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
 OPENSSH = b"openssh-key-v1\0"
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
-
-
-def der_end(data: bytes, at: int = 0) -> int:
-    """Where the DER element at a position ends by its header, or -1."""
+#: A DER sequence's first byte and the class of its length, then enough for the first fields; or an OpenSSH container.
+B64_START = re.compile(r"(?=(M[A-I][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZX))")
+HEX_START = re.compile(r"(?=(30(?:8[1-4]|[0-7][0-9a-f])[0-9a-f]{20}|6f70656e7373682d6b6579))", re.I)
+B64_RUN, HEX_RUN = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+WRAP = re.compile(r"[\x20\t]*(?:\r?\n|\\n)[\x20\t]*")
+#: DER tags of integers, octet strings, object identifiers and sequences, of those that nest, and the encryption schemes' identifiers.
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+NESTING = (0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3)
+ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: No key nests deeper, and none is shorter (bytes).
+DEPTH, LEAST = 16, 32
+
+
+def der_header(data: bytes, at: int = 0) -> tuple[int, int]:
+    """(begin, end) of the content of the DER element at a position, (-1, -1) if its header is none."""
     if at + 2 > len(data):
-        return -1
+        return -1, -1
     length, at = data[at + 1], at + 2
     if length >= 0x80:
         size = length & 0x7F
-        if not 1 <= size <= 4 or at + size > len(data) or not data[at]:
-            return -1
+        if not 1 <= size <= 4 or at + size > len(data) or not data[at] or size == 1 and data[at] < 0x80:
+            return -1, -1
         length, at = int.from_bytes(data[at : at + size], "big"), at + size
-    return at + length
+    return at, at + length
+
+
+def der_children(data: bytes, begin: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """(tag, begin, end) of the elements that fill a range; None if they don't, or those that nest aren't filled."""
+    out = []
+    while begin < end:
+        tag, (start, stop) = data[begin], der_header(data, begin)
+        if start < 0 or stop > end or tag == INTEGER and start == stop:
+            return None
+        if tag in NESTING and (depth >= DEPTH or der_children(data, start, stop, depth + 1) is None):
+            return None
+        out.append((tag, start, stop))
+        begin = stop
+    return out
 
 
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence of the whole length whose elements fill it, the first an integer or a sequence."""
-    if data[:1] != b"\x30" or der_end(data) != len(data):
+    """A DER sequence of the whole length that has a private key's types, with consistent nested lengths."""
+    whole = der_children(data, 0, len(data))
+    if not whole or len(whole) > 1 or whole[0][0] != SEQUENCE:
+        return False
+    fields = der_children(data, *whole[0][1:])
+    tags, inside = [f[0] for f in fields], [data[f[1] : f[2]] for f in fields]
+    if not tags:
+        return False
+    optional = lambda rest: all(t in (0xA0, 0xA1, 0x80, 0x81) for t in rest)
+    if tags[0] == INTEGER and inside[0] in (b"\0", b"\1"):
+        integers = tags[:-1] if tags[-1] == SEQUENCE and len(tags) == 10 else tags  # further primes
+        if len(tags) >= 4 and set(integers) == {INTEGER}:
+            return True
+        if tags[1:2] == [OCTETS] and inside[0] == b"\1":
+            return bool(inside[1]) and optional(tags[2:])
+        if tags[1:3] == [SEQUENCE, OCTETS] and optional(tags[3:]):
+            kind, held = der_children(data, *fields[1][1:]), der_children(inside[2], 0, len(inside[2]))
+            lone = held and len(held) == 1 and held[0][0] in (OCTETS, INTEGER)
+            return bool(kind) and kind[0][0] == OBJECT and bool(lone or is_der_key(inside[2]))
         return False
-    at = len(data) - (len(data) - 2 if data[1] < 0x80 else len(data) - 2 - (data[1] & 0x7F))
-    tags = []
-    while at < len(data):
-        tags.append(data[at])
-        at = der_end(data, at)
-        if at < 0 or at > len(data):
-            return False
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30) and all(t in (0x02, 0x03, 0x04, 0x30, 0x31, 0xA0, 0xA1) for t in tags)
+    if tags == [SEQUENCE, OCTETS] and inside[1]:
+        kind = der_children(data, *fields[0][1:])
+        return bool(kind) and kind[0][0] == OBJECT and data[kind[0][1] : kind[0][2]].startswith(ENCRYPTED)
+    return False
+
+
+def der_begins(data: bytes) -> int:
+    """The length of the element that some first bytes begin, if a private key may begin so, else 0."""
+    at, end = der_header(data)
+    if data[:1] != b"\x30" or at < 0 or end < LEAST:
+        return 0
+    if data[at : at + 3] in (b"\2\1\0", b"\2\1\1") and data[at + 3 : at + 4] in (b"\2", b"\4", b"\x30"):
+        return end
+    inner, _ = der_header(data, at)
+    return end if data[at] == SEQUENCE and 0 <= inner < len(data) and data[inner] == OBJECT else 0
+
+
+def ssh_key_end(data: bytes) -> int:
+    """Where OpenSSH's private container ends by its nested lengths, 0 if it is none, or more bytes than there are if it goes on."""
+    if not data.startswith(OPENSSH):
+        return 0
+    at, fields, wanted = len(OPENSSH), [], 3
+    while len(fields) < wanted:
+        if at + 4 > len(data):
+            return at + 4
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return at + 4 + size
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+        if len(fields) == 3 and wanted == 3:  # cipher, function and its options, then a count of public keys and the private part
+            if at + 4 > len(data):
+                return at + 4
+            keys = int.from_bytes(data[at : at + 4], "big")
+            if not 1 <= keys <= 16 or not fields[0] or not fields[1]:
+                return 0
+            wanted, at = 4 + keys, at + 4
+    return at if all(fields[3:]) else 0
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """OpenSSH's private container, or a public-key blob: strings with lengths that fill it."""
-    body = data[len(OPENSSH) :] if data.startswith(OPENSSH) else data
-    at, fields = 0, []
-    while at + 4 <= len(body) and len(fields) < 8:
-        size = int.from_bytes(body[at : at + 4], "big")
-        if size > len(body) - at - 4:
-            return False
-        fields.append(body[at + 4 : at + 4 + size])
-        at += 4 + size
-        if body is not data and len(fields) == 3:
-            return True
-    return at == len(body) and len(fields) >= 2 and fields[0].startswith(SSH_TYPES)
+    """OpenSSH's private container, of the whole length."""
+    return bool(data) and ssh_key_end(data) == len(data)
 
 
 def unbase64(text: str) -> bytes:
@@ -104,21 +177,93 @@ def _json_object(part: str) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def is_signed_token(match: re.Match) -> bool:
-    header = _json_object(match[1])
-    return isinstance(header.get("alg"), str) and (bool(_json_object(match[2])) or "enc" in header)
-
-
-def is_private_key(match: re.Match) -> bool:
-    lines = match[2].replace("\\n", "\n").split("\n")
-    body = unbase64("".join(x.strip() for x in lines if ":" not in x))
+def is_signed_token(header: str, payload: str) -> bool:
+    found = _json_object(header)
+    return isinstance(found.get("alg"), str) and (bool(_json_object(payload)) or "enc" in found)
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens, the earliest first; a header may follow other letters of its part."""
+    for m in DOTTED.finditer(text):
+        at, done = m.start(), -1
+        parts = m[0].split(".")
+        places = []
+        for part in parts:
+            places.append(at)
+            at += len(part) + 1
+        for i in range(len(parts) - 2):
+            if places[i] < done:
+                continue
+            for begin in (0, *(b.start() for b in BRACE.finditer(parts[i], 1))):
+                if OBJECT_START.match(unbase64(parts[i][begin : begin + 240])) and is_signed_token(parts[i][begin:], parts[i + 1]):
+                    done = places[i + 2] + len(parts[i + 2])
+                    yield places[i] + begin, done
+                    break
+
+
+def is_private_key(body: str) -> bool:
+    """Whether the body of a private-key block holds such a key, or an encrypted one under its headers."""
+    lines = body.replace("\\n", "\n").split("\n")
+    data = unbase64("".join(x.strip() for x in lines if ":" not in x))
     encrypted = any(x.strip().startswith(("Proc-Type:", "DEK-Info:")) for x in lines)
-    return bool(body) and (is_der_key(body) or is_ssh_key(body) or encrypted and len(body) % 8 == 0)
-
-
-#: Bytes of the runs that the last three patterns need, and the least length of such a run.
+    return bool(data) and (is_der_key(data) or is_ssh_key(data) or encrypted and len(data) % 8 == 0)
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of private-key blocks: an end marker with the last begin marker of its label before it."""
+    begun: dict[str, re.Match] = {}
+    for m in MARKER.finditer(text):
+        if m[1] == "BEGIN":
+            begun[m[2]] = m
+        elif begin := begun.pop(m[2], None):
+            if is_private_key(text[begin.end() : m.start()]):
+                yield begin.start(), m.end()
+
+
+def _take(text: str, at: int, run: re.Pattern, wanted: int) -> tuple[str, int]:
+    """(characters, end): up to ``wanted`` characters of a run from a position on, over line breaks."""
+    out, held = [], 0
+    while held < wanted and (m := run.match(text, at, at + wanted - held)):
+        out.append(m[0])
+        held, at = held + len(out[-1]), at + len(out[-1])
+        if held < wanted:
+            if not (wrap := WRAP.match(text, at)):
+                break
+            at = wrap.end()
+    return "".join(out), at
+
+
+def bare_keys(text: str, start: re.Pattern, run: re.Pattern, decode, per_byte: int) -> Iterator[tuple[int, int]]:
+    """Spans of private keys in base64 (four characters for three bytes) or hex (six), the earliest first."""
+    done = -1
+    for m in start.finditer(text):
+        if m.start() < done:
+            continue
+        first = decode(_take(text, m.start(), run, 8 * per_byte)[0])
+        ssh, wanted = first.startswith(OPENSSH), 0
+        wanted = ssh_key_end(first) if ssh else der_begins(first)
+        while wanted:
+            held, end = _take(text, m.start(), run, -(-wanted * per_byte // 3))
+            data = decode(held)[:wanted]
+            more = ssh_key_end(data) if ssh else wanted
+            if len(data) < wanted or more == wanted:
+                wanted = 0
+                if is_ssh_key(data) if ssh else is_der_key(data):
+                    while text[end : end + 1] == "=" and run is B64_RUN and len(held) % 4:
+                        held, end = held + "=", end + 1
+                    done = end
+                    yield m.start(), end
+            else:
+                wanted = more
+
+
+def unhex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
+#: Bytes of the runs that the patterns but assign, access and pem need, and the least length of such a run.
 RUN_BYTES = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8))
-RUN_LENGTH = 24
+RUN_LENGTH = 16
 
 
 def with_runs(column: pa.Array) -> np.ndarray:
@@ -161,16 +306,20 @@ def scan(text: str | None, runs: bool = True) -> list[tuple[int, int, str]]:
         add("access", (m for m in ACCESS.finditer(text) if len(m[0]) >= 20))
     if runs:
         add("hex", HEX.finditer(text))
-    if "eyJ" in text:
-        add("jwt", filter(is_signed_token, JWT.finditer(text)))
     if "PRIVATE KEY-----" in text:
-        add("pem", filter(is_private_key, PEM.finditer(text)))
-    inside = [(s, e) for s, e, kind in found if kind in ("jwt", "pem")]
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e in inside)
-    for kind, pattern, decode in () if not runs else (("b64key", B64, unbase64), ("hexkey", ANY_HEX, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if free(m) and (is_der_key(data := decode(m[0])) or is_ssh_key(data)):
-                found.append((m.start(), m.end(), kind))
+        found.extend((a, b, "pem") for a, b in key_blocks(text))
+    if not runs:
+        return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
+    if "." in text:
+        found.extend((a, b, "jwt") for a, b in signed_tokens(text))
+    # Ends rise with starts, also where a token lies in a block.
+    inside = sorted((a, b) for a, b, kind in found if kind in ("jwt", "pem"))
+    starts, ends = [a for a, _ in inside], list(accumulate((b for _, b in inside), max))
+    for kind, *how in (("b64key", B64_START, B64_RUN, unbase64, 4), ("hexkey", HEX_START, HEX_RUN, unhex, 6)):
+        for a, b in bare_keys(text, *how):
+            k = bisect_right(starts, b - 1)
+            if not k or ends[k - 1] <= a:
+                found.append((a, b, kind))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
