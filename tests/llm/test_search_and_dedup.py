@@ -38,6 +38,30 @@ def test_top_k_of_an_empty_table(spark):
     assert cover_tree.op1_top5(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**30, 2.0**52, 1e9 + 1 / 256])
+def test_large_components_stay_exact(spark, size):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 4)]) for i in range(120)]
+    rows += [(i, [size, float(i), -3.0, 1.0 / 256]) for i in range(200, 203)] + [(i, [float(i - 250), 2.0, size / 2, 0.0]) for i in range(250, 254)] + [(300, [-size, -size, -size, -size])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ok = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = {}
+    for q in (i for i in ok if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(ok[q], ok[i], strict=True)), i) for i in ok if i != q)
+        want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(scores[:5])}
+    if all(-(2**63) < s < 2**63 for _, s in want.values()):
+        assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in cover_tree.op1_top5(df).collect()} == want
+    else:
+        with pytest.raises(Exception, match="out of a long's range"):
+            cover_tree.op1_top5(df).collect()
+
+
+def test_least_scores_beyond_a_long_do_not_raise(spark):
+    rows = [(0, [-(2.0**40), 1.0]), (1, [2.0**40, 0.0])] + [(i, [0.0, float(i)]) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in cover_tree.op1_top5(df).orderBy("rank").collect()] == [(i, 65536 * i) for i in (8, 7, 6, 5, 4)]
+
+
 def test_dual_tree_prunes_and_stays_exact():
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 100, (12, 16))
@@ -48,7 +72,9 @@ def test_dual_tree_prunes_and_stays_exact():
         assert np.linalg.norm(own - tree.centre[node], axis=1).max() <= tree.radius[node] + 1e-6
         gaps = [np.linalg.norm(tree.centre[a] - tree.centre[b]) for a in below for b in below if a < b]
         assert not gaps or min(gaps) >= max(tree.radius[b] for b in below) - 1e-6
-    score, at = cover_tree.search(queries_, np.full(len(points[::50]), -(2.0**62)), tree, np.arange(len(points)), 6)
+    visits = cover_tree.Visits()
+    score, at = cover_tree.search(queries_, np.full(len(points[::50]), -(2.0**62)), tree, np.arange(len(points)), 6, visits)
+    assert visits.leaves < 0.5 * visits.possible, visits
     full = (points[::50] @ points.T).astype(np.int64)
     for r in range(len(score)):
         q = queries_.order[r]

@@ -196,5 +196,7 @@ def test_scratch_tables_are_read_back_and_released(spark):
     assert scratch.checked_broadcast(df, 2) is df
     path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
     assert os.path.exists(path)
+    other = os.path.join(scratch.shared_dir(spark).removeprefix("file://").removeprefix("file:"), "textloom", "of-another-job")
+    os.makedirs(other)
     scratch.release(spark)
-    assert not os.path.exists(path)
+    assert not os.path.exists(path) and os.path.exists(other)

@@ -13,16 +13,23 @@ and the pair is pruned if that is below the worst kth score in the query node.
 
 Across the cluster the same test runs on the top level: vectors belong to the
 cell of their nearest pivot, and only cells that some query group can't exclude
-are sent that group. Cells are split by hash into blocks of bounded size. A
-bounded sample gives the pivots and every query's first bound; no result
-depends on it.
+are sent that group. There are as many pivots as blocks, so a cell is a block
+with a radius of its own, until the sample is used up; larger cells are split by
+hash into blocks of bounded size. A bounded sample gives the pivots and every
+query's first bound; no result depends on it.
 
 Equal vectors are one point with their k + 1 least ids, which suffice for any
-top k without the query itself. Components are quantised to floor(scale * x).
+top k without the query itself. Components are quantised to floor(scale * x),
+held as doubles, which they fit exactly. Where products and sums stay below 2^52
+a double holds them, too; beyond that scores are computed in integers of any
+size. A score among a query's best that a long can't hold, or just so,
+raises an error; so does a component whose multiple by the scale is no double.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows without id, take no part; a vector is compared with those of its own
-length; repeated rows count once; ties go to the smaller id.
+length; repeated rows count once; ties go to the smaller id; an empty table gives
+no rows. Vectors of any length count whole. Only the two named columns are read,
+so others can't clash.
 """
 
 from __future__ import annotations
@@ -38,13 +45,15 @@ from pyspark.sql import functions as F
 from textloom.llm.scratch import checked_broadcast, materialize
 
 SAMPLE = 2048
-PIVOTS = 32
 #: Points of one block, queries of one tile, points of a leaf, children of a node.
 BLOCK, TILE, LEAF, FAN = 2048, 1024, 48, 8
 #: Relative slack for rounding in the bounds.
 SLACK = 1e-9
-#: Stands for no point; its negative is a long, too.
-EMPTY = -(1 << 62)
+#: Stands for no point; its negative is a long, too. Below any integer score of two vectors of doubles.
+EMPTY, NONE = -(1 << 62), -(1 << 4096)
+LEAST_LONG = -(1 << 63)
+#: Query trees that a task keeps at hand.
+HELD_TREES = 32
 
 
 def farthest_first(points: np.ndarray, first: int, limit: int, radius: float) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -114,19 +123,44 @@ class Tree:
         return not len(self.children[node])
 
 
-def search(queries: Tree, floor: np.ndarray, points: Tree, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _float_below(x: int) -> float:
+    """A double that is not above an integer of any size."""
+    try:
+        return float(np.nextafter(float(x), -np.inf))
+    except OverflowError:
+        return np.finfo(np.float64).max if x > 0 else -np.inf
+
+
+@dataclass
+class Visits:
+    """What a search did: leaf pairs met and those there are."""
+
+    leaves: int = 0
+    possible: int = 0
+
+
+def search(queries: Tree, floor: np.ndarray, points: Tree, rank: np.ndarray, k: int, visits: Visits | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(scores, positions): each query's k best points, positions -1 where there is none.
 
     Rows are in the trees' own order of queries, positions in the points' input
     order. ``floor`` holds scores that a query's kth best is known to reach;
-    ties in score go to the smaller ``rank``.
+    ties in score go to the smaller ``rank``. Scores are longs, or Python
+    integers where doubles might not hold them.
     """
     n, m = len(queries.points), len(points.points)
-    best = np.full((n, k), EMPTY)  # score * m + (m - 1 - rank)
+    with np.errstate(over="ignore", invalid="ignore"):
+        largest = max(np.abs(queries.points).max(initial=0), 1) * max(np.abs(points.points).max(initial=0), 1) * max(1, queries.points.shape[1])
+        exact = bool(largest < 2**52 and largest * m < 2**61)
+    of = (lambda x: x) if exact else (lambda x: np.array([int(c) for c in x.ravel()], object).reshape(x.shape))
+    none = EMPTY if exact else NONE
+    whole_q, whole_p = of(queries.points), of(points.points)
+    best = np.full((n, k), none, None if exact else object)  # score * m + (m - 1 - rank)
     worst = floor[queries.order].astype(np.float64)
-    tie = (m - 1 - rank[points.order]).astype(np.int64)
+    tie = (m - 1 - rank[points.order]).astype(np.int64 if exact else object)
     at_rank = np.empty(m, np.int64)
     at_rank[m - 1 - rank] = np.arange(m)
+    if visits:
+        visits.possible += sum(map(queries.is_leaf, range(len(queries.start)))) * sum(map(points.is_leaf, range(len(points.start))))
     todo = [(0, 0, np.inf)]
     while todo:
         q, c, bound = todo.pop()
@@ -134,29 +168,50 @@ def search(queries: Tree, floor: np.ndarray, points: Tree, rank: np.ndarray, k:
         if bound < worst[qs:qe].min():
             continue
         if queries.is_leaf(q) and points.is_leaf(c):
+            if visits:
+                visits.leaves += 1
             cs, ce = points.start[c], points.end[c]
-            score = queries.points[qs:qe] @ points.points[cs:ce].T
+            score = whole_q[qs:qe] @ whole_p[cs:ce].T
             rows = np.flatnonzero((score >= worst[qs:qe, None]).any(axis=1))
             if len(rows):
-                both = np.concatenate([best[qs + rows], score[rows].astype(np.int64) * m + tie[cs:ce]], axis=1)
-                best[qs + rows] = -np.partition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else both
+                new = score[rows].astype(np.int64) if exact else score[rows]
+                both = np.concatenate([best[qs + rows], new * m + tie[cs:ce]], axis=1)
+                if both.shape[1] > k:
+                    both = -np.partition(-both, k - 1, axis=1)[:, :k] if exact else -np.sort(-both, axis=1)[:, :k]
+                best[qs + rows] = both
                 kth = best[qs + rows].min(axis=1)
-                worst[qs + rows] = np.maximum(worst[qs + rows], np.where(kth == EMPTY, -np.inf, kth // m))
+                reached = kth // m if exact else np.array([_float_below(int(x) // m) for x in kth])
+                worst[qs + rows] = np.maximum(worst[qs + rows], np.where(kth == none, -np.inf, reached).astype(np.float64))
             continue
         qb, cb = queries.below(q), points.below(c)
         r, s = queries.reach[qb][:, None], points.reach[cb][None, :]
-        most = queries.centre[qb] @ points.centre[cb].T + r * points.norm[cb][None, :] + s * queries.norm[qb][:, None] + r * s
-        most += SLACK * (1 + np.abs(most)) + 1e-6
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = queries.centre[qb] @ points.centre[cb].T + r * points.norm[cb][None, :] + s * queries.norm[qb][:, None] + r * s
+            most += SLACK * (1 + np.abs(most) + queries.norm[qb][:, None] * points.norm[cb][None, :]) + 1e-6
+        most[np.isnan(most)] = np.inf
         for i in np.argsort(most, axis=None):
             todo.append((int(qb[i // len(cb)]), int(cb[i % len(cb)]), float(most.flat[i])))
     best = -np.sort(-best, axis=1)
-    none = best == EMPTY
-    return np.where(none, 0, best // m), np.where(none, -1, at_rank[np.where(none, 0, best % m)])
+    empty = best == none
+    return np.where(empty, 0, best // m), np.where(empty, -1, at_rank[np.where(empty, 0, best % m).astype(np.int64)])
 
 
 def unpack(values: pa.Array) -> np.ndarray:
-    """Rows of equal length packed as little-endian 64-bit integers."""
-    return np.array([np.frombuffer(v, "<i8") for v in values.to_pylist()], np.float64).reshape(len(values), -1)
+    """Rows of equal length packed as little-endian doubles."""
+    return np.array([np.frombuffer(v, "<f8") for v in values.to_pylist()], np.float64).reshape(len(values), -1)
+
+
+def quantised(x: list[float], scale: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * np.array(x, np.float64)) + 0.0  # one zero
+    if not np.isfinite(out).all():
+        raise OverflowError("a component times the scale is out of a double's range")
+    return out.astype("<f8")
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; those out of range become the least or the largest."""
+    return np.array([min(max(int(x), LEAST_LONG), ~LEAST_LONG) for x in scores], np.int64) if scores.dtype == object else scores
 
 
 def encode(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -164,7 +219,7 @@ def encode(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.floor(scale * np.array(x, np.float64)).astype("<i8").tobytes() for x in batch.column(1).to_pylist()]
+            packed = [quantised(x, scale).tobytes() for x in batch.column(1).to_pylist()]
             dims = pa.array([len(x) // 8 for x in packed], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), dims, pa.array(packed, pa.binary())], ["vec_id", "dim", "v"])
 
@@ -184,16 +239,19 @@ class Top:
 
     def locate(self, dim: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pivots = self.pivots.get(dim, np.zeros((1, dim)))
-        distance = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None, :]))
-        cell = distance.argmin(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            cell = ((pivots**2).sum(1)[None, :] - 2 * x @ pivots.T).argmin(axis=1)
         return cell, np.linalg.norm(x - pivots[cell], axis=1)
 
     def floors(self, dim: int, x: np.ndarray, k: int) -> np.ndarray:
         """Scores that the kth best of each query reaches in the sample alone."""
         sample = self.sample.get(dim, np.zeros((0, dim)))
         if len(sample) < k:
-            return np.full(len(x), -(2.0**62))
-        return -np.partition(-(x @ sample.T), k - 1, axis=1)[:, k - 1]
+            return np.full(len(x), -np.finfo(np.float64).max)
+        with np.errstate(over="ignore", invalid="ignore"):
+            kth = -np.partition(-(x @ sample.T), k - 1, axis=1)[:, k - 1]
+            kth -= SLACK * np.linalg.norm(x, axis=1) * np.linalg.norm(sample, axis=1).max() + 1e-6
+        return np.where(np.isfinite(kth), kth, -np.finfo(np.float64).max)
 
     def reachable(self, dim: int, cell: int, radius: float, norm: float, floor: float) -> list[tuple[int, int]]:
         """(cell, blocks) of the cells that may hold a score of ``floor`` for a group of queries."""
@@ -202,8 +260,10 @@ class Top:
         for (d, c), (blocks, reach, longest) in self.cells.items():
             if d == dim:
                 q, p = pivots[cell], pivots[c]
-                most = min(q @ p + radius * np.linalg.norm(p) + reach * np.linalg.norm(q) + radius * reach, norm * longest)
-                if most + SLACK * (1 + abs(most)) + 1e-6 >= floor:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    most = min(norm * longest, q @ p + radius * np.linalg.norm(p) + reach * np.linalg.norm(q) + radius * reach)
+                    apart = most + SLACK * (1 + abs(most) + norm * longest) + 1e-6 < floor
+                if not apart:
                     out.append((c, blocks))
         return out
 
@@ -231,9 +291,10 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int = 5, scale: float = 256.0,
     classes = materialize(ranked.groupBy("dim", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "classes")
     sample: dict[int, list[np.ndarray]] = {}
     for r in classes.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("dim", "v").collect():
-        sample.setdefault(r.dim, []).append(np.frombuffer(r.v, "<i8").astype(np.float64))
+        sample.setdefault(r.dim, []).append(np.frombuffer(r.v, "<f8"))
     drawn = {d: np.array(x).reshape(len(x), d) for d, x in sample.items()}
-    top = Top({d: x[farthest_first(x, 0, PIVOTS, 0.0)[0]] for d, x in drawn.items()}, drawn)
+    cells_wanted = -(-classes.count() // BLOCK)
+    top = Top({d: x[farthest_first(x, 0, max(1, cells_wanted), 0.0)[0]] for d, x in drawn.items()}, drawn)
     shared = sc.broadcast(top)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,60 +329,68 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int = 5, scale: float = 256.0,
         aimed.join(checked_broadcast(sizes), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int"))
         .groupBy("dim", "cell", "tile")
         .agg(F.collect_list(F.struct("v", "floor")).alias("queries"), F.max("radius").alias("radius"), F.max("norm").alias("norm"), F.min("floor").alias("floor"))
+        .withColumn("tile_id", F.monotonically_increasing_id())
     )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, cell, radius, norm, floor = (batch.column(c)[i].as_py() for c in range(5))
+                dim, cell, radius, norm, floor, tile = (batch.column(c)[i].as_py() for c in range(6))
                 for other, n in planned.value.reachable(dim, cell, radius, norm, floor):
-                    one = batch.column(5).slice(i, 1)
+                    one = batch.column(6).slice(i, 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim] * n, pa.int32()), pa.array([other] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.concat_arrays([one] * n)],
-                        ["dim", "cell", "block", "queries"],
+                        [pa.array([dim] * n, pa.int32()), pa.array([other] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([tile] * n, pa.int64()), pa.concat_arrays([one] * n)],
+                        ["dim", "cell", "block", "tile", "queries"],
                     )
 
     parts = max(sc.defaultParallelism, min(sum(n for n, _, _ in cells.values()), 20_000))
-    sent = tiles.select("dim", "cell", "radius", "norm", "floor", "queries").mapInArrow(
-        send, "dim int, cell int, block int, queries array<struct<v: binary, floor: double>>"
+    sent = tiles.select("dim", "cell", "radius", "norm", "floor", "tile_id", "queries").mapInArrow(
+        send, "dim int, cell int, block int, tile bigint, queries array<struct<v: binary, floor: double>>"
     )
     key = ["dim", "cell", "block"]
     met = sent.repartition(parts, *key).join(blocks.repartition(parts, *key).hint("merge"), key)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built, tree, ids, rank = None, None, [], np.empty(0, np.int64)
+        held: dict[int, tuple[Tree, np.ndarray]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 own = tuple(batch.column(c)[i].as_py() for c in range(3))
                 if own != built:
-                    points = batch.column(4)[i].values
+                    points = batch.column(5)[i].values
                     ids = points.field("ids").to_pylist()
                     rank = np.empty(len(ids), np.int64)
                     rank[np.argsort([x[0] for x in ids], kind="stable")] = np.arange(len(ids))
                     built, tree = own, Tree(unpack(points.field("v")))
-                asked = batch.column(3)[i].values
-                floor = asked.field("floor").to_numpy(zero_copy_only=False)
-                queries = Tree(unpack(asked.field("v")))
+                tile, asked = batch.column(3)[i].as_py(), batch.column(4)[i].values
+                if tile not in held:
+                    if len(held) >= HELD_TREES:
+                        held.pop(next(iter(held)))
+                    held[tile] = Tree(unpack(asked.field("v"))), asked.field("floor").to_numpy(zero_copy_only=False)
+                queries, floor = held[tile]
                 score, at = search(queries, floor, tree, rank, keep)
                 row, column = np.nonzero((at >= 0) & (score >= floor[queries.order][:, None]))
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
-                        [asked.field("v").take(pa.array(queries.order[row])), pa.array(score[row, column]), pa.array([ids[p] for p in at[row, column]], pa.list_(pa.int64()))],
+                        [asked.field("v").take(pa.array(queries.order[row])), pa.array(as_longs(score[row, column]), pa.int64()), pa.array([ids[p] for p in at[row, column]], pa.list_(pa.int64()))],
                         ["v", "score", "ids"],
                     )
 
-    found = met.select("dim", "cell", "block", "queries", "points").mapInArrow(find, "v binary, score bigint, ids array<bigint>")
+    found = met.select("dim", "cell", "block", "tile", "queries", "points").mapInArrow(find, "v binary, score bigint, ids array<bigint>")
     nearest = found.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("r") <= keep)
     # keep classes of keep ids each at most, so the lists are bounded.
     listed = (
         nearest.select("v", "score", F.explode("ids").alias("vec_id"))
         .groupBy("v")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, keep).alias("best"))
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id"))), 1, keep).alias("best"))
     )
     answers = asked.select("vec_id", "v").distinct().withColumnRenamed("vec_id", "query_id").join(listed, "v")
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = answers.select("query_id", F.posexplode(others).alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    score = F.bitwise_not("x.s")
+    edge = score.isin(LEAST_LONG, ~LEAST_LONG)
+    checked = F.when(edge, F.raise_error(F.lit("an inner product is out of a long's range")).cast("bigint")).otherwise(score)
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), checked.alias("score"))
 
 
 def op1_top5(embeddings: DataFrame) -> DataFrame:

@@ -28,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return jpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The application's folder below the shared one."""
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's scratch folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,15 +50,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to hold at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = 500_000, size: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to hold at most ``rows`` rows, and its files ``size`` bytes, else as it is."""
+    if df.count() > rows:
+        return df
+    if df.inputFiles() and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > size:
+        return df
+    return F.broadcast(df)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this library in the session's shared folder."""
+    """Delete all scratch tables that this session made in the shared folder."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
