@@ -225,13 +225,55 @@ def test_language_id_of_odd_rows(spark):
     assert langid.op6_langid(df.limit(0)).count() == 0
 
 
+def test_foreign_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for left_out in ("fr", "en"):
+        model = langid.train(docs.where(F.col("lang") != left_out), langid.learnable(F.col("id")))
+        assert left_out not in model.labels
+        texts = docs.where((F.col("lang") == left_out) & ~langid.learnable(F.col("doc_id"))).select("text").toArrow()["text"].combine_chunks()
+        accepted = model.judge(texts)[2]
+        assert len(accepted) > 250 and accepted.mean() < 0.1
+        own = docs.where((F.col("lang") != left_out) & ~langid.learnable(F.col("doc_id"))).select("text").toArrow()["text"].combine_chunks()
+        assert model.judge(own)[2].mean() > 0.99
+        rng = np.random.default_rng(0)
+        junk = ["中文文本是一个例子，用于测试。" * 5, "это русский текст о погоде и о доме", " ".join("".join(rng.choice(list("qwxzkjvbp"), 6)) for _ in range(40))]
+        assert not model.judge(pa.array(junk))[2].any()
+
+
+def test_scores_are_calibrated(spark):
+    """Expected calibration error over held-out texts and ten-word pieces of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs, langid.learnable(F.col("id")))
+    rows = docs.where(~langid.learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang").collect()
+    pieces = [(" ".join(r.text.split()[5:15]), r.lang) for r in rows]
+    for texts in ([(r.text, r.lang) for r in rows], [p for p in pieces if len(p[0].split()) == 10]):
+        names, score, _ = model.judge(pa.array([t for t, _ in texts]))
+        right = np.array([n == lang for n, (_, lang) in zip(names, texts, strict=True)])
+        at = np.minimum((score * 10).astype(int), 9)
+        error = sum(abs(score[at == b].mean() - right[at == b].mean()) * (at == b).mean() for b in range(10) if (at == b).any())
+        print(len(texts), right.mean(), error)
+        assert right.mean() > 0.97 and error < 0.03
+
+
+def test_ties_and_repeats_of_language_rows(spark):
+    model = langid.Model(["a", "b"], np.zeros((langid.BUCKETS, 2)), np.zeros(2), 1.0, np.zeros((langid.BUCKETS, 2)), np.full(2, -1.0))
+    assert model.judge(pa.array(["same", "same"]))[0] == ["a", "a"]
+    rows = [(i % 40, ("the and of " if i % 2 else "les des une ") * 4, "en" if i % 2 else "fr") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = langid.op6_langid(df).collect()
+    assert len(out) == 400 and all(r.lang_pred == ("en" if r.doc_id % 2 else "fr") for r in out)
+    once, often = (langid.train(x) for x in (df.distinct(), df))
+    assert once.labels == often.labels and np.allclose(once.logits, often.logits)
+
+
 def test_pieces_do_not_change_a_prediction(monkeypatch):
     rng = np.random.default_rng(1)
     text = pa.array(["".join(rng.choice(list("abcdé fgh"), 5000))])
-    model = langid.Model(["a", "b"], rng.normal(0, 1, (langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    model = langid.Model(["a", "b"], rng.normal(0, 1, (langid.BUCKETS, 2)), np.zeros(2), 1.0, rng.normal(0, 1, (langid.BUCKETS, 2)), np.zeros(2))
     whole = model.scores(text)
     monkeypatch.setattr(langid, "PIECE", 997)
-    assert model.scores(text) == pytest.approx(whole, abs=2e-3)
+    for cut, full in zip(model.scores(text), whole, strict=True):
+        assert cut == pytest.approx(full, abs=2e-3)
 
 
 def brute_scores(rows, targets):

@@ -5,16 +5,24 @@ either side; each is hashed to a row of an embedding table, the rows are
 averaged, and a linear softmax reads the average. Embeddings and softmax are
 trained by stochastic gradient descent in numpy on a bounded sample. A
 temperature fitted on a part of the sample that training didn't see calibrates
-the probabilities, and a low quantile of the scores of its rightly labelled
-texts is the score below which a text is rejected.
+the probabilities.
+
+A softmax is sure of foreign texts, too, so a text is rejected by its typicality:
+the mean log probability of its subwords among those of the label it got. The
+least typicality is fitted on the same unseen part, each text once as what it is
+and once as foreign, that is by its best among the other labels: it rejects
+FOREIGN of the foreign ones, but at most OWN of the texts of the label itself.
 
 At prediction the embedding table times the softmax weights is one table of
-logits by bucket, so a text costs one gather per subword.
+logits by bucket, next to the log probabilities, so a text costs one gather per
+subword.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0
 and are rejected; without labelled rows every text does. With one language all
-other texts get it with score 1. Ties go to the smaller label. Repeated rows
-keep a row each.
+other texts get it with score 1, and none is rejected. Ties go to the smaller
+label. Repeated rows keep a row each, and count once in the sample if id and
+label repeat. Long texts are read whole, in pieces of bounded size. An empty
+table gives no rows. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -35,6 +43,12 @@ DIM = 16
 WIDTHS = (2, 3, 4)
 #: The training sample: at most this many rows of each label, and of all labels.
 PER_LABEL, SAMPLE_ROWS = 400, 8000
+#: Subwords drawn from a sampled text that has more distinct ones.
+BAG = 4096
+#: The share of foreign texts that is rejected, and the largest share of texts of the label itself.
+FOREIGN, OWN = 0.95, 0.002
+#: Subwords that a sampled text counts for in a label's log probabilities, and those that every bucket starts with.
+WEIGHT, PRIOR = 300.0, 0.5
 #: Bytes of text whose subwords are hashed at once.
 PIECE = 1 << 18
 UND = "und"
@@ -98,11 +112,14 @@ class Model:
     logits: np.ndarray  # buckets x labels
     bias: np.ndarray
     temperature: float
-    threshold: float
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """Calibrated probabilities, rows x labels."""
-        total = np.zeros((len(column), len(self.labels)))
+    typical: np.ndarray  # buckets x labels: log probability of a bucket in texts of a label
+    least: np.ndarray  # by label: the typicality below which a text is rejected
+
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities and typicalities, rows x labels each."""
+        k = len(self.labels)
+        table = np.concatenate([self.logits, self.typical], axis=1).astype(np.float32)
+        total = np.zeros((len(column), 2 * k))
         count = np.zeros(len(column))
         for data, offs, first, n in pieces(column):
             for buckets, bounds in subwords(data, offs):
@@ -110,22 +127,20 @@ class Model:
                 full = np.flatnonzero(sizes)
                 count[first : first + n] += sizes
                 if len(full):
-                    total[first + full] += np.add.reduceat(self.logits[buckets], bounds[:-1][full], axis=0)
-        z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+                    total[first + full] += np.add.reduceat(table[buckets], bounds[:-1][full], axis=0)
+        mean = total / np.maximum(count, 1)[:, None]
+        return softmax((mean[:, :k] + self.bias) / self.temperature), mean[:, k:]
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(label, score, accepted) of each text."""
         if not self.labels:
             return [UND] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
-        p = self.scores(column)
+        p, typical = self.scores(column)
         best = p.argmax(axis=1)
-        score = p[np.arange(len(best)), best]
+        rows = np.arange(len(best))
         letters = np.array([has_letter(t.as_py()) for t in column], bool)
         names = [self.labels[b] if ok else UND for b, ok in zip(best, letters, strict=True)]
-        score = np.where(letters, score, 0.0)
-        return names, score, letters & (score >= self.threshold)
+        return names, np.where(letters, p[rows, best], 0.0), letters & (typical[rows, best] >= self.least[best])
 
 
 def has_letter(text: str | None) -> bool:
@@ -144,10 +159,35 @@ def short(bag: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> tuple
     return drawn, counts / counts.sum()
 
 
+def log_shares(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: int) -> np.ndarray:
+    """(buckets, labels): log probabilities of the buckets in the texts of each label."""
+    counts = np.full((BUCKETS, labels), PRIOR)
+    for (at, share), label in zip(bags, y, strict=True):
+        counts[at, label] += WEIGHT * share
+    return np.log(counts / counts.sum(axis=0))
+
+
+def least_typical(typical: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least typicality by label, from the typicalities (texts, labels) of unseen texts."""
+    out = np.full(typical.shape[1], -np.inf)
+    if typical.shape[1] < 2:
+        return out
+    rows = np.arange(len(y))
+    other = typical.copy()
+    other[rows, y] = -np.inf
+    foreign = np.quantile(other.max(axis=1), FOREIGN) if len(y) else -np.inf
+    for label in range(len(out)):
+        own = typical[y == label, label]
+        if len(own):
+            out[label] = min(foreign, np.quantile(own, OWN))
+    return out
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], epochs: int = 8, rate: float = 1.0, seed: int = 42) -> Model:
     """Train on (buckets, shares) bags; a fifth of them only calibrates."""
     if len(labels) < 2:
-        return Model(labels, np.zeros((BUCKETS, len(labels))), np.zeros(len(labels)), 1.0, 0.0)
+        flat_table = np.zeros((BUCKETS, len(labels)))
+        return Model(labels, flat_table, np.zeros(len(labels)), 1.0, flat_table, np.full(len(labels), -np.inf))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, learn = order[: len(y) // 5], order[len(y) // 5 :]
@@ -168,29 +208,30 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[s
             bias -= lr * error * 0.1
             embed[buckets] -= lr * 20 * share[:, None] * back
     logits = embed @ weight
-    held = np.repeat(held, 2)
-    tried = [bags[i] if k % 2 else short(bags[i], rng) for k, i in enumerate(held)]
-    raw = np.array([share @ logits[at] + bias for at, share in tried]).reshape(len(held), len(labels))
-    best, temperature, threshold = np.inf, 1.0, 0.0
-    if len(held):
-        for t in np.geomspace(0.05, 500, 90):
-            loss = -np.log(softmax(raw / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-            if loss < best:
-                best, temperature = loss, float(t)
-        p = softmax(raw / temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-        if len(right):
-            threshold = float(min(0.5, 0.9 * np.quantile(right, 0.001)))
-    return Model(labels, logits.astype(np.float32), bias, temperature, threshold)
+    typical = log_shares([bags[i] for i in learn], y[learn], len(labels))
+    tried = [bags[i] if k % 2 else short(bags[i], rng) for k, i in enumerate(np.repeat(held, 2))]
+    held_y = np.repeat(y[held], 2)
+    raw = np.array([share @ logits[at] + bias for at, share in tried]).reshape(len(tried), len(labels))
+    best, temperature = np.inf, 1.0
+    for t in np.geomspace(0.05, 500, 90) if len(tried) else ():
+        loss = -np.log(softmax(raw / t)[np.arange(len(tried)), held_y] + 1e-12).mean()
+        if loss < best:
+            best, temperature = loss, float(t)
+    own = np.array([share @ typical[at] for at, share in tried]).reshape(len(tried), len(labels))
+    return Model(labels, logits, bias, temperature, typical, least_typical(own, held_y))
 
 
 def bag(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of one text with their shares."""
+    """Distinct buckets of one text with their shares; of more than BAG, a draw of BAG subwords."""
     counts = np.zeros(BUCKETS)
     for data, offs, _, _ in pieces(column.slice(i, 1)):
         for buckets, _ in subwords(data, offs):
             counts += np.bincount(buckets, minlength=BUCKETS)
     at = np.flatnonzero(counts)
+    if len(at) > BAG:
+        rng = np.random.default_rng(int(counts.sum()))
+        counts = np.bincount(rng.choice(at, BAG, p=counts[at] / counts.sum()), minlength=BUCKETS).astype(np.float64)
+        at = np.flatnonzero(counts)
     return at, counts[at] / max(1.0, counts.sum())
 
 
