@@ -10,8 +10,10 @@ keeps the output linear in the tile size and loses no link between components.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; equal fingerprints share a component; a component's id is its least
-non-null doc_id (null only if it has none). An empty table gives no rows.
-Columns other than the two named ones are not read.
+non-null doc_id (null only if it has none); repeated rows keep a row each. Whole
+texts are hashed, however long. An empty table gives no rows. Columns other than
+the two named ones are not read; ``deduplicate`` keeps them all, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SEED = 42
 LANES = np.uint64(0x0101010101010101)
 #: A byte lane counts this many rows without overflow.
 LANE_ROWS = 255
+#: Tiles on either side of one task's grid of tile pairs.
+GROUP = 16
 #: Fingerprint pairs that one task compares, about.
 TASK_PAIRS = 200_000_000
 
@@ -148,38 +152,45 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int = 8192) -> DataFr
 
     ``distinct`` has one bigint column ``fp`` without repeats. Only the 65
     counts of the population counts reach the driver. A tile is a hash share of
-    one population count, so its size is bounded whatever the data.
+    one population count, so its size is bounded whatever the data; tiles are
+    dealt in a grid of GROUP x GROUP pairs, so a task holds 2 * GROUP tiles at
+    most and a tile is sent once for each group it meets, not for each tile.
     """
     keyed = distinct.select("fp", F.bit_count("fp").cast("int").alias("p"))
     sizes = {r.p: r["count"] for r in keyed.groupBy("p").count().collect()}
     tiles = {p: -(-n // tile_rows) for p, n in sizes.items()} or {0: 1}
     compared = sum(n * sum(sizes.get(p + d, 0) for d in range(radius + 1)) for p, n in sizes.items())
     parts = max(distinct.sparkSession.sparkContext.defaultParallelism, min(compared // TASK_PAIRS, 20_000))
-    count_of = F.create_map(*(F.lit(x).cast("int") for kv in sorted(tiles.items()) for x in kv))
+    numbers = lambda of: F.create_map(*(F.lit(x).cast("int") for kv in sorted(of.items()) for x in kv))
+    groups = numbers({p: -(-n // GROUP) for p, n in tiles.items()})
     packed = (
-        keyed.withColumn("s", F.pmod(F.xxhash64("fp"), F.element_at(count_of, F.col("p"))).cast("int"))
+        keyed.withColumn("s", F.pmod(F.xxhash64("fp"), F.element_at(numbers(tiles), F.col("p"))).cast("int"))
         .groupBy("p", "s")
         .agg(F.collect_list("fp").alias("fps"))
+        .withColumn("g", F.floor(F.col("s") / GROUP).cast("int"))
     )
-    left = (
-        packed.select("p", "s", F.col("fps").alias("a"), F.explode(F.sequence(F.col("p"), F.col("p") + radius)).alias("q"))
-        .withColumn("n", F.try_element_at(count_of, F.col("q")))
-        .where("n is not null")
-        .select("p", "s", "q", "a", F.explode(F.sequence(F.when(F.col("p") == F.col("q"), F.col("s")).otherwise(0), F.col("n") - 1)).alias("t"))
-        .repartition(parts, "q", "t")
-    )
-    right = packed.select(F.col("p").alias("q"), F.col("s").alias("t"), F.col("fps").alias("b")).repartition(parts, "q", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (0, 1))
-                found = tile_links(a, b, radius, batch.column(2)[k].as_py()).view(np.int64)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c])) for c in (0, 1)], ["a", "b"])
-
-    matched = left.join(right.hint("merge"), ["q", "t"]).select("a", "b", F.expr("p = q and s = t").alias("same"))
-    return matched.mapInArrow(run, "a bigint, b bigint")
+    # A group of population count p meets those of p to p + radius, and from itself on those of p.
+    lower = packed.select("p", "g", "s", "fps", F.explode(F.sequence(F.col("p"), F.col("p") + radius)).alias("q")).withColumn("n", F.try_element_at(groups, F.col("q")))
+    lower = lower.where("n is not null").withColumn("h", F.explode(F.sequence(F.when(F.col("p") == F.col("q"), F.col("g")).otherwise(0), F.col("n") - 1)))
+    upper = packed.select(F.col("p").alias("q"), F.col("g").alias("h"), "s", "fps", F.explode(F.sequence(F.col("p") - radius, F.col("p"))).alias("p")).withColumn("n", F.try_element_at(groups, F.col("p")))
+    last = F.when(F.col("p") == F.col("q"), F.col("h")).otherwise(F.col("n") - 1)
+    upper = upper.where("n is not null").withColumn("g", F.explode(F.sequence(F.lit(0), last)))
+    key = ["p", "g", "q", "h"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        p, g, q, h = (left[c][0].as_py() if left.num_rows else None for c in key)
+        own = [(s.as_py(), x.values.to_numpy().view(np.uint64)) for s, x in zip(left["s"], left["fps"], strict=True)]
+        others = [(s.as_py(), x.values.to_numpy().view(np.uint64)) for s, x in zip(right["s"], right["fps"], strict=True)]
+        found = [np.empty((0, 2), np.uint64)]
+        for s, a in own:
+            for t, b in others:
+                if (p, g) != (q, h) or s <= t:
+                    found.append(tile_links(a, b, radius, (p, s) == (q, t)))
+        both = np.concatenate(found).view(np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], ["a", "b"])
+
+    sides = [x.select(*key, "s", "fps").repartition(parts, *key).groupBy(*key) for x in (lower, upper)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -222,18 +233,20 @@ def deduplicate_by(docs: DataFrame, marked: DataFrame, rooted: DataFrame, id_col
     leads = checked_broadcast(materialize(leads, "leads"))
     dropped = counted.join(leads, "root").where("not (doc_id <=> kept.doc_id and content = kept.content)").select("doc_id", "content")
 
+    mark = next(name for k in range(len(docs.columns) + 1) if (name := f"content_{k}") not in map(str.lower, docs.columns))
+
     def same(rows: DataFrame) -> Column:
-        return (docs_hashed["__content"] == rows["content"]) & docs_hashed[id_col].cast("bigint").eqNullSafe(rows["doc_id"])
+        return (docs_hashed[mark] == rows["content"]) & docs_hashed[id_col].cast("bigint").eqNullSafe(rows["doc_id"])
 
-    docs_hashed = docs.withColumn("__content", content)
+    docs_hashed = docs.withColumn(mark, content)
     dropped = checked_broadcast(materialize(dropped, "dropped"))
     kept = docs_hashed.join(dropped, same(dropped), "left_anti")
     repeated = materialize(counted.where("n > 1").select("doc_id", "content"), "repeated")
     if repeated.isEmpty():
-        return kept.drop("__content")
+        return kept.drop(mark)
     repeated = checked_broadcast(repeated)
     docs_hashed = kept
-    once = kept.join(repeated, same(repeated), "left_anti").drop("__content")
+    once = kept.join(repeated, same(repeated), "left_anti").drop(mark)
     # Rows of one hash and id are equal in all columns, so any of them stands for all.
-    many = kept.join(repeated, same(repeated), "left_semi").groupBy("__content", id_col).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    many = kept.join(repeated, same(repeated), "left_semi").groupBy(mark, id_col).agg(F.first(F.struct(*docs.columns)).alias("row"))
     return once.union(many.select("row.*"))
