@@ -8,7 +8,8 @@ temperature fitted on a part of the sample that training didn't see calibrates
 the probabilities.
 
 A softmax is sure of foreign texts, too, so a text is rejected by its typicality:
-the mean log probability of its subwords among those of the label it got. The
+the mean log probability of its subwords among those of the label it got, with
+DOUBT standard errors to the good, as the mean of a short text says little. The
 least typicality is fitted on the same unseen part, each text once as what it is
 and once as foreign, that is by its best among the other labels: it rejects
 FOREIGN of the foreign ones, but at most OWN of the texts of the label itself.
@@ -47,6 +48,8 @@ PER_LABEL, SAMPLE_ROWS = 400, 8000
 BAG = 4096
 #: The share of foreign texts that is rejected, and the largest share of texts of the label itself.
 FOREIGN, OWN = 0.95, 0.002
+#: Standard errors of the mean that a text's typicality is raised by.
+DOUBT = 3.0
 #: Subwords that a sampled text counts for in a label's log probabilities, and those that every bucket starts with.
 WEIGHT, PRIOR = 300.0, 0.5
 #: Bytes of text whose subwords are hashed at once.
@@ -128,8 +131,9 @@ class Model:
                 count[first : first + n] += sizes
                 if len(full):
                     total[first + full] += np.add.reduceat(table[buckets], bounds[:-1][full], axis=0)
-        mean = total / np.maximum(count, 1)[:, None]
-        return softmax((mean[:, :k] + self.bias) / self.temperature), mean[:, k:]
+        count = np.maximum(count, 1)[:, None]
+        mean = total / count
+        return softmax((mean[:, :k] + self.bias) / self.temperature), mean[:, k:] + DOUBT * spread(self.typical) / np.sqrt(count)
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(label, score, accepted) of each text."""
@@ -167,6 +171,12 @@ def log_shares(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels:
     return np.log(counts / counts.sum(axis=0))
 
 
+def spread(typical: np.ndarray) -> np.ndarray:
+    """The standard deviation of a subword's log probability in texts of each label."""
+    share = np.exp(typical)
+    return np.sqrt(np.maximum(0, (share * typical**2).sum(axis=0) - (share * typical).sum(axis=0) ** 2))
+
+
 def least_typical(typical: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The least typicality by label, from the typicalities (texts, labels) of unseen texts."""
     out = np.full(typical.shape[1], -np.inf)
