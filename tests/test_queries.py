@@ -16,11 +16,3 @@ def test_query_equals_sql(spark, small, duck, name):
 def test_family_a_has_37_columns(spark, small):
     df = queries.queries()["q33b_metrics_family_a"](spark, small)
     assert len(df.columns) == 38 and df.count() == 200
-
-
-def test_repeat_runs(spark, small):
-    import re
-
-    got = {r.doc_id: r.repeat_char_runs for r in queries.queries()["q20_repeat_runs"](spark, small).collect()}
-    for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
-        assert got[r.doc_id] == len(re.findall(r"(.)\1\1+", r.text))

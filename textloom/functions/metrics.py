@@ -1,9 +1,7 @@
 """Text metrics of a row, without a shuffle.
 
-Words are tokenised once, sorted, and their run lengths give the frequency
-statistics; everything that depends on words is one struct, so no part of it is
-evaluated twice. Character metrics are counts of patterns and length
-differences.
+Words and characters are counted once a text by Arrow kernels, each of which
+gives one struct; the columns are expressions over its fields.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import tokens
+from textloom.functions import kernels, tokens
 from textloom.functions.cleaning import PATTERN
 from textloom.functions.let import let, ratio
 from textloom.schemas import replace_columns
@@ -34,16 +32,14 @@ LEXICAL = (
     "type_token_ratio", "hapax_ratio", "dislegomena_ratio", "unique_words", "guiraud_r", "herdan_c", "dugast_u", "sichel_s",
     "brunet_w", "honore_r", "maas_ttr", "yule_k", "simpson_d", "entropy_words", "stopword_ratio", "long_word_ratio", "short_word_ratio",
 )
-#: Characters that are counted alone, and classes of them.
+#: Characters that are counted alone.
 SINGLE = {
     "n_spaces": " ", "n_tabs": "\t", "n_newlines": "\n", "n_periods": ".", "n_commas": ",", "n_semicolons": ";", "n_colons": ":",
     "n_exclaims": "!", "n_questions": "?", "hashtags": "#", "atsigns": "@",
 }
-CLASSES = {
-    "n_letters": r"\p{L}", "n_upper": r"\p{IsUppercase}", "n_lower": r"\p{IsLowercase}", "n_digits": r"\p{Nd}²³¹⁰⁴-⁹₀-₉",
-    "n_punct": r""".,;:!?"'()\-\[\]{}""", "n_alnum": r"\p{L}\p{N}", "n_vowels": "aeiouyAEIOUY",
-}
-PATTERNS = {"urls": PATTERN["urls"], "emails": PATTERN["emails"], "repeat_char_runs": r"(?d)(.)\1\1+"}
+PATTERNS = {"urls": PATTERN["urls"], "emails": PATTERN["emails"]}
+_WORD_COUNTS, _TOKEN_COUNTS = kernels.word_counts(frozenset(STOPWORDS)), kernels.token_counts(frozenset(STOPWORDS))
+_CHARACTER_COUNTS = kernels.character_counts(SINGLE)
 
 
 def _log(x: Column) -> Column:
@@ -51,10 +47,6 @@ def _log(x: Column) -> Column:
     return F.when(x > 0, F.log(F.when(x > 0, x))).otherwise(0.0)
 
 
-def _sum(array: Column, of=lambda x: x) -> Column:
-    return F.aggregate(array, F.lit(0).cast("bigint"), lambda acc, x: acc + of(x).cast("bigint"))
-
-
 def run_lengths(tokens: Column) -> Column:
     """Lengths of the runs of equal items in the sorted array: the frequencies of its types, in their order."""
 
@@ -71,45 +63,15 @@ def run_lengths(tokens: Column) -> Column:
 def word_statistics(text: Column) -> Column:
     """Struct of base counts over the words of a text.
 
-    n, syllables, poly (3+ syllables), len_sum, over2, over6, from7, upto3,
-    stop, v, v1, v2, squares (of frequencies) and clogc (frequency times its log2).
+    sents (1 at least), n, syllables, poly (3+ syllables), len_sum, over2, over6, upto3, stop, v, v1,
+    v2, squares (of frequencies) and clogc (frequency times its log2).
     """
-
-    def of(w: Column) -> Column:
-        parts = F.struct(w.alias("w"), F.transform(w, F.length).alias("lengths"), F.transform(w, tokens.syllables).alias("syll"))
-        return let(parts, lambda p: counts(p["w"], p["lengths"], p["syll"]))
-
-    def counts(w: Column, lengths: Column, syll: Column) -> Column:
-        base = {
-            "n": F.size(w).cast("bigint"),
-            "syllables": _sum(syll),
-            "poly": F.size(F.filter(syll, lambda s: s >= 3)).cast("bigint"),
-            "len_sum": _sum(lengths),
-            "over2": F.size(F.filter(lengths, lambda x: x > 2)).cast("bigint"),
-            "over6": F.size(F.filter(lengths, lambda x: x > 6)).cast("bigint"),
-            "upto3": F.size(F.filter(lengths, lambda x: x <= 3)).cast("bigint"),
-            "stop": F.size(F.filter(w, lambda x: x.isin(*STOPWORDS))).cast("bigint"),
-        }
-        return F.struct(*(c.alias(k) for k, c in base.items()), run_lengths(w).alias("c"))
-
-    def with_types(s: Column) -> Column:
-        c = s["c"]
-        types = {
-            "v": F.size(c).cast("bigint"),
-            "v1": F.size(F.filter(c, lambda x: x == 1)).cast("bigint"),
-            "v2": F.size(F.filter(c, lambda x: x == 2)).cast("bigint"),
-            "squares": _sum(c, lambda x: x.cast("bigint") * x),
-            "clogc": F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * F.log2(x.cast("double"))),
-        }
-        plain = ("n", "syllables", "poly", "len_sum", "over2", "over6", "upto3", "stop")
-        return F.struct(*(s[k].alias(k) for k in plain), *(x.alias(k) for k, x in types.items()))
-
-    return let(let(tokens.words(text), of), with_types)
+    return _WORD_COUNTS(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def readability(s: Column, text: Column) -> dict[str, Column]:
     """Readability columns from word statistics; null without words."""
-    n, sents = s["n"].cast("double"), tokens.n_sentences(text).cast("double")
+    n, sents = s["n"].cast("double"), s["sents"].cast("double")
     per, avg = n / sents, ratio(s["len_sum"], s["n"])
     syll, long, over2 = ratio(s["syllables"], s["n"]), ratio(s["over6"] * 100, s["n"]), ratio(s["over2"] * 100, s["n"])
     chars = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), tokens.SENTENCE_END, ""))
@@ -154,31 +116,23 @@ def lexical(s: Column) -> dict[str, Column]:
     return {k: F.when(s["n"] > 0, c) for k, c in out.items()}
 
 
-def _left(text: Column, drop: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, drop, F.lit("")))
+def character_statistics(text: Column) -> Column:
+    """Struct of the character counts that ``characters`` reads, and their entropy."""
+    return _CHARACTER_COUNTS(F.coalesce(text, F.lit("")))
 
 
 def character_entropy(text: Column) -> Column:
-    """Entropy of the characters in bits; each distinct character is counted by what its removal takes off the length."""
-
-    def of(t: Column) -> Column:
-        distinct = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
-        counts = F.transform(distinct, lambda c: _left(t, c).cast("double"))
-        clogc = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * F.log2(x))
-        n = F.length(t).cast("double")
-        return F.when(n > 0, F.log2(F.when(n > 0, n)) - clogc / F.when(n > 0, n)).otherwise(0.0)
-
-    return let(F.coalesce(text, F.lit("")), of)
+    """Entropy of the characters in bits."""
+    return character_statistics(text)["entropy"]
 
 
 def characters(text: Column) -> dict[str, Column]:
     """Character counts and ratios."""
     text = F.coalesce(text, F.lit(""))
-    count = {"n_chars": F.length(text)} | {k: _left(text, F.lit(c)) for k, c in SINGLE.items()}
-    count |= {k: F.length(F.regexp_replace(text, f"[^{c}]+", "")) for k, c in CLASSES.items()}
+    held = character_statistics(text)
+    count = {"n_chars": F.length(text)} | {k: held[k] for k in (*SINGLE, *kernels.CHARACTER_FIELDS)}
     count["n_alpha"] = count["n_letters"]
-    count["n_nonascii"] = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
-    count |= {k: F.regexp_count(text, F.lit(p)) for k, p in PATTERNS.items()}
+    count |= {k: F.regexp_count(text, F.lit(p)) for k, p in PATTERNS.items()} | {"repeat_char_runs": held["repeat_char_runs"]}
     # The pattern backtracks in every word, so texts without the sign skip it.
     count["emails"] = F.when(F.contains(text, F.lit("@")), count["emails"]).otherwise(0)
     count = {k: c.cast("bigint") for k, c in count.items()}
@@ -192,7 +146,7 @@ def characters(text: Column) -> dict[str, Column]:
         count
         | {k: ratio(count[c], n) for k, c in shares.items()}
         | {"vowel_ratio": ratio(count["n_vowels"], letters), "consonant_ratio": ratio(count["n_consonants"], letters)}
-        | {"entropy_chars": character_entropy(text)}
+        | {"entropy_chars": held["entropy"]}
     )
 
 
@@ -204,7 +158,7 @@ def surface(s: Column, text: Column, n_tokens: Column | None = None) -> dict[str
         "avg_tok_len": ratio(F.length(F.coalesce(text, F.lit(""))), n_tokens),
         "avg_word_len": ratio(s["len_sum"], s["n"]),
         "n_words": s["n"],
-        "n_sents": tokens.n_sentences(text),
+        "n_sents": s["sents"],
     }
 
 
@@ -215,25 +169,13 @@ def family_b(text: Column, s: Column, n_tokens: Column | None = None) -> dict[st
 
 def word_statistics_a(text: Column) -> Column:
     """Struct of base counts over regex tokens, for ``family_a``."""
-    text = F.coalesce(text, F.lit(""))
+    return _TOKEN_COUNTS(F.coalesce(text, F.lit("")))
+
 
-    def of(w: Column, toks: Column) -> Column:
-        low = F.transform(w, F.lower)
-        lengths, syll = F.transform(w, F.length), F.transform(low, tokens.syllables)
-        is_stop = lambda x: x.isin(*STOPWORDS)
-        per_sentence = F.transform(tokens.sentences(text), lambda p: F.regexp_count(p, F.lit(r"(?U)(?<!\w)\p{L}+(?!\w)")))
-        return F.struct(
-            F.size(w).cast("bigint").alias("n"), F.size(toks).cast("bigint").alias("t"), F.array_sort(lengths).alias("lengths"),
-            _sum(syll).alias("syllables"), F.size(F.filter(syll, lambda x: x >= 3)).alias("poly"), run_lengths(low).alias("c"),
-            F.size(F.filter(w, lambda x: x.rlike(r"\p{IsUppercase}"))).alias("upper"),
-            F.size(F.filter(toks, lambda x: x.rlike(r"^\p{P}+$"))).alias("punct"),
-            F.size(F.filter(toks, lambda x: is_stop(F.lower(x)))).alias("stop"),
-            F.size(F.filter(low, lambda x: ~is_stop(x))).alias("content"), per_sentence.alias("per"),
-        )
-
-    toks = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), 0)
-    split = let(toks, lambda t: F.struct(F.filter(t, lambda x: x.rlike(r"^\p{L}+$")).alias("w"), t.alias("t")))
-    return let(split, lambda x: of(x["w"], x["t"]))
+def _deviation(n: Column, total: Column, squares: Column) -> Column:
+    """The standard deviation of n integers, 0 if there is one at most."""
+    mean = ratio(total, n)
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), ratio(squares, n) - mean * mean))).otherwise(0.0)
 
 
 def family_a(text: Column, s: Column) -> dict[str, Column]:
@@ -246,29 +188,17 @@ def family_a(text: Column, s: Column) -> dict[str, Column]:
     takes words of three syllables or more for difficult ones.
     """
     text = F.coalesce(text, F.lit(""))
-    n, c, lengths = s["n"], s["c"], s["lengths"]
-    sents = tokens.n_sentences(text)
-    mean = lambda a: ratio(_sum(a), F.size(a))
-
-    def deviation(a: Column) -> Column:
-        squares = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-        return F.when(F.size(a) > 1, F.sqrt(F.greatest(F.lit(0.0), ratio(squares, F.size(a)) - mean(a) * mean(a)))).otherwise(0.0)
-
-    half = F.floor(F.size(lengths) / 2).cast("int")
-    middle = F.when(F.size(lengths) % 2 == 1, F.get(lengths, half).cast("double")).otherwise((F.get(lengths, half - 1) + F.get(lengths, half)) / 2.0)
-    over = lambda k: F.size(F.filter(lengths, lambda x: x >= k))
-    v = F.size(c)
-    types = lambda k: ratio(F.size(F.filter(c, lambda x: x == k)), n)
-    w_s, y_w, l_w, p_w = ratio(n, sents), ratio(s["syllables"], n), ratio(_sum(lengths), n), ratio(s["poly"] * 100, n)
-    long = over(7)
+    n, sents = s["n"], s["sents"]
+    per_word = lambda c, times=1: ratio(s[c] * times, n)
+    w_s, y_w, l_w, p_w = ratio(n, sents), per_word("syllables"), per_word("len_sum"), per_word("poly", 100)
     columns = {
-        "n_words": n, "n_sents": sents, "avg_word_len": mean(lengths), "median_word_len": middle, "std_word_len": deviation(lengths),
-        "avg_sent_len_words": mean(s["per"]), "std_sent_len_words": deviation(s["per"]), "ttr": ratio(v, n), "root_ttr": ratio(v, F.sqrt(n.cast("double"))),
-        "log_ttr": F.when(n > 1, ratio(F.log(v + F.lit(1.0)), F.log(n + F.lit(1.0)))).otherwise(0.0), "hapax_ratio": types(1), "hapax_dis_ratio": types(2),
-        "prop_long_words_7": ratio(over(7), n), "prop_long_words_10": ratio(over(10), n), "prop_uppercase_words": ratio(s["upper"], n),
-        "prop_punct_tokens": ratio(s["punct"], s["t"]), "prop_stop_tokens": ratio(s["stop"], s["t"]), "lexical_density": ratio(s["content"], n),
+        "n_words": n, "n_sents": sents, "avg_word_len": l_w, "median_word_len": s["median"], "std_word_len": _deviation(n, s["len_sum"], s["len_squares"]),
+        "avg_sent_len_words": ratio(s["piece_words"], s["pieces"]), "std_sent_len_words": _deviation(s["pieces"], s["piece_words"], s["piece_squares"]),
+        "ttr": per_word("v"), "root_ttr": ratio(s["v"], F.sqrt(n.cast("double"))),
+        "log_ttr": F.when(n > 1, ratio(F.log(s["v"] + F.lit(1.0)), F.log(n + F.lit(1.0)))).otherwise(0.0), "hapax_ratio": per_word("v1"), "hapax_dis_ratio": per_word("v2"),
+        "prop_long_words_7": per_word("over7"), "prop_long_words_10": per_word("over10"), "prop_uppercase_words": per_word("upper"),
+        "prop_punct_tokens": ratio(s["punct"], s["t"]), "prop_stop_tokens": ratio(s["stop"], s["t"]), "lexical_density": per_word("content"),
     }
-    tags = {f"{t}_ratio": F.lit(None).cast("double") for t in ("noun", "verb", "adj", "adv", "pron", "propn", "num")}
     scores = {
         "flesch_reading_ease": 206.835 - 1.015 * w_s - 84.6 * y_w,
         "flesch_kincaid_grade": 0.39 * w_s + 11.8 * y_w - 15.59,
@@ -277,12 +207,14 @@ def family_a(text: Column, s: Column) -> dict[str, Column]:
         "coleman_liau_index": 5.88 * l_w - 29.6 * ratio(sents, n) - 15.8,
         "automated_readability_index": 4.71 * l_w + 0.5 * w_s - 21.43,
         "dale_chall": 0.1579 * p_w + 0.0496 * w_s + F.when(p_w > 5, 3.6365).otherwise(0.0),
-        "lix": w_s + ratio(long * 100, n),
-        "rix": ratio(long, sents),
+        "lix": w_s + per_word("over7", 100),
+        "rix": ratio(s["over7"], sents),
     }
-    zeroed = {k: F.when(n > 0, x).otherwise(F.lit(0).cast("bigint") if k.startswith("n_") else F.lit(0.0)) for k, x in (columns | tags | scores).items()}
+    tags = {f"{t}_ratio": F.lit(None).cast("double") for t in ("noun", "verb", "adj", "adv", "pron", "propn", "num")}
+    zeroed = {k: F.when(n > 0, x).otherwise(F.lit(0).cast("bigint") if k.startswith("n_") else F.lit(0.0)) for k, x in (columns | scores).items()}
     kept = {"n_tokens": s["t"], "n_chars": F.length(text).cast("bigint"), "n_chars_nospace": F.length(F.replace(text, F.lit(" "), F.lit(""))).cast("bigint")}
-    return kept | zeroed
+    order = (*columns, *tags, *scores)
+    return kept | {k: (zeroed | tags)[k] for k in order}
 
 
 def with_metrics(df: DataFrame, text_col: str, wanted: Sequence[str] | None = None, keep: Sequence[str] = (), tokens_col: str | None = None) -> DataFrame:

@@ -178,7 +178,14 @@ def q19_entropy_chars(spark, d):
     return _characters(spark, d, ("entropy_chars",))
 
 
-@R.add()
+#: Runs of three and more of a character: its places less their rank among its own are equal within a run.
+_RUNS = """(SELECT doc_id, count(*) FILTER (n >= 3 AND c <> chr(10)) AS repeat_char_runs FROM (
+    SELECT doc_id, c, run, count(*) AS n FROM (
+        SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run
+        FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents)) GROUP BY ALL) GROUP BY doc_id)"""
+
+
+@R.add(f"SELECT doc_id, coalesce(repeat_char_runs, 0)::BIGINT AS repeat_char_runs FROM documents LEFT JOIN {_RUNS} USING (doc_id)")
 def q20_repeat_runs(spark, d):
     return _characters(spark, d, ("repeat_char_runs",))
 
@@ -272,16 +279,46 @@ _WIDE_LONG = [k for k in C.CHARACTERS if k != "n_chars"]
     SELECT doc_id, lang AS label, t::BIGINT AS n_tokens, CASE WHEN t > 0 THEN round(length(text)::DOUBLE / t, 6) ELSE 0.0 END AS avg_tok_len,
            CASE WHEN n > 0 THEN round(lens / n, 6) ELSE 0.0 END AS avg_word_len, n::BIGINT AS n_words, sents::BIGINT AS n_sents,
            {C.select(C.READABILITY)}, {C.select(C.LEXICAL)}, {', '.join(f'c.{k}' for k in C.CHARACTERS)}, {C.select(C.SHARES, guard='true')},
-           coalesce(round(entropy_chars, 6), 0.0) AS entropy_chars
-    FROM (SELECT * EXCLUDE (n_chars), len({C.white('text')}) AS t FROM ({C.stats()})) JOIN {_COUNTED} c USING (doc_id) LEFT JOIN {C.CHAR_ENTROPY} USING (doc_id)""")
+           coalesce(round(entropy_chars, 6), 0.0) AS entropy_chars, coalesce(repeat_char_runs, 0)::BIGINT AS repeat_char_runs
+    FROM (SELECT * EXCLUDE (n_chars), len({C.white('text')}) AS t FROM ({C.stats()})) JOIN {_COUNTED} c USING (doc_id) LEFT JOIN {C.CHAR_ENTROPY} USING (doc_id) LEFT JOIN {_RUNS} USING (doc_id)""")
 def q33_metrics_wide(spark, d):
-    df = metrics.metrics_batch(C.documents(spark, d).withColumnsRenamed({"lang": "label"}), "text", "label", "doc_id").drop("repeat_char_runs")
+    df = metrics.metrics_batch(C.documents(spark, d).withColumnsRenamed({"lang": "label"}), "text", "label", "doc_id")
     return df.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else (F.col(f.name).cast("double") if f.name == "unique_words" else F.col(f.name)) for f in df.schema))
 
 
-@R.add()
+_A_TAGS = ("noun", "verb", "adj", "adv", "pron", "propn", "num")
+#: SQL of family A over the CTEs of ``_FAMILY_A``, where there are words.
+_A_COLUMNS = {
+    "avg_word_len": "lens / n", "median_word_len": "med", "std_word_len": "sd", "avg_sent_len_words": "m", "std_sent_len_words": "dev", "ttr": "v / n", "root_ttr": "v / sqrt(n)",
+    "log_ttr": "CASE WHEN n > 1 THEN ln(v + 1) / ln(n + 1) ELSE 0 END", "hapax_ratio": "v1 / n", "hapax_dis_ratio": "v2 / n", "prop_long_words_7": "o7 / n", "prop_long_words_10": "o10 / n",
+    "prop_uppercase_words": "up / n", "prop_punct_tokens": "punct / t", "prop_stop_tokens": "stop / t", "lexical_density": "content / n",
+    "flesch_reading_ease": "206.835 - 1.015 * (n / s) - 84.6 * (syl / n)", "flesch_kincaid_grade": "0.39 * (n / s) + 11.8 * (syl / n) - 15.59", "gunning_fog": "0.4 * (n / s + 100 * poly / n)",
+    "smog_index": "CASE WHEN s >= 3 THEN 1.043 * sqrt(30 * poly / s) + 3.1291 ELSE 0 END", "coleman_liau_index": "5.88 * (lens / n) - 29.6 * (s / n) - 15.8",
+    "automated_readability_index": "4.71 * (lens / n) + 0.5 * (n / s) - 21.43", "dale_chall": "0.1579 * (100 * poly / n) + 0.0496 * (n / s) + CASE WHEN 100 * poly / n > 5 THEN 3.6365 ELSE 0 END",
+    "lix": "n / s + 100 * o7 / n", "rix": "o7 / s",
+}
+_FAMILY_A = rf"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS tok FROM documents),
+         w AS (SELECT doc_id, tok, lower(tok) AS low, length(tok) AS len, greatest(1, len(regexp_extract_all(lower(tok), '[aeiouy]+'))) AS y FROM t WHERE regexp_full_match(tok, '\p{{L}}+')),
+         a AS (SELECT doc_id, count(*)::DOUBLE AS t, count(*) FILTER (regexp_full_match(tok, '\p{{P}}+')) AS punct, count(*) FILTER (lower(tok) IN ({C._STOP})) AS stop FROM t GROUP BY doc_id),
+         b AS (SELECT doc_id, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS syl, (count(*) FILTER (y >= 3))::DOUBLE AS poly, sum(len)::DOUBLE AS lens, median(len)::DOUBLE AS med, stddev_pop(len) AS sd,
+                      (count(*) FILTER (len >= 7))::DOUBLE AS o7, count(*) FILTER (len >= 10) AS o10, count(*) FILTER (regexp_matches(tok, '\p{{Lu}}')) AS up,
+                      count(*) FILTER (low NOT IN ({C._STOP})) AS content FROM w GROUP BY doc_id),
+         c AS (SELECT doc_id, count(*)::DOUBLE AS v, count(*) FILTER (k = 1) AS v1, count(*) FILTER (k = 2) AS v2 FROM (SELECT doc_id, low, count(*) AS k FROM w GROUP BY ALL) GROUP BY doc_id),
+         p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]+')) AS piece FROM documents),
+         s AS (SELECT doc_id, avg(x) AS m, stddev_pop(x) AS dev FROM (
+                   SELECT doc_id, len(list_filter(regexp_extract_all(piece, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '\p{{L}}+'))) AS x FROM p WHERE regexp_matches(piece, '\S')) GROUP BY doc_id),
+         d AS (SELECT doc_id, text, {C.n_sents('text')}::DOUBLE AS s FROM documents)
+    SELECT doc_id, coalesce(t, 0)::BIGINT AS n_tokens, length(text)::BIGINT AS n_chars, length(replace(text, ' ', ''))::BIGINT AS n_chars_nospace,
+           coalesce(n, 0)::BIGINT AS n_words, CASE WHEN n > 0 THEN s ELSE 0 END::BIGINT AS n_sents,
+           {', '.join(f'CASE WHEN n > 0 THEN round(({x})::DOUBLE, 6) ELSE 0.0 END AS {k}' for k, x in _A_COLUMNS.items())}, {', '.join(f'NULL::DOUBLE AS {k}_ratio' for k in _A_TAGS)}
+    FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+@R.add(_FAMILY_A)
 def q33b_metrics_family_a(spark, d):
-    return metrics.metrics_a(C.documents(spark, d).select("doc_id", "text", "n_chars")).drop("text")
+    df = metrics.metrics_a(C.documents(spark, d).select("doc_id", "text", "n_chars")).drop("text")
+    return df.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in df.schema))
 
 
 _BAND = "CASE WHEN f IS NULL THEN NULL WHEN f >= 80 THEN 'very_easy' WHEN f >= 60 THEN 'easy' WHEN f >= 50 THEN 'moderate' WHEN f >= 30 THEN 'difficult' ELSE 'very_difficult' END"
