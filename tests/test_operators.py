@@ -1,8 +1,11 @@
 """Sampling, pairing, sources, sinks, jobs and plug-ins."""
 
+import math
 import zipfile
+from collections import Counter
 from io import BytesIO
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,7 +143,50 @@ def test_evaluation(spark):
 
 
 def test_model_round_trip(spark, small, tmp_path):
-    rows = ml.embedding_features(spark.read.parquet(f"{small}/embeddings.parquet").withColumn("y", F.expr("double(label % 2)")), "embedding")
-    ml.save(ml.fit_logistic(rows, epochs=20), str(tmp_path / "m"))
-    out = ml.classify(rows.drop("features"), "embedding", ml.load(str(tmp_path / "m")))
-    assert {r.predicted for r in out.collect()} <= {"pls", "no_pls"}
+    rows = ml.embedding_features(spark.read.parquet(f"{small}/embeddings.parquet").withColumn("y", F.expr("double(vec_id % 3 = 0)")), "embedding")
+    model = ml.fit_logistic(rows, epochs=20, reg=0.01)
+    ml.save(model, str(tmp_path / "m"))
+    got = {r.vec_id: (r.predicted, r.probability) for r in ml.classify(rows.drop("features"), "embedding", ml.load(str(tmp_path / "m"))).collect()}
+    w, b = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    for r in rows.select("vec_id", "embedding").collect():
+        p = 1 / (1 + math.exp(-(np.array(r.embedding, np.float64) @ w + b)))
+        assert got[r.vec_id] == ("pls" if p > 0.5 else "no_pls", pytest.approx(max(p, 1 - p)))
+    assert {p for p, _ in got.values()} == {"pls", "no_pls"}
+
+
+def test_logistic_regression_is_optimal(spark):
+    """Without a penalty the mean gradient over the training rows vanishes; held-out results are those of the coefficients."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (600, 5))
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5, 0.0, 0.3] + 0.2)))).astype(float)
+    rows = spark.createDataFrame([(i, [float(c) for c in x[i]], float(y[i])) for i in range(600)], "id int, v array<double>, y double")
+    featured = ml.embedding_features(rows, "v")
+    model = ml.fit_logistic(featured.where("id < 400"), epochs=200)
+    w, b = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    gap = p[:400] - y[:400]
+    assert np.abs(gap @ x[:400] / 400).max() < 1e-4 and abs(gap.mean()) < 1e-4
+    scores = ml.evaluate(model.transform(featured.where("id >= 400")))
+    assert scores["accuracy"] == pytest.approx(((p > 0.5) == y)[400:].mean())
+    assert scores["log_loss"] == pytest.approx(-np.log(np.where(y == 1, p, 1 - p))[400:].mean())
+
+
+def test_training_job_learns_from_the_training_side_only(spark):
+    texts = [("pls" if i % 2 else "no_pls", f"{'plain easy' if i % 2 else 'technical dosage'} words number{i % 7} unique{i}") for i in range(60)]
+    rows = texts + [("pls", "plain easy twice")] * 10 + [("pls", "  ")]
+    df = spark.createDataFrame(rows, "label string, chunk_text string")
+    model, held, history = ml.training_job(df, epochs=3)
+    split = sampling.stratified_split(df.where("trim(chunk_text) <> ''").withColumn("__id", F.sha2(F.concat_ws("\x1f", "label", "chunk_text"), 256)), ["label"], "__id", 0.2, 13).collect()
+    train = [r.chunk_text.split() for r in split if r.split == "train"]
+    assert held.count() == len(split) - len(train) == 14 and len(split) == 70  # repeated rows stay
+    grams = [w + [" ".join(p) for p in zip(w, w[1:], strict=False)] for w in train]
+    df_of = Counter(g for w in grams for g in set(w))
+    kept = sorted(g for g, c in df_of.items() if c >= 2)
+    assert model.stages[0].vocabulary == kept
+    idf = {g: math.log((1 + len(train)) / (1 + df_of[g])) + 1 for g in kept}
+    for r in model.transform(held.withColumn("__terms", ml.term_array(F.col("chunk_text"))).drop("prediction", "probability")).collect():
+        words = r.chunk_text.split()
+        tf = Counter(words + [" ".join(p) for p in zip(words, words[1:], strict=False)])
+        x = np.array([tf[g] * idf[g] for g in kept])
+        assert r.features.toArray() == pytest.approx(x / np.linalg.norm(x))
+    assert [h["epoch"] for h in history] == [1, 2, 3] and history[-1]["val_accuracy"] == 1.0

@@ -189,3 +189,26 @@ def _at(ordered: list[tuple[int, int]], place: int) -> int:
             return value
         place -= count
     raise IndexError(place)
+
+
+TERM = re.compile(r"\b\w\w+\b")
+
+
+def term_counts(max_n: int) -> Callable[[Column], Column]:
+    """(term, tf) of the n-grams of 1..max_n of a lower-cased text's words, by first place."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        terms, counts, ends = [], [], [0]
+        for text in texts.to_pylist():
+            words = TERM.findall(text or "")
+            found = Counter(words)
+            for n in range(2, max_n + 1):
+                found.update(map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+            terms += found.keys()
+            counts += found.values()
+            ends.append(len(terms))
+        values = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    item = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return F.arrow_udf(run, T.ArrayType(item))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.let import let, ratio
@@ -64,11 +64,26 @@ def bleu(pred: Column, ref: Column, max_n: int = 4) -> Column:
     return F.when((F.size(pred) > 0) & (F.size(ref) > 0), brevity * F.exp(total)).otherwise(0.0)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that numbers its rows 0, 1, ... in the order of its partitions.
+
+    Rows are counted by partition first; there is one offset a partition to broadcast.
+    """
+    held = df.withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    counts = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    joined = held.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return joined.withColumn(name, F.col("__offset") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__offset")
+
+
 def score_rows(df: DataFrame, digits: int = 4) -> DataFrame:
-    """document_id and seven scores, rounded; the id defaults to ``row_<n>`` in input order."""
+    """document_id and seven scores, rounded; the id defaults to ``row_0``, ``row_1``, ... in input order."""
     require_columns(df, ("prediction", "reference"))
-    row = F.concat(F.lit("row_"), F.monotonically_increasing_id().cast("string"))
-    doc = F.col("document_id").cast("string") if "document_id" in df.columns else row
+    if "document_id" not in df.columns:
+        df = numbered(df.select("prediction", "reference"), "__row").withColumn("document_id", F.concat(F.lit("row_"), F.col("__row").cast("string")))
+    doc = F.col("document_id").cast("string")
     pair = F.struct(score_tokens(F.col("prediction")).alias("p"), score_tokens(F.col("reference")).alias("r"))
     scored = let(pair, lambda t: F.struct(rouge_1(t["p"], t["r"]).alias("rouge"), token_f1(t["p"], t["r"]).alias("token"), bleu(t["p"], t["r"]).alias("bleu")))
     s = df.select(doc.alias("document_id"), scored.alias("s"))

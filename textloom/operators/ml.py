@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import kernels
+from textloom.functions.let import let
 from textloom.functions.tokens import ngrams
 from textloom.operators.sampling import stratified_split
 
@@ -17,44 +20,50 @@ from textloom.operators.sampling import stratified_split
 TERM = r"(?U)\b\w\w+\b"
 
 
-def terms(df: DataFrame, doc: str, text: str, max_n: int = 2) -> DataFrame:
-    """(doc, term, tf) for n-grams of 1..max_n."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), 0)
-    held = df.select(doc, words.alias("w"))
-    grams = [F.col("w")] + [F.transform(ngrams(F.col("w"), n), lambda g: F.replace(g, F.lit("\x1f"), F.lit(" "))) for n in range(2, max_n + 1)]
-    return held.select(doc, F.explode(F.concat(*grams)).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+def term_array(text: Column, max_n: int = 2) -> Column:
+    """The n-grams of 1..max_n of a text's words, repeats included."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
+    grams = lambda w: [F.transform(ngrams(w, n), lambda g: F.replace(g, F.lit("\x1f"), F.lit(" "))) for n in range(2, max_n + 1)]
+    return let(words, lambda w: F.concat(w, *grams(w)))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, max_features: int = 6000, min_df: int = 2) -> DataFrame:
-    """(term, df, idf) of the most frequent terms with enough documents; idf is ln((1 + n) / (1 + df)) + 1."""
+def term_counts(text: Column, max_n: int = 2) -> Column:
+    """Array of (term, tf) for the n-grams of 1..max_n, counted within the row."""
+    return kernels.term_counts(max_n)(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def vocabulary(counts: DataFrame, column: str, n_docs: int, max_features: int = 6000, min_df: int = 2) -> DataFrame:
+    """(term, df, idf) of the most frequent terms with enough documents; idf is ln((1 + n) / (1 + df)) + 1.
+
+    ``column`` has each document's ``term_counts``.
+    """
+    tf = counts.select(F.explode(column).alias("x")).select("x.term", "x.tf")
     counted = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     top = counted.orderBy(F.desc("total"), "term").limit(max_features)
     return top.select("term", "df", (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf(df: DataFrame, doc: str, text: str, max_n: int = 2, max_features: int = 6000, min_df: int = 2) -> DataFrame:
-    """(doc, term, weight): L2-normalised tf-idf over the kept vocabulary, which is bounded by ``max_features``."""
-    tf = terms(df, doc, text, max_n)
-    kept = tf.join(F.broadcast(vocabulary(tf, df.count(), max_features, min_df)), "term").withColumn("x", F.col("tf") * F.col("idf"))
-    norms = kept.groupBy(doc).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return kept.join(norms, doc).select(doc, "term", (F.col("x") / F.col("norm")).alias("weight"))
+    """(doc, term, weight): L2-normalised tf-idf over the kept vocabulary, which is bounded by ``max_features``; ids are unique.
 
+    Terms are counted within the row, so only kept terms are shuffled, once by document.
+    """
+    counts = df.select(doc, term_counts(F.col(text), max_n).alias("c"))
+    kept = counts.select(doc, F.explode("c").alias("x")).select(doc, "x.term", "x.tf").join(F.broadcast(vocabulary(counts, "c", df.count(), max_features, min_df)), "term")
+    listed = kept.groupBy(doc).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("x"))).alias("items"))
+    norm = F.sqrt(F.aggregate("items", F.lit(0.0), lambda acc, i: acc + i["x"] * i["x"]))
+    return listed.select(doc, norm.alias("norm"), F.explode("items").alias("i")).select(doc, "i.term", (F.col("i.x") / F.col("norm")).alias("weight"))
 
-def tfidf_vectors(df: DataFrame, doc: str, text: str, **settings) -> DataFrame:
-    """(doc, features): the weights as sparse vectors, in order of terms."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    weights = tfidf(df, doc, text, **settings)
-    index = {r.term: i for i, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}  # max_features at most
-    shared = df.sparkSession.sparkContext.broadcast(index)
-
-    @F.udf(VectorUDT())
-    def vector(items):
-        at = shared.value
-        return SparseVector(len(at), sorted((at[x.term], float(x.weight)) for x in items or []))
 
-    grouped = weights.groupBy(doc).agg(F.collect_list(F.struct("term", "weight")).alias("items"))
-    return df.select(doc).join(grouped, doc, "left").select(doc, vector("items").alias("features"))
+def fit_tfidf(train: DataFrame, text: str, terms: str = "__terms", out: str = "features", max_n: int = 2, max_features: int = 6000, min_df: int = 2) -> PipelineModel:
+    """L2-normalised tf-idf vectors of a ``term_array`` column, with the vocabulary and idf of the training rows alone."""
+    counts = train.select(term_counts(F.col(text), max_n).alias("c"))
+    rows = vocabulary(counts, "c", train.count(), max_features, min_df).orderBy("term").collect()  # max_features at most
+    if not rows:
+        raise ValueError("no term is in enough documents")
+    tf = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=terms, outputCol=f"{out}_tf")
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in rows]), inputCol=f"{out}_tf", outputCol=f"{out}_idf")
+    return PipelineModel([tf, weigh, Normalizer(p=2.0, inputCol=f"{out}_idf", outputCol=out)])
 
 
 def label_index(df: DataFrame, label: str, out: str = "y") -> tuple[DataFrame, list[str]]:
@@ -73,21 +82,24 @@ def fit_logistic(df: DataFrame, features: str = "features", label: str = "y", ep
 
 
 def training_job(df: DataFrame, text: str = "chunk_text", label: str = "label", epochs: int = 5, reg: float = 1e-4, test: float = 0.2, seed: int = 13) -> tuple[PipelineModel, DataFrame, list[dict]]:
-    """TF-IDF and logistic regression: (model, validation predictions, history by epoch).
+    """TF-IDF and logistic regression: (model over a ``__terms`` column, validation predictions, history by epoch).
 
-    An epoch is a full-batch iteration; each history entry refits with that many.
+    All rows count, repeated ones as often as they occur. Vocabulary, idf and
+    coefficients come from the training rows only. An epoch is a full-batch
+    iteration; each history entry refits with that many.
     """
-    ids = df.where(F.trim(text) != "").withColumn("__id", F.sha2(F.concat_ws("\x1f", F.col(label), F.col(text)), 256)).dropDuplicates(["__id"])
-    split = stratified_split(ids, [label], "__id", test, seed)
-    indexed, _ = label_index(split.join(tfidf_vectors(ids, "__id", text), "__id"), label)
-    train, held = indexed.where("split = 'train'").persist(), indexed.where("split = 'test'").persist()
+    rows = df.where(F.trim(text) != "").withColumn("__id", F.sha2(F.concat_ws("\x1f", F.col(label), F.col(text)), 256))
+    split, _ = label_index(stratified_split(rows, [label], "__id", test, seed).withColumn("__terms", term_array(F.col(text))), label)
+    train, held = (split.where(F.col("split") == side).persist() for side in ("train", "test"))
+    features = fit_tfidf(train, text)
+    train_x, held_x = (features.transform(x).persist() for x in (train, held))
     history, model = [], None
     for epoch in range(1, epochs + 1):
-        model = fit_logistic(train, epochs=epoch, reg=reg)
-        a, b = evaluate(model.transform(train)), evaluate(model.transform(held))
+        model = fit_logistic(train_x, epochs=epoch, reg=reg)
+        a, b = evaluate(model.transform(train_x)), evaluate(model.transform(held_x))
         history.append({"epoch": epoch} | {f"train_{k}": v for k, v in a.items()} | {f"val_{k}": v for k, v in b.items()})
-    out = model.transform(held).select("__id", text, label, "y", "prediction", vector_to_array("probability").alias("probability"))
-    return model, out, history
+    out = model.transform(held_x).select("__id", text, label, "y", "prediction", vector_to_array("probability").alias("probability"))
+    return PipelineModel([*features.stages, *model.stages]), out, history
 
 
 def embedding_features(df: DataFrame, vector: str, out: str = "features") -> DataFrame:

@@ -21,13 +21,20 @@ def seeded(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit(""))).cast("binary"))
 
 
+def digest(keys: Sequence[str]) -> Column:
+    """SHA-256 of the columns; nulls differ from every value."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("null")) for k in keys]
+    return F.sha2(F.concat_ws(",", *parts).cast("binary"), 256)
+
+
 def drop_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row, by ``order``, of each group of equal ``keys``; nulls are equal.
 
-    ``min_by`` folds rows before the shuffle, so a group of many copies costs a row a task.
+    Rows are grouped by a digest of the keys, so a long key is sent once, in its
+    row. ``min_by`` folds rows before the shuffle, so a group of many copies
+    costs a row a task.
     """
-    first = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return first.select("__row.*")
+    return df.groupBy(digest(keys).alias("__key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def _pick(df: DataFrame, keys: Sequence[str], key: str, seed: int, wanted) -> DataFrame:

@@ -54,25 +54,42 @@ def units(docs: DataFrame, words: int = 300) -> DataFrame:
 def build(raw: DataFrame, settings: Settings = Settings(), order: str = "s3_key") -> dict[str, DataFrame]:  # noqa: B008
     """All outputs of the job, lazily: clean documents by label, the split, and its chunks."""
     clean = deduplicate(clean_documents(raw, settings), order)
+    split = split_documents(clean, settings, order)
+    return _by_label(clean) | _by_split("main", split) | _by_split("augmented", units(split, settings.chunk_words))
+
+
+def split_documents(clean: DataFrame, settings: Settings, order: str) -> DataFrame:
     capped = cap_groups(clean, ["label", "source"], settings.group_cap, order, settings.seed)
-    split = stratified_split(capped, ["label", "source"], order, settings.test_fraction, settings.seed).persist()
-    chunked = units(split, settings.chunk_words)
-    return {
-        "no_pls_clean": clean.where(F.col("label") == labels.TECHNICAL),
-        "pls_clean": clean.where(F.col("label") == labels.PLAIN),
-        "main_train": split.where("split = 'train'"),
-        "main_test": split.where("split = 'test'"),
-        "augmented_train": chunked.where("split = 'train'"),
-        "augmented_test": chunked.where("split = 'test'"),
-    }
+    return stratified_split(capped, ["label", "source"], order, settings.test_fraction, settings.seed)
+
+
+def _by_label(clean: DataFrame) -> dict[str, DataFrame]:
+    return {"no_pls_clean": clean.where(F.col("label") == labels.TECHNICAL), "pls_clean": clean.where(F.col("label") == labels.PLAIN)}
+
+
+def _by_split(name: str, split: DataFrame) -> dict[str, DataFrame]:
+    return {f"{name}_{side}": split.where(F.col("split") == side) for side in ("train", "test")}
 
 
 def run(spark: SparkSession, root: str, out: str, settings: Settings = Settings()) -> dict[str, DataFrame]:  # noqa: B008
-    """Read ``root/<label>/<source>/*.txt`` and write every output below ``out``."""
+    """Read ``root/<label>/<source>/*.txt`` and write every output below ``out``; returns them as written.
+
+    Each step starts from the tables that the one before wrote, so texts are
+    cleaned and grouped once, for a table that the outputs are filtered from.
+    """
     raw = text.documents(spark, root, labels.TECHNICAL).unionByName(text.documents(spark, root, labels.PLAIN))
-    outputs = build(raw, settings)
-    for name, df in outputs.items():
-        sinks.write_parquet(df, f"{out.rstrip('/')}/{name}.parquet")
+    out, order = out.rstrip("/"), "s3_key"
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        sinks.write_parquet(df, f"{out}/{name}.parquet")
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}.parquet")
+
+    clean = written("clean", deduplicate(clean_documents(raw, settings), order))
+    outputs = {name: written(name, df) for name, df in _by_label(clean).items()}
+    split = written("main", split_documents(clean, settings, order))
+    outputs |= {name: written(name, df) for name, df in _by_split("main", split).items()}
+    for side in ("train", "test"):
+        outputs[f"augmented_{side}"] = written(f"augmented_{side}", units(outputs[f"main_{side}"], settings.chunk_words))
     return outputs
 
 

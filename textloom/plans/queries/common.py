@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.cleaning import PATTERN, STEPS
 from textloom.functions.labels import label_name
 from textloom.functions.metrics import STOPWORDS
 
@@ -57,24 +59,22 @@ def rounded(columns: dict[str, Column], digits: int = 6) -> list[Column]:
 
 LABELLED = "(SELECT d.*, CASE l.quality WHEN 1 THEN 'pls' WHEN 0 THEN 'no_pls' END AS label FROM documents d JOIN labels l USING (doc_id))"
 
+
+def _re2(pattern: str) -> str:
+    """A cleaning pattern without the flags that only Java has."""
+    flags, rest = re.fullmatch(r"(?:\(\?([a-zA-Z]+)\))?(.*)", pattern, re.S).groups()
+    kept = "".join(f for f in flags or "" if f in "im")
+    return f"(?{kept}){rest}" if kept else rest
+
+
+def _replacement(text: str) -> str:
+    """A cleaning replacement as an SQL expression."""
+    quoted = re.sub(r"\$(\d)", r"\\\1", text)
+    return " || ".join(["chr(10)"] * len(text)) if text and not text.strip("\n") else f"'{quoted}'"
+
+
 #: The cleaning steps in RE2's syntax: pattern, replacement.
-_STEPS = [
-    (r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]", "' '"),
-    (r"\r\n", "chr(10)"),
-    (r"\r", "chr(10)"),
-    (r"\n{3,}", "chr(10) || chr(10)"),
-    (r"([^\n])\n([^\n])", r"'\1 \2'"),
-    ("<[^>]+>", "' '"),
-    (r"(?i)https?://\S+|www\.\S+", "' '"),
-    (r"\b[\w\.-]+@[\w\.-]+\.\w+\b", "' '"),
-    (r"\b\+?\d[\d\s\-\(\)]{6,}\d\b", "' '"),
-    ("#[A-Za-z0-9_]+", "' '"),
-    (r"(?m)^[\s>*\-•·◦]+", "''"),
-    (r"\.{3,}", "'...'"),
-    ("([!?]){2,}", r"'\1'"),
-    (r"\s+([,.;:!?])", r"'\1'"),
-    (r"\s+", "' '"),
-]
+_STEPS = [(_re2(pattern), _replacement(replacement)) for _, pattern, replacement in STEPS]
 
 
 def sql_steps(text: str, first: int = 0, last: int = len(_STEPS)) -> str:
@@ -146,11 +146,12 @@ LEXICAL = {
     "long_word_ratio": "over6 / n",
     "short_word_ratio": "upto3 / n",
 }
+#: What each character count counts, in RE2's syntax.
 _COUNTS = {
     "n_chars": "length(text)", "n_letters": r"\p{L}", "n_upper": r"\p{Lu}", "n_lower": r"[\p{Ll}ªº]", "n_digits": r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "n_spaces": " ",
     "n_tabs": r"\t", "n_newlines": r"\n", "n_punct": r"""[.,;:!?"''()\-\[\]{}]""", "n_nonascii": r"[^\x00-\x7F]", "n_alpha": r"\p{L}", "n_alnum": r"[\p{L}\p{N}]",
     "n_vowels": "[aeiouyAEIOUY]", "n_periods": r"\.", "n_commas": ",", "n_semicolons": ";", "n_colons": ":", "n_exclaims": "!", "n_questions": r"\?",
-    "hashtags": "#", "atsigns": "@", "urls": r"(?i)https?://\S+|www\.\S+", "emails": r"\b[\w\.-]+@[\w\.-]+\.\w+\b",
+    "hashtags": "#", "atsigns": "@", "urls": _re2(PATTERN["urls"]), "emails": _re2(PATTERN["emails"]),
 }
 CHARACTERS = {k: p if k == "n_chars" else f"len(regexp_extract_all(text, '{p}'))" for k, p in _COUNTS.items()}
 CHARACTERS["n_consonants"] = f"greatest(0, {CHARACTERS['n_letters']} - {CHARACTERS['n_vowels']})"
