@@ -1,14 +1,18 @@
 """Sampling, pairing, sources, sinks, jobs and plug-ins."""
 
+import json
 import math
+import threading
 import zipfile
 from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from io import BytesIO
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import schemas
 from textloom.functions import cleaning
 from textloom.operators import evaluate, ml, pairing, plugins, sampling
 from textloom.plans import corpus, jobs
@@ -117,6 +121,59 @@ def test_listing_walk():
     assert list(listing.walk("u", fetch=pages.__getitem__)) == [("d/b.TXT", "db"), ("a.txt", "da")]
 
 
+def test_listing_source_reads_files_over_http(spark):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            base = f"http://127.0.0.1:{self.server.server_port}"
+            pages = {
+                "/list": [{"name": "sub", "type": "dir", "url": f"{base}/sub"}, {"name": "a.txt", "type": "file", "download_url": f"{base}/a"}],
+                "/sub": [{"name": "b.TXT", "type": "file", "download_url": f"{base}/b"}, {"name": "c.csv", "type": "file", "download_url": f"{base}/c"}],
+            }
+            body = json.dumps(pages[self.path]).encode() if self.path in pages else f"text of {self.path} é".encode() + b"\xff"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(listing.ListingSource)
+    read = spark.read.format("textloom_listing").option("url", f"http://127.0.0.1:{server.server_port}/list").load()
+    assert sorted(tuple(r) for r in read.collect()) == [("a.txt", "text of /a é"), ("sub/b.TXT", "text of /b é")]
+    server.shutdown()
+
+
+def test_command_line(spark, small, tmp_path):
+    jobs.main(["metrics", "--input", f"{small}/documents.parquet", "--output-dir", str(tmp_path), "--family", "b"])
+    made = spark.read.parquet(str(tmp_path / "documents_metrics.parquet"))
+    assert made.count() == 200 and "yule_k" in made.columns
+    made.withColumn("label", F.lit("x")).write.parquet(str(tmp_path / "m"))
+    jobs.main(["distributions", "--input", str(tmp_path / "m"), "--out", str(tmp_path / "bins"), "--metrics", "flesch", "--bins", "5"])
+    assert sum(r.density * (r.high - r.low) for r in spark.read.parquet(str(tmp_path / "bins")).collect()) == pytest.approx(1.0)
+    (tmp_path / "s.csv").write_text("prediction,reference\na b,a b\nx,y\n")
+    jobs.main(["score", "--input", str(tmp_path / "s.csv"), "--out", str(tmp_path / "scores")])
+    assert {(r.document_id, r.rouge_f1) for r in spark.read.parquet(str(tmp_path / "scores")).collect()} == {("row_0", 1.0), ("row_1", 0.0)}
+
+
+def test_config_archives_and_schema_helpers(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("io:\n  text_col: body\n")
+    assert tables.load_config(str(tmp_path / "c.yaml")) == {"io": {"text_col": "body"}} and tables.load_config(str(tmp_path / "c.yaml")) is tables.load_config(str(tmp_path / "c.yaml"))
+    df = spark.createDataFrame([("pls/a.txt", "x", 1, 2.0)], "document_id string, clean_text string, n int, lix double")
+    (tmp_path / "z.zip").write_bytes(sinks.zip_texts(df, "document_id", "clean_text"))
+    assert tables.extract_zip(str(tmp_path / "z.zip"), str(tmp_path / "out")) == ["a_clean.txt"] and (tmp_path / "out/a_clean.txt").read_text() == "x"
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../x.txt", "x")
+    with pytest.raises(ValueError, match="unsafe"):
+        tables.extract_zip(str(tmp_path / "bad.zip"), str(tmp_path / "out"))
+    assert schemas.pick_column(df) == "clean_text" and schemas.pick_column(df.select("n")) == "n" and schemas.numeric_columns(df, ["n"]) == ["lix"]
+    assert schemas.priority_columns(df, ["lix", "absent", "n"], 1) == ["lix"] and schemas.priority_columns(df, ["absent"], 3) == ["n"]
+    assert schemas.map_columns(df.limit(0), {"clean_text": "text"}).columns == ["text"] and schemas.replace_columns(df, ["n", "x"]).columns == ["document_id", "clean_text", "lix"]
+    with pytest.raises(ValueError, match="absent"):
+        schemas.map_columns(df, {"absent": "text"})
+
+
 def test_plugins(spark):
     df = spark.createDataFrame([("p", "the cat", "t")], "pair_id string, medical string, plain string")
     out = jobs.evaluate_generator(df, lambda: lambda prompt: prompt + "a plain answer").first()

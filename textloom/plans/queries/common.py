@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh() -> str:
+    """A name that no other run uses."""
+    return uuid.uuid4().hex
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its files have fewer splits than that; larger inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

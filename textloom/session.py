@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +24,21 @@ def build(name: str = "textloom", master: str | None = None, **settings: str) ->
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below ``spark.checkpoint.dir``, with its scheme.
+
+    Where that is unset a local master gets a temporary folder; elsewhere that is
+    an error, as executors would not share it.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
+        path = sc.getCheckpointDir()
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    whole = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
+    return f"{whole}/textloom-files/{sc.applicationId}"

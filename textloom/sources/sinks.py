@@ -22,7 +22,9 @@ def write_by_label(df: DataFrame, roots: Sequence[str], label: str = "label") ->
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; values keep their blanks, and quotes in them are doubled."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def zip_texts(df: DataFrame, name: str, text: str) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -67,8 +68,9 @@ def read_texts(spark: SparkSession, folder: str, glob: str = TXT, undecodable: s
 
 
 def relative(path: Column, root: str) -> Column:
-    """A file's path below ``root``."""
-    return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/*", "/"), f"^\\Q{root.rstrip('/')}\\E/", "")
+    """A file's path below ``root``, either with or without a scheme."""
+    root = re.sub("^[a-z0-9]+:/*", "/", root.rstrip("/"))
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/*", "/"), f"^\\Q{root}\\E/", "")
 
 
 def documents(spark: SparkSession, root: str, label: str) -> DataFrame:
