@@ -94,6 +94,10 @@ def test_warc_round_trip(spark, tmp_path):
         inflater = zlib.decompressobj(31)
         inflater.decompress(open(path, "rb").read())
         assert inflater.eof and not inflater.unused_data
+    listed = {r.value.rsplit("/", 1)[-1] for r in spark.read.text(f"{folder}/manifest").collect()}
+    assert listed == {n for n in os.listdir(tmp_path / "w/records") if n.endswith(".gz")}
+    warc.round_trip(df, f"file://{tmp_path}/v", keep_whole=False).collect()
+    assert sorted(os.listdir(tmp_path / "v")) == ["manifest", "records"]
     assert warc.op8_warc(df.limit(0)).count() == 0
 
 

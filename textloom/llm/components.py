@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import checked_broadcast, materialize
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """(u, m): a row a node, broadcast while there are few, so that a node with many links isn't one task of a join."""
+    return checked_broadcast(materialize(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ written once, by the page with the largest id (by each of its rows, should the
 id repeat), and revisited by the others; rows with a null id are written and
 read back with a null id, and refer like any other. Files are named by a random
 id, so a task that runs again never touches another's file, and only files
-listed in the manifest count. An empty table writes no archive.
+listed in the manifest count. An empty table writes no archive. Payloads are
+written whole, however long; repeated rows are a record each. Only the named
+columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -188,7 +190,7 @@ def write_archives(referred: DataFrame, folder: str) -> DataFrame:
     return referred.mapInArrow(run, "archive string")
 
 
-def normalise_archives(archives: DataFrame, folder: str, drop_source: bool = True) -> DataFrame:
+def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """(archive, record_id, type, offset, length): the index of the normalised copies in ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +248,14 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.select("archive", "offset", "length").mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write, normalise and read back all pages; the archives stay in ``folder``/records."""
+def round_trip(pages: DataFrame, folder: str | None = None, keep_whole: bool = True) -> DataFrame:
+    """Write, normalise and read back all pages.
+
+    The archives stay in ``folder``/records, listed in ``folder``/manifest; files
+    that aren't listed there are left-overs of tasks that ran again. The
+    monolithic ones stay in ``folder``/whole, unless they aren't kept: they go
+    once the index is written, after which no task reads them.
+    """
     spark: SparkSession = pages.sparkSession
     small_batches(spark, 500)
     folder = folder or new_path(spark, "warc")
@@ -255,11 +263,15 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     # Every archive is a task of its own at most; the written tables fix whose files count.
     spread = written.repartition(max(1, min(written.count(), 10_000)))
     index = materialize(normalise_archives(spread, f"{folder}/records"), "index")
+    index.select("archive").distinct().coalesce(1).write.text(f"{folder}/manifest")
+    if not keep_whole:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/whole")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return read_records(index)
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:
-    return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(pages, keep_whole=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""
