@@ -1,8 +1,8 @@
 """Arrow kernels for statistics of a text's words and characters.
 
-Spark interprets lambdas over arrays, so a pass over each word in the engine
-took 25 times as long as these kernels over Arrow batches (10,000 documents on
-8 threads). A kernel counts a text's types once; all sums are then over types.
+Spark interprets lambdas over arrays; these kernels over Arrow batches take a
+half (word counts) to a third (all metrics) of their time. A kernel counts a
+text's types once; all sums are then over types.
 """
 
 from __future__ import annotations
