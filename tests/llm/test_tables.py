@@ -201,6 +201,7 @@ def test_scratch_tables_are_read_back_and_released(spark):
     path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
     assert os.path.exists(path)
     other = os.path.join(scratch.shared_dir(spark).removeprefix("file://").removeprefix("file:"), "textloom", "of-another-job")
-    os.makedirs(other)
+    os.makedirs(other, exist_ok=True)
     scratch.release(spark)
     assert not os.path.exists(path) and os.path.exists(other)
+    os.rmdir(other)
