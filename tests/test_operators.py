@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom import schemas
 from textloom.functions import cleaning
-from textloom.operators import evaluate, ml, pairing, plugins, sampling
+from textloom.operators import describe, evaluate, ml, pairing, plugins, sampling
 from textloom.plans import corpus, jobs
 from textloom.sources import listing, sinks, tables, text
 
@@ -199,6 +199,21 @@ def test_evaluation(spark):
     assert evaluate.mean_action(spark.createDataFrame([(4.0,), (8.0,)], "x double"), "x").first().action == 1.0
 
 
+@pytest.mark.parametrize(("accuracy", "groups"), [(10_000, 100_000), (40, 0)])
+def test_percentiles_equal_numpy(spark, monkeypatch, accuracy, groups):
+    monkeypatch.setattr(describe, "ACCURACY", accuracy)
+    monkeypatch.setattr(describe, "GROUPS", groups)
+    rng = np.random.default_rng(5)
+    samples = {f"n{n}": rng.normal(0, 1, n).tolist() for n in (1, 2, 3, 4, 5, 6, 9, 2000)} | {"ties": rng.integers(0, 4, 3000).astype(float).tolist(), "skew": rng.pareto(0.5, 3000).tolist(), None: [2.0] * 50 + [7.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in samples.items() for v in vs], "k string, value double")
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r.k: (r.n, r.q) for r in describe.percentiles(df, ["k"], shares).collect()}
+    assert set(got) == set(samples)
+    for k, vs in samples.items():
+        assert got[k][0] == len(vs) and got[k][1] == pytest.approx(np.quantile(vs, shares).tolist())
+    assert describe.percentiles(df.limit(0), ["k"], shares).count() == 0
+
+
 def test_model_round_trip(spark, small, tmp_path):
     rows = ml.embedding_features(spark.read.parquet(f"{small}/embeddings.parquet").withColumn("y", F.expr("double(vec_id % 3 = 0)")), "embedding")
     model = ml.fit_logistic(rows, epochs=20, reg=0.01)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import shared_folder
+
+#: Accuracy of the sketches that bracket percentiles, and groups whose brackets are broadcast.
+ACCURACY, GROUPS = 10_000, 100_000
+
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
@@ -30,9 +36,45 @@ def long_form(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFrame:
     return cast.unpivot(label, list(metrics), "metric", "value").where("value is not null")
 
 
+def percentiles(values: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(keys, n, q): exact percentiles of ``value`` by ``keys`` (nulls are a key), linearly between neighbours.
+
+    No group is held or sorted as a whole: a mergeable sketch brackets each
+    percentile, rows below the bracket are counted, and only the values inside
+    it, some ten-thousandths of the group, are ranked.
+    """
+    spark = values.sparkSession
+    path = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
+    values.select(*keys, F.to_json(F.struct(*keys)).alias("__key"), F.col("value").cast("double").alias("value")).write.parquet(path)
+    held, margin = spark.read.parquet(path), 2.0 / ACCURACY
+    ends = F.array(*(F.lit(float(min(1.0, max(0.0, p + d)))) for p in shares for d in (-margin, margin)))
+    groups = held.groupBy("__key").agg(*(F.first(k).alias(k) for k in keys), F.count("*").alias("n"), F.percentile_approx("value", ends, F.lit(ACCURACY)).alias("b"))
+    place = lambda p: (F.col("n") - 1) * p
+    targets = F.array(*(F.struct(F.lit(i).alias("i"), F.col("b")[2 * i].alias("lo"), F.col("b")[2 * i + 1].alias("hi"), place(p).alias("at")) for i, p in enumerate(shares)))
+    wanted = groups.select("__key", F.explode(targets).alias("t")).select("__key", "t.*")
+    if groups.count() <= GROUPS:
+        wanted = F.broadcast(wanted)
+    met, value, one = held.select("__key", "value").join(wanted, "__key"), F.col("value"), ["__key", "i"]
+    outside = met.groupBy(*one).agg(
+        F.first("at").alias("at"), F.count(F.when(value < F.col("lo"), 1)).alias("below"),
+        F.max(F.when(value < F.col("lo"), value)).alias("under"), F.min(F.when(value > F.col("hi"), value)).alias("over"),
+    )
+    inside = met.where(value.between(F.col("lo"), F.col("hi"))).groupBy(*one, "value").agg(F.count("*").alias("c"))
+    ranked = inside.withColumn("end", F.sum("c").over(Window.partitionBy(*one).orderBy("value"))).join(outside, one)
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda rank: F.max(F.when((F.col("below") + F.col("end") - F.col("c") <= rank) & (rank < F.col("below") + F.col("end")), value))
+    found = ranked.groupBy(*one).agg(*(F.first(c).alias(c) for c in ("at", "below", "under", "over")), holds(low).alias("a"), holds(high).alias("z"))
+    # A neighbour's rank may lie one beyond the bracket.
+    a, z = (F.coalesce(F.col(c), F.when(rank < F.col("below"), F.col("under")).otherwise(F.col("over"))) for c, rank in (("a", low), ("z", high)))
+    between = F.when(a == z, a).otherwise((high - F.col("at")) * a + (F.col("at") - low) * z)
+    q = found.select("__key", F.struct("i", between.alias("v")).alias("x")).groupBy("__key").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("q"))
+    return groups.drop("b").join(q, "__key").select(*keys, "n", "q")
+
+
 def medians(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFrame:
     """(metric, label, median) of every metric."""
-    return long_form(df.where(F.col(label).isNotNull()), label, metrics).groupBy("metric", label).agg(F.median("value").alias("median"))
+    values = long_form(df.where(F.col(label).isNotNull()), label, metrics)
+    return percentiles(values, ["metric", label], [0.5]).select("metric", label, F.col("q")[0].alias("median"))
 
 
 def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int = 12) -> DataFrame:
@@ -44,7 +86,7 @@ def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int =
 def box_statistics(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers by metric and label; a whisker is the furthest value within 1.5 times the quartile range."""
     values = long_form(df, label, metrics)
-    quart = values.groupBy("metric", label).agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quart = percentiles(values, ["metric", label], [0.25, 0.5, 0.75])
     quart = quart.select("metric", label, "n", *(F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))))
     margin = 1.5 * (F.col("q3") - F.col("q1"))
     joined = values.join(quart, (values["metric"] == quart["metric"]) & values[label].eqNullSafe(quart[label])).select(quart["*"], "value")
