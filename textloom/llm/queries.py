@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cover_tree, decontaminate, langid, lm_scoring, mixing, secrets, sharding, simhash, url_rules, warc
+from textloom.llm import bpe, cover_tree, decontaminate, langid, lm_scoring, mixing, secrets, sharding, simhash, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs it
+
+    return bpe.op13_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_top_k, op2_secret_scan, op3_lm_score, op4_decontaminate, op5_shard,
         op6_language_id, op7_url_filter, op8_warc_round_trip, op9_mix_sources, op10_simhash,
+        op13_bpe,
     )
     return {op.__name__: op for op in ops}
 
