@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, cover_tree, decontaminate, langid, lm_scoring, mixing, secrets, sharding, simhash, trie, url_rules, warc
+from textloom.llm import bpe, cover_tree, decontaminate, langid, lm_scoring, mixing, repair, secrets, sharding, simhash, trie, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op11_repairs(_table(spark, sf_dir, "conversations"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.op12_trie(_table(spark, sf_dir, "conversations"))
 
@@ -73,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_top_k, op2_secret_scan, op3_lm_score, op4_decontaminate, op5_shard,
         op6_language_id, op7_url_filter, op8_warc_round_trip, op9_mix_sources, op10_simhash,
-        op12_prefix_trie, op13_bpe,
+        op11_repair, op12_prefix_trie, op13_bpe,
     )
     return {op.__name__: op for op in ops}
 
@@ -85,5 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_rules.oracle(),
         "op8_warc_round_trip": warc.ORACLE,
         "op9_mix_sources": mixing.oracle(),
+        "op11_repair": repair.oracle(),
         "op12_prefix_trie": trie.oracle(),
     }

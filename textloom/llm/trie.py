@@ -89,7 +89,7 @@ def _lane(k: int) -> Column:
 
 def prefixes(paths: DataFrame) -> DataFrame:
     """``paths`` with the node (x, y beside depth) that each turn completes, and its piece."""
-    rows = paths.withColumn("piece", F.floor(F.col("depth") / PIECE)).withColumn("a", _lane(0)).withColumn("b", _lane(1)).drop("digest")
+    rows = paths.withColumn("piece", F.expr(f"depth div {PIECE}")).withColumn("a", _lane(0)).withColumn("b", _lane(1)).drop("digest")
     rows = materialize(rows, "lanes")
     w = Window.partitionBy("conv_id", "piece").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("x", F.bit_xor("a").over(w)).withColumn("y", F.bit_xor("b").over(w)).drop("a", "b")
