@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -43,8 +43,8 @@ PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 END = "Ā"
 #: Bytes of a word up to which its ranks are scanned.
 SHORT = 96
-#: Words whose ids a worker remembers.
-MEMO = 200_000
+#: Words whose ids a worker remembers: up to twice as many, as those in use outlive the others.
+MEMO = 300_000
 #: Bytes of a vocabulary file that are broadcast at most.
 VOCABULARY_BYTES = 64 << 20
 #: Bytes of ids and text in one batch of results, about.
@@ -59,6 +59,25 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Memo(dict):
+    """Ids by word. When full, it starts anew, but what is asked for again is taken over from before."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a tokenizer file."""
 
@@ -78,7 +97,7 @@ class Vocabulary:
         self.tokens = dict(enumerate(sorted(model["vocab"], key=model["vocab"].get))) | {i: t for t, i in self.special.items()}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self._words = regex.compile(WORDS)
-        self._memo: dict[str, bytes] = {}
+        self._memo = Memo(self.word)
 
     def parts(self, symbols: str) -> list[str]:
         """The merged parts of a word, given with a character a byte and END at its end."""
@@ -89,14 +108,8 @@ class Vocabulary:
 
     def word(self, word: str) -> bytes:
         """A word's ids, as they are written: little-endian unsigned 32-bit integers."""
-        found = self._memo.get(word)
-        if found is None:
-            ids = [self.ids[p] for p in self.parts(word.encode().decode("latin-1") + END)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            self._memo[word] = found
-        return found
+        ids = [self.ids[p] for p in self.parts(word.encode().decode("latin-1") + END)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids, as ``word`` writes them."""
@@ -112,7 +125,7 @@ class Vocabulary:
         if not text.isascii():
             # Capital sigma apart: its lower case doesn't depend on its place here.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return map(self.word, self._words.findall(text.lower()))
+        return map(self._memo.__getitem__, self._words.findall(text.lower()))
 
     def decode(self, ids: bytes) -> str:
         """The tokens of ``encode``'s ids, joined by spaces."""
@@ -122,19 +135,18 @@ class Vocabulary:
 def _scanned(symbols: str, bounds: list[int], ranks: dict[tuple[str, str], int]) -> list[int]:
     """The boundaries that are left after all merges, by scans of the array of adjacent ranks."""
 
-    def rank(i: int) -> int:
-        """The rank of the parts before and after boundary i + 1."""
-        a, b, c = bounds[i : i + 3]
-        return ranks.get((symbols[a:b], symbols[b:c]), NEVER)
-
-    adjacent = [rank(i) for i in range(len(bounds) - 2)]
+    get = ranks.get
+    single = [*symbols[: bounds[-2]], symbols[bounds[-2] :]]
+    adjacent = [get(pair, NEVER) for pair in pairwise(single)]
     while adjacent and (least := min(adjacent)) != NEVER:
         i = adjacent.index(least)
         del bounds[i + 1], adjacent[i]
+        a, b = bounds[i], bounds[i + 1]
+        merged = symbols[a:b]
         if i:
-            adjacent[i - 1] = rank(i - 1)
+            adjacent[i - 1] = get((symbols[bounds[i - 1] : a], merged), NEVER)
         if i < len(adjacent):
-            adjacent[i] = rank(i)
+            adjacent[i] = get((merged, symbols[b : bounds[i + 2]]), NEVER)
     return bounds
 
 
