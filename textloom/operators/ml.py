@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions import kernels
 from textloom.functions.let import let
 from textloom.functions.tokens import ngrams
+from textloom.operators import sgd
 from textloom.operators.sampling import stratified_split
 
 #: Words of two or more letters, digits or ``_``.
@@ -81,25 +83,25 @@ def fit_logistic(df: DataFrame, features: str = "features", label: str = "y", ep
     return Pipeline(stages=[LogisticRegression(featuresCol=features, labelCol=label, maxIter=epochs, regParam=reg)]).fit(df)
 
 
-def training_job(df: DataFrame, text: str = "chunk_text", label: str = "label", epochs: int = 5, reg: float = 1e-4, test: float = 0.2, seed: int = 13) -> tuple[PipelineModel, DataFrame, list[dict]]:
-    """TF-IDF and logistic regression: (model over a ``__terms`` column, validation predictions, history by epoch).
+def training_job(
+    df: DataFrame, text: str = "chunk_text", label: str = "label", epochs: int = 5, reg: float = 1e-4, test: float = 0.2, seed: int = 13, rate: float = 0.001, batch: int = 128
+) -> tuple[PipelineModel, DataFrame, list[dict]]:
+    """TF-IDF and stochastic logistic regression: (model over a ``__terms`` column, validation predictions, history by epoch).
 
     All rows count, repeated ones as often as they occur. Vocabulary, idf and
-    coefficients come from the training rows only. An epoch is a full-batch
-    iteration; each history entry refits with that many.
+    coefficients come from the training rows only; every epoch is one pass.
     """
     rows = df.where(F.trim(text) != "").withColumn("__id", F.sha2(F.concat_ws("\x1f", F.col(label), F.col(text)), 256))
-    split, _ = label_index(stratified_split(rows, [label], "__id", test, seed).withColumn("__terms", term_array(F.col(text))), label)
-    train, held = (split.where(F.col("split") == side).persist() for side in ("train", "test"))
-    features = fit_tfidf(train, text)
-    train_x, held_x = (features.transform(x).persist() for x in (train, held))
-    history, model = [], None
-    for epoch in range(1, epochs + 1):
-        model = fit_logistic(train_x, epochs=epoch, reg=reg)
-        a, b = evaluate(model.transform(train_x)), evaluate(model.transform(held_x))
-        history.append({"epoch": epoch} | {f"train_{k}": v for k, v in a.items()} | {f"val_{k}": v for k, v in b.items()})
-    out = model.transform(held_x).select("__id", text, label, "y", "prediction", vector_to_array("probability").alias("probability"))
-    return PipelineModel([*features.stages, *model.stages]), out, history
+    split, names = label_index(stratified_split(rows, [label], "__id", test, seed).withColumn("__terms", term_array(F.col(text))), label)
+    split = split.persist(StorageLevel.DISK_ONLY)
+    features = fit_tfidf(split.where("split = 'train'"), text)
+    x = sgd.sparse(F.col("features"))
+    vectors = features.transform(split).select(F.col("__id").alias("id"), F.col("split").alias("side"), F.col("y").cast("int").alias("y"), x.alias("x")).select("id", "side", "y", "x.*")
+    model, history = sgd.fit(vectors, len(features.stages[0].vocabulary), len(names), sgd.Settings(epochs, rate, reg, batch, seed))
+    split.unpersist()
+    whole = PipelineModel([*features.stages, model])
+    out = whole.transform(split.where("split = 'test'")).select("__id", text, label, "y", "prediction", vector_to_array("probability").alias("probability"))
+    return whole, out, history
 
 
 def embedding_features(df: DataFrame, vector: str, out: str = "features") -> DataFrame:
