@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,8 +28,8 @@ def build(name: str = "textloom", master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, with its scheme.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``, with its scheme, so that Python on the executors resolves it as Spark does.
 
     Where that is unset a local master gets a temporary folder; elsewhere that is
     an error, as executors would not share it.
@@ -40,5 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
         path = sc.getCheckpointDir()
     jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    whole = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
-    return f"{whole}/textloom-files/{sc.applicationId}"
+    return jpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder for the library's own files below the shared one."""
+    return f"{shared_dir(spark)}/textloom-files/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark reads; one that isn't there is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the library has written for this application in the shared folder; tables that were read from it are lost."""
+    delete(spark, shared_folder(spark))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back, so that it is computed once and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (of written rows, each of bounded size) with a broadcast hint if it is counted to hold at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
