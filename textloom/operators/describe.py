@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.session import shared_folder
+from textloom.operators import comoments
+from textloom.session import checked_broadcast, written
 
 #: Accuracy of the sketches that bracket percentiles, and groups whose brackets are broadcast.
 ACCURACY, GROUPS = 10_000, 100_000
@@ -43,10 +42,8 @@ def percentiles(values: DataFrame, keys: Sequence[str], shares: Sequence[float])
     percentile, rows below the bracket are counted, and only the values inside
     it, some ten-thousandths of the group, are ranked.
     """
-    spark = values.sparkSession
-    path = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
-    values.select(*keys, F.to_json(F.struct(*keys)).alias("__key"), F.col("value").cast("double").alias("value")).write.parquet(path)
-    held, margin = spark.read.parquet(path), 2.0 / ACCURACY
+    held = written(values.select(*keys, F.to_json(F.struct(*keys)).alias("__key"), F.col("value").cast("double").alias("value")), "values")
+    margin = 2.0 / ACCURACY
     ends = F.array(*(F.lit(float(min(1.0, max(0.0, p + d)))) for p in shares for d in (-margin, margin)))
     groups = held.groupBy("__key").agg(*(F.first(k).alias(k) for k in keys), F.count("*").alias("n"), F.percentile_approx("value", ends, F.lit(ACCURACY)).alias("b"))
     place = lambda p: (F.col("n") - 1) * p
@@ -88,6 +85,7 @@ def box_statistics(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFra
     values = long_form(df, label, metrics)
     quart = percentiles(values, ["metric", label], [0.25, 0.5, 0.75])
     quart = quart.select("metric", label, "n", *(F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))))
+    quart = checked_broadcast(written(quart, "quartiles"), GROUPS)
     margin = 1.5 * (F.col("q3") - F.col("q1"))
     joined = values.join(quart, (values["metric"] == quart["metric"]) & values[label].eqNullSafe(quart[label])).select(quart["*"], "value")
     inside = F.when(F.col("value").between(F.col("q1") - margin, F.col("q3") + margin), F.col("value"))
@@ -103,6 +101,7 @@ def histogram(df: DataFrame, label: str, metrics: Sequence[str], bins: int = 50)
     span = values.groupBy("metric", label).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     point = F.col("lo") == F.col("hi")
     span = span.withColumn("low0", F.when(point, F.col("lo") - 0.5).otherwise(F.col("lo"))).withColumn("w", F.when(point, F.lit(1.0 / bins)).otherwise((F.col("hi") - F.col("lo")) / bins))
+    span = checked_broadcast(written(span, "spans"), GROUPS)
     joined = values.join(span, (values["metric"] == span["metric"]) & values[label].eqNullSafe(span[label])).select(span["*"], "value")
     slot = F.least(F.floor((F.col("value") - F.col("low0")) / F.col("w")), F.lit(bins - 1)).cast("int")
     counted = joined.groupBy("metric", label, slot.alias("bin")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("low0").alias("low0"), F.first("w").alias("w"))
@@ -111,18 +110,10 @@ def histogram(df: DataFrame, label: str, metrics: Sequence[str], bins: int = 50)
 
 
 def correlations(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """(a, b, corr): Pearson over rows where both are there, all ordered pairs and the diagonal, in one pass."""
+    """(a, b, corr): the correlation matrix of three columns or more (see ``comoments``)."""
     if len(metrics) < 3:
         raise ValueError("a correlation matrix takes three columns or more")
-    pairs = list(combinations(metrics, 2))
-    one = df.agg(
-        *(F.corr(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double")), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)),
-        *(F.var_samp(F.col(m).cast("double")).alias(f"v{i}") for i, m in enumerate(metrics)),
-    )
-    entry = lambda a, b, c: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c.alias("corr"))
-    both = [entry(x, y, F.col(f"c{i}")) for i, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))]
-    same = [entry(m, m, F.when(F.col(f"v{i}") > 0, 1.0)) for i, m in enumerate(metrics)]
-    return one.select(F.explode(F.array(*both, *same)).alias("x")).select("x.*")
+    return comoments.correlations(df, metrics)
 
 
 def drop_null_metric(df: DataFrame, metric: str) -> DataFrame:

@@ -11,6 +11,7 @@ from textloom.functions.tokens import white_words
 from textloom.operators import describe, evaluate, ml, pairing, sampling
 from textloom.plans import corpus
 from textloom.plans.queries import common as C
+from textloom.session import written
 from textloom.sources.text import folder_counts
 
 R = C.Registry()
@@ -360,8 +361,15 @@ def flagship(spark, d):
     """Clean, filter, deduplicate by label, score readability, and describe by label."""
     docs = corpus.clean_documents(C.labelled(spark, d), unicode=False)
     held = corpus.deduplicate(docs, "doc_id").withColumn("s", metrics.word_statistics(F.col("text")))
-    scored = held.select("label", metrics.readability(F.col("s"), F.col("text"))["flesch"].alias("flesch"))
-    return scored.groupBy("label").agg(F.count("*").alias("n_docs"), F.round(F.median("flesch"), 6).alias("median_flesch"))
+    scored = written(held.select("label", metrics.readability(F.col("s"), F.col("text"))["flesch"].alias("value")), "flesch")
+    return _with_median(scored, ["label"], [F.count("*").alias("n_docs")]).select("label", "n_docs", F.round("median", 6).alias("median_flesch"))
+
+
+def _with_median(rows, keys, aggregates):
+    """The aggregates of written rows by ``keys`` (nulls are a key), and the exact median of ``value``."""
+    q = describe.percentiles(rows.where("value is not null"), keys, [0.5]).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("q")[0].alias("median"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.groupBy(*keys).agg(*aggregates).join(q, same, "left")
 
 
 R.queries["q00_flagship_flesch_by_label"] = flagship
@@ -372,8 +380,9 @@ R.sql["q00_flagship_flesch_by_label"] = f"""
 
 @R.add("SELECT status, priority, n_rows, round(mean_total, 4) AS mean_total, round(median_total, 4) AS median_total FROM (SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n_rows, avg(o_totalprice) AS mean_total, median(o_totalprice) AS median_total FROM orders GROUP BY ALL)")
 def q67_generic_describe(spark, d):
-    by = C.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return by.agg(F.count("*").alias("n_rows"), F.round(F.avg("o_totalprice"), 4).alias("mean_total"), F.round(F.median("o_totalprice"), 4).alias("median_total"))
+    rows = written(C.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("value")), "totals")
+    both = _with_median(rows, ["status", "priority"], [F.count("*").alias("n_rows"), F.round(F.avg("value"), 4).alias("mean_total")])
+    return both.select("status", "priority", "n_rows", "mean_total", F.round("median", 4).alias("median_total"))
 
 
 @R.add(r"""
