@@ -35,8 +35,8 @@ from textloom.llm.scratch import checked_broadcast, materialize
 PIECE = 4096
 #: A node with more than this share of all occurrences has its owner broadcast; there are no more than 1 / share of them.
 HOT_SHARE = 1e-4
-#: Members that no node is hot below.
-HOT_LEAST = 1000
+#: Members that no node is hot below; fewer than 1 / share nodes are above it where the share of all occurrences is less.
+HOT_LEAST = 100
 #: Contract of the registered query: a conversation's donor is the one at the multiple of FAMILY at or before it, and gives HEADS - 1 turns at most.
 FAMILY = 5
 HEADS = 9
