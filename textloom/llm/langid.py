@@ -44,8 +44,6 @@ DIM = 16
 WIDTHS = (2, 3, 4)
 #: The training sample: at most this many rows of each label, and of all labels.
 PER_LABEL, SAMPLE_ROWS = 400, 8000
-#: Subwords drawn from a sampled text that has more distinct ones.
-BAG = 4096
 #: The share of foreign texts that is rejected, and the largest share of texts of the label itself.
 FOREIGN, OWN = 0.95, 0.002
 #: Standard errors of the mean that a text's typicality is raised by.
@@ -232,16 +230,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[s
 
 
 def bag(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of one text with their shares; of more than BAG, a draw of BAG subwords."""
+    """All distinct buckets of one text (BUCKETS at most) with their shares."""
     counts = np.zeros(BUCKETS)
     for data, offs, _, _ in pieces(column.slice(i, 1)):
         for buckets, _ in subwords(data, offs):
             counts += np.bincount(buckets, minlength=BUCKETS)
     at = np.flatnonzero(counts)
-    if len(at) > BAG:
-        rng = np.random.default_rng(int(counts.sum()))
-        counts = np.bincount(rng.choice(at, BAG, p=counts[at] / counts.sum()), minlength=BUCKETS).astype(np.float64)
-        at = np.flatnonzero(counts)
     return at, counts[at] / max(1.0, counts.sum())
 
 
