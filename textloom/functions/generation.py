@@ -51,17 +51,22 @@ def flesch_band(score: Column) -> Column:
     return out.otherwise("very_difficult")
 
 
-def readability_or_default(text: Column, stats: Column) -> dict[str, Column]:
-    """Readability scores (from ``metrics.word_statistics``), Flesch kept in 0..100; defaults below 10 characters."""
-    n, sents = stats["n"].cast("double"), tokens.n_sentences(text).cast("double")
+def readability_or_default(text: Column, stats: Column, with_tools: bool = False) -> dict[str, Column]:
+    """Readability scores, Flesch kept in 0..100; defaults below 10 characters.
+
+    ``stats`` are from ``metrics.word_statistics``, or, ``with_tools``, from
+    ``metrics.word_statistics_a`` with its sentences and difficult words.
+    """
+    n, sents = stats["n"].cast("double"), (stats["sents"] if with_tools else tokens.n_sentences(text)).cast("double")
     per, syll, avg, poly = n / sents, ratio(stats["syllables"], stats["n"]), ratio(stats["len_sum"], stats["n"]), ratio(stats["poly"] * 100, stats["n"])
+    hard = ratio(stats["difficult"] * 100, stats["n"]) if with_tools else poly
     out = {
         "flesch_reading_ease": F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * per - 84.6 * syll)),
         "flesch_kincaid_grade_level": 0.39 * per + 11.8 * syll - 15.59,
         "coleman_liau_index": 5.88 * avg - 29.6 * ratio(sents, stats["n"]) - 15.8,
         "gunning_fog_index": 0.4 * (per + poly),
         "smog_index": F.when(sents >= 3, 1.043 * F.sqrt(30.0 * stats["poly"] / sents) + 3.1291).otherwise(0.0),
-        "dale_chall_readability_score": 0.1579 * poly + 0.0496 * per + F.when(poly > 5, 3.6365).otherwise(0.0),
+        "dale_chall_readability_score": 0.1579 * hard + 0.0496 * per + F.when(hard > 5, 3.6365).otherwise(0.0),
     }
     short = (F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")) < 10) | (stats["n"] == 0)
     return {k: F.when(short, DEFAULTS[k]).otherwise(c) for k, c in out.items()}

@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -133,47 +134,75 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 SENTENCE_END = re.compile(r"[.!?]+")
 A_FIELDS = (
     "t", "n", "sents", "syllables", "poly", "len_sum", "len_squares", "over7", "over10", "upper", "punct", "stop", "content",
-    "v", "v1", "v2", "pieces", "piece_words", "piece_squares",
+    "v", "v1", "v2", "pieces", "piece_words", "piece_squares", "difficult",
 )
 
 
-def token_counts(stopwords: frozenset[str]) -> Callable[[Column], Column]:
+def vowel_runs(word: str) -> int:
+    """The syllable heuristic: runs of vowels, 1 at least."""
+    return max(1, len(VOWELS.findall(word)))
+
+
+def plain_sentences(text: str) -> list[str]:
+    """The pieces between ``.!?`` that hold something."""
+    return [p for p in SENTENCE_END.split(text) if SENTENCE.search(p)]
+
+
+@dataclass(frozen=True)
+class Tools:
+    """How tokens, sentences and syllables are found, and which words are familiar (None: those of one or two syllables).
+
+    All are picklable callables; see ``functions.tokenizer``, ``functions.hyphenation`` and ``operators.sentences``.
+    """
+
+    tokens: Callable[[str], list[str]] = TOKEN.findall
+    sentences: Callable[[str], list[str]] = plain_sentences
+    syllables: Callable[[str], int] = vowel_runs
+    familiar: Callable[[str], bool] | None = None
+
+
+def token_counts(stopwords: frozenset[str], tools: Tools = Tools()) -> Callable[[Column], Column]:  # noqa: B008
     """Base counts over the tokens, letter-only words and sentences of a text, as a struct whose double is the median word length."""
+    own = tools.tokens == Tools.tokens
 
     def properties(token: str) -> tuple:
-        """(word, stop, punctuation, upper, syllables, length, lower)."""
+        """(word, stop, punctuation, upper, syllables, length, lower, difficult)."""
         low = token.lower()
         punctuation = all(unicodedata.category(c)[0] == "P" for c in token)
-        return token.isalpha(), low in stopwords, punctuation, any(map(str.isupper, token)), max(1, len(VOWELS.findall(low))), len(token), low
+        syllables = tools.syllables(low) if token.isalpha() else 1
+        difficult = syllables >= 3 if tools.familiar is None else not tools.familiar(low)
+        return token.isalpha(), low in stopwords, punctuation, any(map(str.isupper, token)), syllables, len(token), low, difficult
 
     get = _remembered(properties)
 
     def row(text: str) -> tuple:
-        tokens = Counter(TOKEN.findall(text))
-        n = syll = poly = upper = punct = stop = content = 0
+        tokens = Counter(tools.tokens(text))
+        n = syll = poly = upper = punct = stop = content = hard = 0
         lengths: Counter = Counter()
         types: Counter = Counter()
         for token, c in tokens.items():
-            word, is_stop, is_punct, is_upper, syllables, length, low = get(token)
+            word, is_stop, is_punct, is_upper, syllables, length, low, difficult = get(token)
             stop += c * is_stop
             punct += c * is_punct
             if word:
                 n += c
                 syll += c * syllables
                 poly += c * (syllables >= 3)
+                hard += c * difficult
                 upper += c * is_upper
                 content += c * (not is_stop)
                 lengths[length] += c
                 types[low] += c
         ordered = sorted(lengths.items())
         middles = _at(ordered, (n - 1) // 2) + _at(ordered, n // 2) if n else 0
-        per = [sum(map(str.isalpha, WORD.findall(p))) for p in SENTENCE_END.split(text) if SENTENCE.search(p)]
+        # Signs are no words, so the plain tokenizer needn't look for them here.
+        per = [sum(map(str.isalpha, WORD.findall(p) if own else tools.tokens(p))) for p in tools.sentences(text)]
         kinds = Counter(types.values())
         size = lambda power: sum(k**power * c for k, c in ordered)
         over = lambda least: sum(c for k, c in ordered if k >= least)
         return (
             tokens.total(), n, max(1, len(per)), syll, poly, size(1), size(2), over(7), over(10), upper, punct, stop, content,
-            len(types), kinds[1], kinds[2], len(per), sum(per), sum(x * x for x in per), middles / 2,
+            len(types), kinds[1], kinds[2], len(per), sum(per), sum(x * x for x in per), hard, middles / 2,
         )
 
     def run(texts: pa.Array) -> pa.Array:

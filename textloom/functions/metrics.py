@@ -167,9 +167,10 @@ def family_b(text: Column, s: Column, n_tokens: Column | None = None) -> dict[st
     return surface(s, text, n_tokens) | readability(s, text) | lexical(s) | characters(text)
 
 
-def word_statistics_a(text: Column) -> Column:
-    """Struct of base counts over regex tokens, for ``family_a``."""
-    return _TOKEN_COUNTS(F.coalesce(text, F.lit("")))
+def word_statistics_a(text: Column, tools: kernels.Tools | None = None) -> Column:
+    """Struct of base counts over tokens, for ``family_a``; regex tokens and heuristics without ``tools``."""
+    counts = kernels.token_counts(frozenset(STOPWORDS), tools) if tools else _TOKEN_COUNTS
+    return counts(F.coalesce(text, F.lit("")))
 
 
 def _deviation(n: Column, total: Column, squares: Column) -> Column:
@@ -181,16 +182,16 @@ def _deviation(n: Column, total: Column, squares: Column) -> Column:
 def family_a(text: Column, s: Column) -> dict[str, Column]:
     """The 37 columns of the tagger-based family, from ``word_statistics_a``.
 
-    Tokens are ``\\w+`` or single other characters, words those of letters only,
-    sentences the pieces between ``.!?``. Part-of-speech ratios are null without
-    a tagger (see ``operators.plugins``). The seven readability columns follow
-    the published formulas over the vowel-run syllable heuristic; ``dale_chall``
-    takes words of three syllables or more for difficult ones.
+    Without ``kernels.Tools``, tokens are ``\\w+`` or single other characters,
+    sentences the pieces between ``.!?``, syllables runs of vowels, and words of
+    three syllables or more difficult. Words are tokens of letters only. The seven
+    readability columns follow the published formulas. Part-of-speech ratios are
+    null without a tagger (see ``operators.plugins``).
     """
     text = F.coalesce(text, F.lit(""))
     n, sents = s["n"], s["sents"]
     per_word = lambda c, times=1: ratio(s[c] * times, n)
-    w_s, y_w, l_w, p_w = ratio(n, sents), per_word("syllables"), per_word("len_sum"), per_word("poly", 100)
+    w_s, y_w, l_w, p_w, d_w = ratio(n, sents), per_word("syllables"), per_word("len_sum"), per_word("poly", 100), per_word("difficult", 100)
     columns = {
         "n_words": n, "n_sents": sents, "avg_word_len": l_w, "median_word_len": s["median"], "std_word_len": _deviation(n, s["len_sum"], s["len_squares"]),
         "avg_sent_len_words": ratio(s["piece_words"], s["pieces"]), "std_sent_len_words": _deviation(s["pieces"], s["piece_words"], s["piece_squares"]),
@@ -206,7 +207,7 @@ def family_a(text: Column, s: Column) -> dict[str, Column]:
         "smog_index": F.when(sents >= 3, 1.043 * F.sqrt(30.0 * s["poly"] / sents) + 3.1291).otherwise(0.0),
         "coleman_liau_index": 5.88 * l_w - 29.6 * ratio(sents, n) - 15.8,
         "automated_readability_index": 4.71 * l_w + 0.5 * w_s - 21.43,
-        "dale_chall": 0.1579 * p_w + 0.0496 * w_s + F.when(p_w > 5, 3.6365).otherwise(0.0),
+        "dale_chall": 0.1579 * d_w + 0.0496 * w_s + F.when(d_w > 5, 3.6365).otherwise(0.0),
         "lix": w_s + per_word("over7", 100),
         "rix": ratio(s["over7"], sents),
     }
@@ -230,8 +231,8 @@ def metrics_batch(df: DataFrame, text_col: str = "chunk_text", label_col: str =
     return with_metrics(df, text_col, keep=columns, tokens_col="tokens" if "tokens" in df.columns else None)
 
 
-def metrics_a(df: DataFrame, text_col: str = "text") -> DataFrame:
+def metrics_a(df: DataFrame, text_col: str = "text", tools: kernels.Tools | None = None) -> DataFrame:
     """``df`` with family A, whose columns replace those of the same name."""
     columns = family_a(F.col("__text"), F.col("__words"))
-    held = replace_columns(df.withColumns({"__text": F.col(text_col), "__words": word_statistics_a(F.col(text_col))}), list(columns))
+    held = replace_columns(df.withColumns({"__text": F.col(text_col), "__words": word_statistics_a(F.col(text_col), tools)}), list(columns))
     return held.select(*(c for c in held.columns if c not in ("__text", "__words")), *(x.alias(k) for k, x in columns.items()))
