@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from textloom.sources.roots import RootsSink
 
 
 def write_parquet(df: DataFrame, path: str, partitions: int | None = None) -> None:
     (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(path)
 
 
-def write_by_label(df: DataFrame, roots: Sequence[str], label: str = "label") -> None:
-    """One folder per label below each root; the label stays a column of the files, too."""
-    for root in roots:
-        df.withColumn("__label", F.col(label)).write.mode("overwrite").partitionBy("__label").parquet(root)
+def write_by_label(df: DataFrame, roots: Sequence[str], label: str = "label", mode: str = "overwrite") -> None:
+    """One folder per label below each root; the label stays a column of the files, too.
+
+    The plan runs once for all roots, and they change together or not at all
+    (see ``roots``).
+    """
+    if roots:
+        df.sparkSession.dataSource.register(RootsSink)
+        df.write.format(RootsSink.name()).mode(mode).option("roots", json.dumps(list(roots))).option("label", label).save()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
