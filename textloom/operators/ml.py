@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -117,6 +119,13 @@ def classify(df: DataFrame, vector: str, model: PipelineModel, names: dict[int,
     return done.select(*df.columns, label.alias("predicted"), p.alias("probability"))
 
 
+def classify_texts(df: DataFrame, text: str, model: PipelineModel, names: Sequence[str] = ("no_pls", "pls")) -> DataFrame:
+    """``df`` with predicted label and probability, by a model of ``training_job``; ``names`` are the labels in alphabetical order."""
+    done = model.transform(df.withColumn("__terms", term_array(F.col(text))))
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
+    return done.select(*df.columns, label.alias("predicted"), F.array_max(vector_to_array("probability")).alias("probability"))
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from textloom.functions import generation as gen
 from textloom.functions.labels import normalize_doc_id, output_name
 from textloom.functions.metrics import metrics_a, metrics_batch
 from textloom.functions.scoring import score_rows
-from textloom.operators import describe, evaluate, pairing, plugins, sampling
+from textloom.operators import calls, describe, evaluate, ml, pairing, plugins, sampling, telemetry
 from textloom.plans import corpus
 from textloom.schemas import numeric_columns, require_columns
 from textloom.sources import tables
@@ -23,13 +24,14 @@ NOT_METRICS = ("doc_id", "unit_id", "label", "source", "split", "s3_key")
 PAIR_TABLES = ("main_train.parquet", "main_test.parquet", "augmented_train.parquet", "augmented_test.parquet", "no_pls_clean.parquet", "pls_clean.parquet")
 
 
-def metrics_job(spark: SparkSession, inputs: Sequence[str], out: str | None = None, family: str = "a", text: str = "text") -> list[str]:
-    """Write ``<stem>_metrics.parquet`` for each input; a projection, so nothing is shuffled."""
+def metrics_job(spark: SparkSession, inputs: Sequence[str], out: str | None = None, family: str = "a", text: str = "text", report: telemetry.Report = telemetry.say) -> list[str]:
+    """Write ``<stem>_metrics.parquet`` for each input, reporting progress; a projection, so nothing is shuffled."""
     written = []
     for path in inputs:
         df = require_columns(spark.read.parquet(path), [text])
         result = metrics_a(df, text) if family == "a" else metrics_batch(df, text)
-        result.write.mode("overwrite").parquet(target := output_name(path, out))
+        with telemetry.Watch(result, path.rstrip("/").rsplit("/", 1)[-1], report=report) as watch:
+            watch.df.write.mode("overwrite").parquet(target := output_name(path, out))
         written.append(target)
     return written
 
@@ -67,6 +69,39 @@ def compare(results: dict[str, DataFrame], metrics: Sequence[str], base: str) ->
     return evaluate.pivot_delta(evaluate.system_means(rows, "model", metrics), "model", metrics, names, base)
 
 
+def generator(name: str, options: Sequence[str]) -> Callable[[], Callable[[str], str]]:
+    """The factory that ``module:factory`` names, bound to its ``name=value`` options."""
+    module, _, attribute = name.partition(":")
+    values = dict(o.split("=", 1) for o in options)
+
+    def make() -> Callable[[str], str]:
+        return getattr(importlib.import_module(module), attribute)(**values)
+
+    return make
+
+
+def infer_job(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Answers of a table, committed batch by batch below ``--out``; or, of one text, printed."""
+    make = generator(args.generator, args.option)
+    if not args.input:
+        if not (args.text or args.file):
+            raise SystemExit("give --text, --file or --input")
+        one = args.text
+        if not one:
+            with open(args.file, encoding="utf-8") as file:
+                one = file.read()
+        rows = spark.createDataFrame([(one,)], "text string").select(gen.prompt(F.col("text")).alias("prompt"))
+        asked = plugins.generate(rows, "prompt", make, args.tries).select(gen.extract_answer(F.col("generated")).alias("answer"), "error").first()
+        print(asked.answer if asked.error is None else asked.error)
+        return
+    df = require_columns(spark.read.parquet(args.input), [args.key_col, args.text_col])
+    requests = df.select(F.col(args.key_col).alias("key"), gen.prompt(F.coalesce(F.col(args.text_col), F.lit(""))).alias("prompt"))
+    done = calls.answer(requests, f"{args.out.rstrip('/')}/calls", make, limits=calls.Limits(tries=args.tries, per_second=args.per_second), retry_dead=args.retry_dead)
+    shown = done.select("key", gen.extract_answer(F.col("answer")).alias("answer"), "error", "tries")
+    with telemetry.Watch(shown, "infer") as watch:
+        watch.df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/answers")
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="textloom")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -86,6 +121,24 @@ def main(argv: Sequence[str] | None = None) -> None:
     score = jobs.add_parser("score", help="score a CSV of prediction and reference")
     score.add_argument("--input", required=True)
     score.add_argument("--out", required=True)
+    infer = jobs.add_parser("infer", help="generate simplified texts with a plug-in, resumably")
+    infer.add_argument("--generator", required=True, help="module:factory; the factory takes the options and returns a callable over prompts")
+    infer.add_argument("--option", nargs="*", default=[], help="name=value pairs for the factory, such as temperature=0.7")
+    infer.add_argument("--text")
+    infer.add_argument("--file")
+    infer.add_argument("--input", help="a Parquet table")
+    infer.add_argument("--out", help="folder of the answers of a table")
+    infer.add_argument("--key-col", default="doc_id")
+    infer.add_argument("--text-col", default="text")
+    infer.add_argument("--tries", type=int, default=3)
+    infer.add_argument("--per-second", type=float)
+    infer.add_argument("--retry-dead", action="store_true")
+    label = jobs.add_parser("classify", help="label a table of embeddings, or of texts, with a saved model")
+    label.add_argument("--input", required=True)
+    label.add_argument("--model", required=True)
+    label.add_argument("--out", required=True)
+    label.add_argument("--vector-col", help="embeddings; without it the model is one of the training job, over texts")
+    label.add_argument("--text-col", default="chunk_text")
     args = parser.parse_args(argv)
     spark = session.build()
     if args.job == "corpus":
@@ -94,6 +147,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         metrics_job(spark, args.input, args.output_dir, args.family, args.text_col)
     elif args.job == "distributions":
         distributions(spark.read.parquet(args.input), args.metrics, args.bins).write.mode("overwrite").parquet(args.out)
+    elif args.job == "infer":
+        infer_job(spark, args)
+    elif args.job == "classify":
+        df, model = spark.read.parquet(args.input), ml.load(args.model)
+        done = ml.classify(df, args.vector_col, model) if args.vector_col else ml.classify_texts(df, args.text_col, model)
+        with telemetry.Watch(done, "classify") as watch:
+            watch.df.write.mode("overwrite").parquet(args.out)
     else:
         score_rows(tables.read_csv(spark, args.input, None)).write.mode("overwrite").parquet(args.out)
 
