@@ -71,3 +71,41 @@ def test_texts_that_repeat_a_token_are_compared_in_short_time():
     began = time.perf_counter()
     assert not found(["a"] * 2000, (["a"] * 6 + ["b"] * 6) * 150)
     assert time.perf_counter() - began < 5
+
+
+def test_a_phrase_that_all_share_is_passed_over_soon():
+    """Items and rows that have seven words in common and nothing else: no overlap, in time that doesn't follow the pairs."""
+    phrase = [f"p{i}" for i in range(7)]
+    items = [" ".join([f"i{k}x{j}" for j in range(8)] + phrase + [f"i{k}y{j}" for j in range(8)]) for k in range(4000)]
+    docs = [" ".join([f"d{k}x{j}" for j in range(60)] + phrase + [f"d{k}y{j}" for j in range(60)]) for k in range(400)]
+    docs[7] += " " + items[11]
+    index = decontaminate.Index(items, decontaminate.MIN_TOKENS)
+    hashes, bounds = bytewords.word_hashes(pa.array(docs))
+    began = time.process_time()
+    hits = list(index.overlaps(hashes, bounds))
+    assert time.process_time() - began < 10
+    assert [(h[0], h[1], h[5]) for h in hits] == [(7, 11, 23)]
+
+
+def test_portions_give_the_same_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(6)]
+    items = [" ".join(rng.choice(words, rng.integers(1, 25))) for _ in range(30)]
+    docs = [" ".join([*rng.choice(words, rng.integers(0, 30)), *items[rng.integers(30)].split(), *rng.choice(words, rng.integers(0, 30))]) for _ in range(12)]
+    hashes, bounds = bytewords.word_hashes(pa.array(docs))
+    index = decontaminate.Index(items, decontaminate.MIN_TOKENS)
+    whole = sorted(index.overlaps(hashes, bounds))
+    for doc, row in list(enumerate(docs))[:3]:
+        for k, item in list(enumerate(items))[:6]:
+            assert sorted(h[2:] for h in whole if h[:2] == (doc, k)) == brute_overlap(row, item, decontaminate.MIN_TOKENS)
+    for piece, hits in ((7, 11), (1, 1), (100, 1 << 20), (1 << 20, 50)):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        assert sorted(index.overlaps(hashes, bounds)) == whole
+
+
+def test_short_items_needn_t_decide(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, "one two three four five six seven eight nine"), (3, "clean")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "the"), (2, "two three four five six seven eight nine")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()} == {(1, 1), (2, 2)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench, decisive=8).collect()] == [1, 3]

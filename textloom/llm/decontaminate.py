@@ -13,6 +13,11 @@ the front, and on each the longest runs among tokens of the document that no
 earlier run of the item covers. So a passage that a document repeats is reported
 each time, and a text that repeats itself isn't compared with all its shifts.
 
+A phrase that many items and documents share makes an alignment for each pair of
+them. Their equal tokens are counted for many pairs at once; an alignment with
+fewer than the shortest run needs has none and is passed over, so only pairs
+that may overlap are looked at one by one.
+
 The benchmark is worked off in blocks of bounded size, each broadcast and
 joined with the documents in the scan; documents are never shuffled. More
 benchmark means more blocks, not larger ones (one item is never split). Tokens
@@ -44,8 +49,8 @@ MISMATCH = 4
 MIN_TOKENS = 13
 #: UTF-8 bytes of benchmark text in one block.
 BLOCK_BYTES = 4 << 20
-#: Alignments that are counted in one go.
-PIECE = 1 << 20
+#: Places and tokens that are looked at in one go, and hits of a portion of rows and items.
+PIECE, HITS = 1 << 20, 1 << 20
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -93,20 +98,25 @@ class Seeds:
         place = np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]).astype(np.int64)
         order = np.lexsort((place, item, keys))
         keys, item, self.place = keys[order], item[order], place[order]
-        # A group holds the places of one seed in one item; a key's groups lie together.
+        # A group holds the places of one seed in one item; a key's groups lie together, by item.
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])
         self.begin = np.append(np.flatnonzero(new), len(keys))
         self.item = item[self.begin[:-1]]
-        unique, first = np.unique(keys[self.begin[:-1]], return_index=True)
-        self.lookup, self.first = Lookup(unique), np.append(first, len(self.item))
+        unique, at = np.unique(keys[self.begin[:-1]], return_inverse=True)
+        self.lookup, self.items = Lookup(unique), len(items)
+        self.ordered = at.ravel() * self.items + self.item
 
-    def hits(self, hashes: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, group) of every seed of the rows that an item has."""
+    def found(self, hashes: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, key) of every seed of the rows that an item has."""
         found, at = self.lookup.find(seeds(hashes, self.mask))
         inside = row_of[found] == row_of[found + len(self.mask) - 1] if len(found) else np.zeros(0, bool)
-        found, at = found[inside], at[inside]
-        return np.repeat(found, times := self.first[at + 1] - self.first[at]), _ranges(self.first[at], times)
+        return found[inside], at[inside]
+
+    def groups(self, keys: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first group and the number of groups of each key, of the items from ``low`` to ``high``."""
+        first = np.searchsorted(self.ordered, keys * self.items + low)
+        return first, np.searchsorted(self.ordered, keys * self.items + high) - first
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -127,37 +137,111 @@ class Index:
         long = [i for i, t in enumerate(self.items) if len(t) >= shortest]
         self.seeds = [Seeds(self.items, numbers, mask) for numbers, mask in [*whole, *((long, m) for m in MASKS)]]
 
+        self.flat = np.concatenate([np.empty(0, np.uint64), *self.items])
+        self.starts = np.cumsum([0, *map(len, self.items)])
+
     def overlaps(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(row, item, start, end, item_start, equal): the runs of each item in each row."""
+        """(row, item, start, end, item_start, equal): the runs of each item in each row.
+
+        Rows and items are taken in portions of some HITS hits (at least one
+        item in one row), so a phrase that all items and rows share takes time,
+        not memory.
+        """
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        parts = []
-        for own in self.seeds:
-            pos, group = own.hits(hashes, row_of)
-            parts.append((row_of[pos], own.item[group], pos, own.begin[group], own.begin[group + 1], own.place))
-        base = np.cumsum([0, *(len(p[5]) for p in parts)])
-        row, item, pos, first, last = (np.concatenate([p[k] + (base[i] if k > 2 else 0) for i, p in enumerate(parts)]) for k in range(5))
-        places = np.concatenate([p[5] for p in parts])
-        order = np.lexsort((pos, item, row))
-        row, item, pos, first, last = (x[order] for x in (row, item, pos, first, last))
-        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
-        for a, b in zip(new, [*new[1:], len(row)] if len(row) else [], strict=True):
-            r, i = int(row[a]), int(item[a])
-            doc, tokens = hashes[bounds[r] : bounds[r + 1]], self.items[i]
-            counts = np.zeros(len(doc) + len(tokens), np.int64)  # hits by shift, which is len(tokens) less than the index
-            cuts = np.searchsorted(np.cumsum(last[a:b] - first[a:b]), np.arange(PIECE, int((last[a:b] - first[a:b]).sum()), PIECE), "right")
-            for part in np.split(np.arange(a, b), np.unique(cuts)):
-                n = last[part] - first[part]
-                shift = np.repeat(pos[part] - bounds[r] + len(tokens), n) - places[_ranges(first[part], n)]
-                counts += np.bincount(shift, minlength=len(counts))
-            for start, end, shift, same in runs(doc, tokens, counts, min(self.min_tokens, len(tokens))):
-                yield r, i, start, end, start - shift, same
-
-
-def runs(doc: np.ndarray, item: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, shift, equal tokens): the runs on the alignments whose ``counts`` (by shift + len(item)) aren't zero."""
+        found = [own.found(hashes, row_of) for own in self.seeds]
+        sums = np.zeros(len(bounds), np.int64)
+        for own, (pos, keys) in zip(self.seeds, found, strict=True):
+            sums[1:] += np.bincount(row_of[pos], own.groups(keys, 0, own.items)[1], len(bounds) - 1).astype(np.int64)
+        sums = np.cumsum(sums)
+        row = 0
+        while row < len(bounds) - 1:
+            end = max(row + 1, int(np.searchsorted(sums, sums[row] + HITS, "right")) - 1)
+            if sums[end] > sums[row]:
+                parts = []
+                for pos, keys in found:
+                    inside = slice(*np.searchsorted(pos, (bounds[row], bounds[end])))
+                    parts.append((pos[inside], keys[inside]))
+                yield from self._portion(hashes, bounds, row_of, parts, 0, len(self.items))
+            row = end
+
+    def _portion(self, hashes: np.ndarray, bounds: np.ndarray, row_of: np.ndarray, parts: list, low: int, high: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """The runs of the items from ``low`` to ``high`` in some rows, whose (position, key) hits are given by seeds."""
+        sides = [own.groups(keys, low, high) for own, (_, keys) in zip(self.seeds, parts, strict=True)]
+        if sum(int(n.sum()) for _, n in sides) > HITS and high - low > 1:
+            middle = (low + high) // 2
+            yield from self._portion(hashes, bounds, row_of, parts, low, middle)
+            yield from self._portion(hashes, bounds, row_of, parts, middle, high)
+            return
+        base = np.cumsum([0, *(len(own.place) for own in self.seeds)])
+        columns = []
+        for own, offset, (pos, _), (first, n) in zip(self.seeds, base, parts, sides, strict=False):
+            group, at = _ranges(first, n), np.repeat(pos, n)
+            columns.append((row_of[at] * len(self.items) + own.item[group], at, own.begin[group] + offset, own.begin[group + 1] - own.begin[group]))
+        pair, pos, first, n = (np.concatenate(c) for c in zip(*columns, strict=True))
+        order = np.argsort(pair, kind="stable")
+        pair, pos, first, n = pair[order], pos[order], first[order], n[order]
+        places = np.concatenate([own.place for own in self.seeds])
+        new = np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair))
+        size = np.add.reduceat(n, new[:-1]) if len(pair) else n
+        at = 0
+        while at < len(size):
+            # Pairs of PIECE places together, or one with more.
+            end = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at:]), PIECE, "right")))
+            one = slice(new[at], new[end])
+            yield from self._pairs(hashes, bounds, pair[new[at:end]], np.diff(new[at : end + 1]), pos[one], first[one], n[one], places)
+            at = end
+
+    def _pairs(self, hashes, bounds, pair, sizes, pos, first, n, places) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """The runs of (row, item) pairs, of which each has the next ``sizes`` of the hits."""
+        rows, items = np.divmod(pair, len(self.items))
+        doc, doc_size = bounds[rows], bounds[rows + 1] - bounds[rows]
+        start, item_size = self.starts[items], np.diff(self.starts)[items]
+        # Alignments, counted by pair and shift; a shift is item_size less than its place in the pair's counts.
+        offset = np.cumsum(np.append(0, doc_size + item_size))
+        of = np.repeat(np.arange(len(pair)), sizes)
+        total = int(n.sum())
+        dense = np.zeros(offset[-1] if offset[-1] <= max(PIECE, total) else 0, np.int64)
+        slots, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PIECE, total, PIECE), "right")
+        for part in np.split(np.arange(len(n)), np.unique(cuts)):
+            here = offset[of[part]] + pos[part] - doc[of[part]] + item_size[of[part]]
+            here = np.repeat(here, n[part]) - places[_ranges(first[part], n[part])]
+            if len(dense):
+                dense += np.bincount(here, minlength=len(dense))
+            else:
+                new, more = np.unique(here, return_counts=True)
+                slots, inverse = np.unique(np.concatenate([slots, new]), return_inverse=True)
+                hits = np.bincount(inverse.ravel(), np.concatenate([hits, more])).astype(np.int64)
+        if len(dense):
+            slots = np.flatnonzero(dense)
+            hits = dense[slots]
+        of = np.searchsorted(offset, slots, "right") - 1
+        shift = slots - offset[of] - item_size[of]
+        # An alignment with too few equal tokens for the shortest run has none.
+        low, high = np.maximum(0, shift), np.minimum(doc_size[of], shift + item_size[of])
+        least = np.minimum(self.min_tokens, item_size)
+        enough = np.zeros(len(of), bool)
+        ends = np.cumsum(high - low)
+        for part in np.split(np.arange(len(of)), np.unique(np.searchsorted(ends, np.arange(PIECE, int(ends[-1]), PIECE), "right"))):
+            if len(part):
+                length = (high - low)[part]
+                same = hashes[_ranges((doc[of] + low)[part], length)] == self.flat[_ranges((start[of] + low - shift)[part], length)]
+                sums = np.concatenate([[0], np.cumsum(same)])
+                stop = np.cumsum(length)
+                enough[part] = (MISMATCH + 1) * (sums[stop] - sums[stop - length]) >= MISMATCH * least[of[part]]
+        of, shift, hits = of[enough], shift[enough], hits[enough]
+        edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            k = int(of[a])
+            text, tokens = hashes[doc[k] : doc[k] + doc_size[k]], self.items[int(items[k])]
+            for begin, end, by, same in runs(text, tokens, shift[a:b], hits[a:b], int(least[k])):
+                yield int(rows[k]), int(items[k]), begin, end, begin - by, same
+
+
+def runs(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray, hits: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, shift, equal tokens): the runs on the alignments of rising ``shifts``, those of most ``hits`` first."""
     free, left = np.ones(len(doc), bool), len(doc)
-    shifts = np.flatnonzero(counts)
-    for shift in (shifts[np.argsort(-counts[shifts], kind="stable")] - len(item)).tolist():
+    for shift in shifts[np.argsort(-hits, kind="stable")].tolist():
         lo, hi = max(0, shift), min(len(doc), shift + len(item))
         if left < least:
             return
@@ -230,8 +314,8 @@ def overlaps(
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, all columns as they are."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS, decisive: int = 1) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item by a run of ``decisive`` equal tokens, all columns as they are."""
     spark = docs.sparkSession
     small_batches(spark)
     place = docs.columns.index(text_col)
@@ -241,7 +325,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[hit[0] for hit in shared.value.overlaps(*word_hashes(batch.column(place)))]] = False
+                keep[[hit[0] for hit in shared.value.overlaps(*word_hashes(batch.column(place))) if hit[5] >= decisive]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
