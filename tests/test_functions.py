@@ -1,6 +1,7 @@
 """Column functions against restatements in plain Python."""
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -144,3 +145,16 @@ def test_labels(spark):
     assert labels.output_name("/a/b/c.parquet") == "/a/b/c_metrics.parquet" and labels.output_name("c.parquet", "o") == "o/c_metrics.parquet"
     ids = spark.createDataFrame([("12-abstract_x",), ("7-pls",), (None,)], "i string").select(labels.normalize_doc_id(F.col("i")).alias("x")).collect()
     assert [x.x for x in ids] == ["12", "7", None]
+
+
+def test_pair_scores_equal_the_column_functions(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("a b c D é".split()) for _ in range(rng.randrange(12))) for _ in range(60)] + ["", None, " a b c ", "x\x1cy x"]
+    rows = [(str(i), rng.choice(texts), rng.choice(texts)) for i in range(200)]
+    df = spark.createDataFrame(rows, "document_id string, prediction string, reference string")
+    arrays = df.select("document_id", scoring.score_tokens(F.col("prediction")).alias("p"), scoring.score_tokens(F.col("reference")).alias("r"))
+    p, r = F.col("p"), F.col("r")
+    want = {x.document_id: x for x in arrays.select("document_id", scoring.rouge_1(p, r).alias("rouge"), scoring.token_f1(p, r).alias("token"), scoring.bleu(p, r).alias("bleu")).collect()}
+    for x in scoring.score_rows(df, 9).collect():
+        w = want[x.document_id]
+        assert [x.rouge_precision, x.rouge_recall, x.rouge_f1, x.bleu, x.precision, x.recall, x.f1] == pytest.approx([*w.rouge, w.bleu, *w.token], abs=1e-8)

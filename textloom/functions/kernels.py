@@ -241,3 +241,35 @@ def term_counts(max_n: int) -> Callable[[Column], Column]:
 
     item = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     return F.arrow_udf(run, T.ArrayType(item))
+
+
+#: Runs of characters that are no white space, as Java's Unicode classes have it.
+SOLID = re.compile(r"[^\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def overlap_counts(max_n: int) -> Callable[[Column, Column], Column]:
+    """Counts over the white-space words of two texts, as a struct.
+
+    Words of either (p, r), types in both, and for n up to ``max_n`` the n-grams
+    of the first text (all_n) and how many of them the second has, each as often
+    as it occurs there (hit_n).
+    """
+    fields = ("p", "r", "types", *(f"{k}_{n}" for n in range(1, max_n + 1) for k in ("all", "hit")))
+
+    def row(a: str, b: str) -> tuple[int, ...]:
+        p, r = SOLID.findall(a), SOLID.findall(b)
+        out = [len(p), len(r), 0]
+        for n in range(1, max_n + 1):
+            x, y = (Counter(zip(*(words[i:] for i in range(n)), strict=False)) for words in (p, r))
+            hits = [min(c, y[g]) for g, c in x.items() if g in y]
+            if n == 1:
+                out[2] = len(hits)
+            out += [max(0, len(p) - n + 1), sum(hits)]
+        return tuple(out)
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = [row(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(fields))
+
+    return F.arrow_udf(run, T.StructType([T.StructField(f, T.LongType()) for f in fields]))

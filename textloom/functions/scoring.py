@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import kernels
 from textloom.functions.let import let, ratio
 from textloom.functions.metrics import run_lengths
 from textloom.functions.tokens import ngrams, white_words
 from textloom.schemas import require_columns
 
+_OVERLAPS = kernels.overlap_counts(4)
+
 
 def score_tokens(text: Column) -> Column:
     return white_words(F.lower(F.coalesce(text, F.lit(""))))
@@ -83,17 +86,20 @@ def score_rows(df: DataFrame, digits: int = 4) -> DataFrame:
     require_columns(df, ("prediction", "reference"))
     if "document_id" not in df.columns:
         df = numbered(df.select("prediction", "reference"), "__row").withColumn("document_id", F.concat(F.lit("row_"), F.col("__row").cast("string")))
-    doc = F.col("document_id").cast("string")
-    pair = F.struct(score_tokens(F.col("prediction")).alias("p"), score_tokens(F.col("reference")).alias("r"))
-    scored = let(pair, lambda t: F.struct(rouge_1(t["p"], t["r"]).alias("rouge"), token_f1(t["p"], t["r"]).alias("token"), bleu(t["p"], t["r"]).alias("bleu")))
-    s = df.select(doc.alias("document_id"), scored.alias("s"))
-    r = lambda c: F.round(c, digits)
-    return s.select(
-        "document_id",
-        *(r(F.col(f"s.rouge.{k}")).alias(f"rouge_{k}") for k in ("precision", "recall", "f1")),
-        r(F.col("s.bleu")).alias("bleu"),
-        *(r(F.col(f"s.token.{k}")).alias(k) for k in ("precision", "recall", "f1")),
-    )
+    low = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("prediction", "reference")]
+    held = df.select(F.col("document_id").cast("string").alias("document_id"), _OVERLAPS(*low).alias("c"))
+    return held.select("document_id", *(F.round(x, digits).alias(k) for k, x in pair_scores(F.col("c")).items()))
+
+
+def pair_scores(c: Column) -> dict[str, Column]:
+    """ROUGE-1, BLEU-4 and token scores from the counts of ``kernels.overlap_counts(4)``, as ``rouge_1``, ``bleu`` and ``token_f1`` have them."""
+    sides = {"precision": "p", "recall": "r"}
+    rouge, token = ({k: ratio(c[hits], c[n]) for k, n in sides.items()} for hits in ("hit_1", "types"))
+    grams = sum((F.log(ratio(c[f"hit_{n}"], c[f"all_{n}"]) + 1e-9) / 4 for n in range(1, 5)), F.lit(0.0))
+    brevity = F.when(c["p"] > c["r"], 1.0).otherwise(F.exp(1 - ratio(c["r"], F.greatest(c["p"], F.lit(1)))))
+    score = F.when((c["p"] > 0) & (c["r"] > 0), brevity * F.exp(grams)).otherwise(0.0)
+    first = {f"rouge_{k}": x for k, x in (rouge | {"f1": f1(rouge["precision"], rouge["recall"])}).items()}
+    return first | {"bleu": score} | token | {"f1": f1(token["precision"], token["recall"])}
 
 
 def light_stats(text: Column) -> Column:
