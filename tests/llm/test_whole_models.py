@@ -1,11 +1,14 @@
-"""The language models hold every word and bigram."""
+"""The language models hold every word and bigram; language scores equal sums over dictionaries of subwords."""
+
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_scans import brute_scores
 
-from textloom.llm import lm_scoring
+from textloom.llm import langid, lm_scoring, queries
 
 
 def held_to_brute_force(spark, rows, targets):
@@ -52,3 +55,55 @@ def test_counts_are_packed_whole():
     for size in (1, 256, 257, 65536, 70000, 1 << 25):
         at = np.array([0, size - 1, size // 2])
         assert (lm_scoring._unplaned(lm_scoring._planes(at, size), 3) == at).all()
+
+
+def test_registered_query_equals_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").collect()}
+    want = brute_scores(rows, good)
+    got = {r.doc_id: r for r in queries.op3_lm_score(spark, small).collect()}
+    assert set(got) == set(want) and len(got) == 200
+    for i, (n, t, b) in want.items():
+        assert (got[i].tokens, got[i].target) == (n, i in good)
+        assert got[i].score == (pytest.approx(t - b) if n else None)
+
+
+def plain_bucket(part):
+    """The bucket of a subword's bytes."""
+    h, mask = 0, 0xFFFFFFFF
+    for byte in part:
+        h = (h << 8 | byte) & mask
+    h = (h ^ len(part)) * 0x9E3779B1 & mask
+    h = (h ^ h >> 15) * 0x85EBCA77 & mask
+    return h >> 17
+
+
+def plain_subwords(text):
+    """Counts of the 2 to 4 byte subwords of a text of letters, digits and ASCII signs: letters lower-cased, all else a mark."""
+    data = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    out = Counter()
+    for n in langid.WIDTHS:
+        for i in range(len(data) - n + 1):
+            part = data[i : i + n]
+            middle = part[1:-1] if n > 2 else part.strip(b" ")[:1]
+            if middle and 32 not in middle:
+                out[part] += 1
+    return out
+
+
+def test_language_scores_equal_dictionaries_of_subwords(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs, langid.learnable(F.col("id")))
+    texts = [r.text for r in docs.collect() if not set(r.text) & set("\u00a0¡«·»¿“”‘’–—…•")][:120] + ["", "a", "ab1cd_é", "1 2", "Hello ", "É"]
+    p, typical = model.scores(pa.array(texts))
+    for k, text in enumerate(texts):
+        counts = plain_subwords(text)
+        n = max(1, sum(counts.values()))
+        logit = sum((c * model.logits[plain_bucket(x)] for x, c in counts.items()), np.zeros(len(model.labels))) / n
+        kind = sum((c * model.typical[plain_bucket(x)] for x, c in counts.items()), np.zeros(len(model.labels))) / n
+        z = np.exp((logit + model.bias) / model.temperature - ((logit + model.bias) / model.temperature).max())
+        assert p[k] == pytest.approx(z / z.sum(), abs=1e-4), text[:60]
+        assert typical[k] == pytest.approx(kind + langid.DOUBT * langid.spread(model.typical) / np.sqrt(n), abs=1e-4), text[:60]
+    names, score, _ = model.judge(pa.array(texts))
+    assert names[-6:] == [langid.UND, names[-5], names[-4], langid.UND, names[-2], names[-1]] and langid.UND not in names[:-6]
+    assert all(s == pytest.approx(max(q)) for s, q, name in zip(score, p, names, strict=True) if name != langid.UND)

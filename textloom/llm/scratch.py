@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset (tests on a local master), a temporary
-    folder is set for the session; on a cluster an unset folder is an error,
-    since a machine-local one would not be shared.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
-        path = sc.getCheckpointDir()
-    # With its scheme, so that Python on the executors resolves it as Spark does.
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
+from textloom.session import delete, shared_dir
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -61,9 +43,7 @@ def checked_broadcast(df: DataFrame, rows: int = 500_000, size: int = 64 << 20)
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables that this session made in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _own_dir(spark))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
