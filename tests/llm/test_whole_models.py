@@ -107,3 +107,19 @@ def test_language_scores_equal_dictionaries_of_subwords(spark, small):
     names, score, _ = model.judge(pa.array(texts))
     assert names[-6:] == [langid.UND, names[-5], names[-4], langid.UND, names[-2], names[-1]] and langid.UND not in names[:-6]
     assert all(s == pytest.approx(max(q)) for s, q, name in zip(score, p, names, strict=True) if name != langid.UND)
+
+
+@pytest.mark.parametrize("scale_bytes", [1, 20_000])
+def test_larger_chunks_and_shares_give_the_same_scores(spark, small, monkeypatch, scale_bytes):
+    monkeypatch.setattr(lm_scoring, "SCALE_BYTES", scale_bytes)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(lm_scoring, "SHARE_TOKENS", 300)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["the"] * 9 + [f"w{x}" for x in rng.integers(0, 900, 60)])) for i in range(120)]
+    held_to_brute_force(spark, rows, list(range(0, 120, 5)))
+
+
+def test_exchanged_rows_grow_with_the_corpus():
+    pairs = lambda size: (size / (lm_scoring.CHUNK_BYTES * lm_scoring.scale(size))) * (size / (6 * lm_scoring.SHARE_TOKENS * lm_scoring.scale(size)))
+    assert lm_scoring.scale(30 << 20) == lm_scoring.scale(0) == 1
+    assert pairs(100 << 40) / pairs(1 << 40) == pytest.approx(100) and lm_scoring.scale(100 << 40) * lm_scoring.CHUNK_BYTES < 450e6

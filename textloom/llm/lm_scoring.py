@@ -12,11 +12,13 @@ document is scored by what is left of its side's counts without it (leave one
 out); V stays. Its score is its target loss less its background loss, per token
 in nats: low scores are like the target.
 
-Texts are read once and never shuffled. Documents are packed into chunks of
+Texts are scored from one reading and never shuffled. Documents are packed into chunks of
 about 4 MB, each a row of distinct word hashes and word numbers. A chunk sends
 its distinct words and bigrams and its own counts of them once, in arrays by key
 share; a share adds them up and sends the sums back in the same order. A key
-that is in every document costs one entry a chunk.
+that is in every document costs one entry a chunk. Chunks and shares both grow
+with the root of the corpus, so the rows that they exchange, a row for each pair
+of them, grow in proportion to it and keep carrying many keys.
 
 Defined results: null and empty texts have no tokens, and null losses and score.
 Without target (or background) rows that model is uniform over the vocabulary.
@@ -43,10 +45,11 @@ from textloom.llm.bytewords import mix, word_hashes
 from textloom.llm.scratch import checked_broadcast, materialize, small_batches
 
 MU = 50.0
-#: Bytes of text, and rows, after which a chunk of documents ends.
+#: Bytes of text, and rows, after which a chunk of documents ends, and tokens of the corpus whose keys one share gathers, about; see ``scale``.
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 1 << 17
-#: Tokens of the corpus whose keys one share gathers, about.
 SHARE_TOKENS = 1_000_000
+#: Bytes of text up to which chunks and shares are as small as that.
+SCALE_BYTES = 10 << 30
 _WORD, _START = (mix(np.array([k], np.uint64))[0] for k in (12, 13))
 _PREVIOUS = mix(np.array([14], np.uint64))[0] | np.uint64(1)
 #: Counts below this take a byte, others nine.
@@ -210,8 +213,14 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 CHUNK_SCHEMA = "chunk bigint, ids array<bigint>, target array<boolean>, sizes array<int>, words binary, at binary, tokens array<bigint>, starts array<bigint>"
 
 
-def chunks(sided: DataFrame) -> DataFrame:
+def scale(size: int) -> float:
+    """How many times larger than the least chunks and shares are, for a corpus of so many bytes."""
+    return max(1.0, (size / SCALE_BYTES) ** 0.5)
+
+
+def chunks(sided: DataFrame, times: float = 1.0) -> DataFrame:
     """Rows of (doc_id, text, target) packed into chunks, with their tokens and rows with tokens by side."""
+    most, most_rows = int(CHUNK_BYTES * times), int(CHUNK_ROWS * times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -235,7 +244,7 @@ def chunks(sided: DataFrame) -> DataFrame:
             lengths = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()))
             at = 0
             while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(lengths, lengths[at] + CHUNK_BYTES - held, "right")) - 1)
+                end = max(at + 1, int(np.searchsorted(lengths, lengths[at] + most - held, "right")) - 1)
                 part = batch.slice(at, end - at)
                 found, bounds = word_hashes(part.column(1))
                 ids.append(part.column(0))
@@ -243,7 +252,7 @@ def chunks(sided: DataFrame) -> DataFrame:
                 sizes.append(np.diff(bounds))
                 hashes.append(found)
                 held, rows, at = held + lengths[end] - lengths[at], rows + end - at, end
-                if held >= CHUNK_BYTES or rows >= CHUNK_ROWS or at < batch.num_rows:
+                if held >= most or rows >= most_rows or at < batch.num_rows:
                     yield emit(k)
                     held, rows, k = 0, 0, k + 1
         if rows:
@@ -323,16 +332,18 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
 
     ``target_ids`` has the ids of the target documents in a column ``doc_id``;
     all other rows are the background. Ids too many to broadcast are joined by a
-    shuffle, the only one of texts, and done once.
+    shuffle, the only one of texts, and done once. A first scan adds up the
+    texts' sizes, by which chunks and shares are sized.
     """
     spark = docs.sparkSession
     small_batches(spark)
     ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("listed")).where("doc_id is not null").distinct()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sided = rows.join(checked_broadcast(materialize(ids, "target")), "doc_id", "left").select("doc_id", "text", F.coalesce("listed", F.lit(False)).alias("target"))
-    chunked = materialize(chunks(sided), "chunks")
+    times = scale(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    chunked = materialize(chunks(sided, times), "chunks")
     sums = chunked.agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("tokens", "starts") for k in (0, 1))).first()
-    shares = max(spark.sparkContext.defaultParallelism, -(-(sums[0] + sums[1]) // SHARE_TOKENS))
+    shares = max(spark.sparkContext.defaultParallelism, -(-(sums[0] + sums[1]) // int(SHARE_TOKENS * times)))
     answered = materialize(_answered(_asked(chunked, shares)), "counts")
     vocabulary = answered.agg(F.coalesce(F.sum("vocabulary"), F.lit(0))).first()[0]
     corpus = Corpus(tuple(sums[:2]), tuple(sums[2:]), vocabulary)
