@@ -18,8 +18,9 @@ def test_a_jobs_rows_and_rate(spark, tmp_path):
         time.sleep(0.02)
         return x
 
-    with telemetry.Watch(spark.range(120, numPartitions=24).select(slow("id").alias("id")), "slow", every=0.1, report=told.append) as watch:
-        watch.df.write.parquet(str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    with telemetry.Watch(spark, "slow", every=0.1, rows=telemetry.rows_of(spark, out), report=told.append) as watch:
+        spark.range(120, numPartitions=24).select(slow("id").alias("id")).write.parquet(out)
     last = watch.progress
     assert told == watch.reports and last.done and last.rows == 120 and last.remaining == 0
     assert last.rate == pytest.approx(120 / last.seconds)
@@ -32,8 +33,8 @@ def test_a_jobs_rows_and_rate(spark, tmp_path):
 
 
 def test_a_failing_job_has_no_last_report(spark):
-    with pytest.raises(Exception, match="zero"), telemetry.Watch(spark.range(3).select(F.expr("1 div (id - id)")), "bad", report=lambda p: None) as watch:
-        watch.df.collect()
+    with pytest.raises(Exception, match="zero"), telemetry.Watch(spark, "bad", report=lambda p: None) as watch:
+        spark.range(3).select(F.expr("1 div (id - id)")).collect()
     assert not watch.reports or not watch.progress.done
 
 

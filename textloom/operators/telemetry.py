@@ -1,7 +1,9 @@
 """Progress of jobs, batches and streams: rows, rate and remaining time.
 
 A job is watched from a thread that asks Spark how many of its tasks are done;
-its rows are counted in the plan itself (``observe``), so nothing runs twice. A
+its rows are counted at the end by what the caller names, such as the footers of
+the files it has written. (An ``Observation`` in the plan would count them, too,
+but a session that has held one can't serialise MLlib's logistic models.) A
 stream is watched by a listener, batch by batch.
 """
 
@@ -13,8 +15,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
 
@@ -54,23 +55,26 @@ def say(progress: Progress) -> None:
     print(progress, flush=True)
 
 
+def rows_of(spark: SparkSession, path: str) -> Callable[[], int]:
+    """The rows of a Parquet table, which are counted in its footers."""
+    return lambda: spark.read.parquet(path).count()
+
+
 def estimate(seconds: float, share: float) -> float | None:
     """The time that is left, if the rest goes as fast."""
     return seconds * (1 - share) / share if share > 0 else None
 
 
 class Watch:
-    """A job under watch: ``with Watch(df, "metrics") as w: w.df.write...`` reports every ``every`` seconds and at the end.
+    """A job under watch: ``with Watch(spark, "metrics", rows=...): df.write...`` reports every ``every`` seconds and at the end.
 
-    ``reports`` keeps all reports, ``progress`` the last one. The jobs of the
-    thread that enters are counted, with the tasks of the stages known so far.
+    ``rows`` is called once, after the job. ``reports`` keeps all reports,
+    ``progress`` the last one. The jobs of the thread that enters are counted,
+    with the tasks of the stages known so far.
     """
 
-    def __init__(self, df: DataFrame, name: str, every: float = 5.0, report: Report = say) -> None:
-        self.name, self.every, self.report = name, every, report
-        self.spark: SparkSession = df.sparkSession
-        self.observation = Observation(f"{name}-{uuid.uuid4().hex}")
-        self.df = df.observe(self.observation, F.count(F.lit(1)).alias("rows"))
+    def __init__(self, spark: SparkSession, name: str, every: float = 5.0, rows: Callable[[], int] | None = None, report: Report = say) -> None:
+        self.spark, self.name, self.every, self.rows, self.report = spark, name, every, rows, report
         self.group = f"textloom-{uuid.uuid4().hex}"
         self.reports: list[Progress] = []
         self._over = threading.Event()
@@ -108,9 +112,9 @@ class Watch:
         self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         self.spark.sparkContext.setLocalProperty("spark.job.description", None)
         if kind is None:
-            # The count arrives with the listener's events, just after the job.
-            rows, seconds = self.observation.get["rows"], time.monotonic() - self.began
-            self._tell(Progress(self.name, seconds, 1.0, rows, rows / seconds if seconds else None, 0.0, done=True))
+            seconds = time.monotonic() - self.began
+            rows = self.rows() if self.rows else None
+            self._tell(Progress(self.name, seconds, 1.0, rows, rows / seconds if rows is not None and seconds else None, 0.0, done=True))
 
     @property
     def progress(self) -> Progress:

@@ -30,8 +30,9 @@ def metrics_job(spark: SparkSession, inputs: Sequence[str], out: str | None = No
     for path in inputs:
         df = require_columns(spark.read.parquet(path), [text])
         result = metrics_a(df, text) if family == "a" else metrics_batch(df, text)
-        with telemetry.Watch(result, path.rstrip("/").rsplit("/", 1)[-1], report=report) as watch:
-            watch.df.write.mode("overwrite").parquet(target := output_name(path, out))
+        target = output_name(path, out)
+        with telemetry.Watch(spark, path.rstrip("/").rsplit("/", 1)[-1], rows=telemetry.rows_of(spark, target), report=report):
+            result.write.mode("overwrite").parquet(target)
         written.append(target)
     return written
 
@@ -98,8 +99,9 @@ def infer_job(spark: SparkSession, args: argparse.Namespace) -> None:
     requests = df.select(F.col(args.key_col).alias("key"), gen.prompt(F.coalesce(F.col(args.text_col), F.lit(""))).alias("prompt"))
     done = calls.answer(requests, f"{args.out.rstrip('/')}/calls", make, limits=calls.Limits(tries=args.tries, per_second=args.per_second), retry_dead=args.retry_dead)
     shown = done.select("key", gen.extract_answer(F.col("answer")).alias("answer"), "error", "tries")
-    with telemetry.Watch(shown, "infer") as watch:
-        watch.df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/answers")
+    out = f"{args.out.rstrip('/')}/answers"
+    with telemetry.Watch(spark, "infer", rows=telemetry.rows_of(spark, out)):
+        shown.write.mode("overwrite").parquet(out)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -152,8 +154,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif args.job == "classify":
         df, model = spark.read.parquet(args.input), ml.load(args.model)
         done = ml.classify(df, args.vector_col, model) if args.vector_col else ml.classify_texts(df, args.text_col, model)
-        with telemetry.Watch(done, "classify") as watch:
-            watch.df.write.mode("overwrite").parquet(args.out)
+        with telemetry.Watch(spark, "classify", rows=telemetry.rows_of(spark, args.out)):
+            done.write.mode("overwrite").parquet(args.out)
     else:
         score_rows(tables.read_csv(spark, args.input, None)).write.mode("overwrite").parquet(args.out)
 
