@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.checksums import CRC_TABLE, crc32
-from textloom.llm.runs import joined_sha256, placed
+from textloom.llm.runs import parts_of, placed, sha256_in_order
 from textloom.llm.scratch import materialize
 
 #: Fixed values of the contract: the damage by remainder, the costs, the pairs of neighbours that are legal.
@@ -48,8 +48,9 @@ STOPS = ".!?"
 
 #: Rows of a piece, and pieces that are joined at a time.
 PIECE = 64
-#: Pieces in a batch, about; rows copied out at a time.
+#: Pieces in a batch, about; rows copied out at a time; rows a task remembers to have sent.
 BATCH = 2000
+SEEN = 100_000
 #: Codes of a row by the initial of its role (s, u, a, another): whole, truncated, to be deleted.
 WHOLE, CUT, BAD = "suao", "SUAO", "0123"
 #: States of the grammar: nothing yet, after s, after u, after a. Those after which u and a may come, and the last ones allowed.
@@ -239,42 +240,100 @@ def solved(pieces: DataFrame) -> DataFrame:
     return parts.groupBy("conv").agg(F.min(whole).alias("best")).select("conv", "best.cost", "best.audit")
 
 
-def turns_of(audits: DataFrame) -> DataFrame:
-    """(conv, place, pos, role) of every repaired turn: the row it comes from (null: inserted) and the role it gets (null: its own)."""
+def kept_rows(audits: DataFrame) -> DataFrame:
+    """(conv, pos, place, role, before, after): the rows that stay, by their place among the repaired turns.
+
+    ``role`` is the one a row gets (null: its own); ``before`` and ``after`` are
+    the roles of the turns inserted next to it, ``after`` at the end only. No
+    conversation consists of inserted turns alone, as deleting is free of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        names = ["conv", "place", "pos", "role"]
-        out: list[tuple] = []
+        roles = pa.list_(pa.string())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), roles, roles)
+        names = ["conv", "pos", "place", "role", "before", "after"]
+        out: list[list] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
             for conv, audit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system = (len(audit) - audit.count("D")) % 2
-                place, pos = 0, 0
+                place, pos, added, last = 0, 0, [], None
                 for edit in audit:
                     if edit != "D":
-                        role = None if edit == "K" else ("user", "assistant")[(place - system) % 2]
-                        out.append((conv, place, None if edit == "I" else pos, role))
+                        role = ("user", "assistant")[(place - system) % 2]
+                        if edit == "I":
+                            added.append(role)
+                        else:
+                            last = [conv, pos, place, None if edit == "K" else role, added, []]
+                            out.append(last)
+                            added = []
                         place += 1
                     pos += edit != "I"
                     if len(out) >= 10 * BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                        out = []
+                        # The last row waits for what is inserted after it.
+                        out, held = out[:-1], out[-1]
+                        yield batch_of()
+                        out = [held]
+                if last:
+                    last[5] = added
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield batch_of()
+
+    return audits.select("conv", "audit").mapInArrow(run, "conv string, pos bigint, place bigint, role string, before array<string>, after array<string>")
+
 
-    return audits.select("conv", "audit").mapInArrow(run, "conv string, place bigint, pos bigint, role string")
+def _folded(texts: DataFrame) -> DataFrame:
+    """``texts`` without most copies of a (conv, turn, digest): those that a task meets again soon go before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            keep = []
+            for key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keep.append(key not in seen)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)
 
 
 def repaired(after: DataFrame, rows: DataFrame, audits: DataFrame) -> DataFrame:
-    """(conv, place, role, text) of the repaired conversations, from ``damaged``, ``numbered`` and ``solved`` rows."""
-    turns = materialize(turns_of(audits), "turns")
-    added = turns.where("pos IS NULL").select("conv", "place", "role", F.lit("").alias("text"))
-    stay = turns.where("pos IS NOT NULL").join(rows.select("conv", "pos", "turn", "digest"), ["conv", "pos"])
-    # Copies of a row have equal texts; one of them is taken before they are joined.
-    texts = after.select("conv", "turn", "digest", F.col("role").alias("own"), "text").dropDuplicates(["conv", "turn", "digest"])
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("conv", "turn", "digest")]
-    kept = stay.alias("s").join(texts.alias("t"), same).select("s.conv", "s.place", F.coalesce("s.role", "t.own").alias("role"), "t.text")
-    return kept.union(added)
+    """(conv, place, role, text) of the repaired conversations, from ``damaged``, ``numbered`` and ``solved`` rows.
+
+    Rows that stay meet their texts in the one shuffle of texts, by conversation:
+    both are sorted by (turn, digest), which is the order of the repaired turns.
+    So the result lies in order, too, each conversation in one partition, which
+    a digest of it needs anyhow; rows stream through, none is held.
+    """
+    # Written, so that the join is planned by their size, not by that of the audits they come from.
+    stay = materialize(kept_rows(audits), "kept").join(rows.select("conv", "pos", "turn", "digest"), ["conv", "pos"])
+    stay = stay.select("conv", "turn", "digest", F.lit(False).alias("is_text"), "place", "role", "before", "after", F.lit(None).cast("string").alias("text"))
+    texts = _folded(after.select("conv", "turn", "digest", "role", "text"))
+    texts = texts.select("conv", "turn", "digest", F.lit(True), F.lit(None).cast("bigint"), "role", F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), "text")
+    both = stay.union(texts).repartition(parts_of(after), "conv").sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "digest", "is_text")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list | None = None  # the last row that stays, until its text comes
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns[:8]]
+            for i, (conv, turn, digest, is_text, place, role, before, behind) in enumerate(zip(*columns, strict=True)):
+                if not is_text:
+                    waiting = [(conv, turn, digest), place, role, before, behind]
+                elif waiting and waiting[0] == (conv, turn, digest):
+                    _, at, given, before, behind = waiting
+                    turns = [*((x, "") for x in before), (role if given is None else given, batch.column(8)[i].as_py()), *((x, "") for x in behind)]
+                    out += [(conv, at - len(before) + k, *t) for k, t in enumerate(turns)]
+                    waiting = None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conv", "place", "role", "text"])
+
+    return both.mapInArrow(merge, "conv string, place bigint, role string, text string")
 
 
 def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -306,8 +365,7 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op11_repairs(conversations: DataFrame) -> DataFrame:
     """The registered query's columns: the report, with a digest of each repaired conversation."""
     report, turns = repair(conversations)
-    items = turns.select("conv", "place", F.concat("role", F.lit(":"), "text").alias("item"))
-    digests = joined_sha256(items, ["conv"], "place", "item", "\n", "repaired_sha256")
+    digests = sha256_in_order(turns.select("conv", F.concat("role", F.lit(":"), "text").alias("item")), ["conv"], "item", "\n", "repaired_sha256")
     return report.join(digests, "conv", "left").select(
         "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),

@@ -24,7 +24,7 @@ PIECE_CHARS = 1 << 20
 BATCH = 10_000
 
 
-def _ranges(df: DataFrame) -> int:
+def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -36,7 +36,7 @@ def placed(rows: DataFrame, key: str, order: Sequence[Column], name: str, weight
     are two rows a range at most: a proven bound for their broadcast.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    dealt = rows.withColumn("_w", weight).repartitionByRange(_ranges(rows), F.col(key).asc_nulls_first(), *order)
+    dealt = rows.withColumn("_w", weight).repartitionByRange(parts_of(rows), F.col(key).asc_nulls_first(), *order)
     dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), name)
     edges = dealt.groupBy("_range").agg(F.min(F.struct(key)).alias("lo"), F.max(F.struct(key)).alias("hi"))
     spanning = edges.select(F.col(f"lo.{key}").alias("_k")).intersect(edges.select(F.col(f"hi.{key}").alias("_k")))
@@ -107,9 +107,18 @@ def joined_sha256(items: DataFrame, keys: Sequence[str], order: str, item: str,
         if parts:
             yield (*key, first, separator.join(parts))
 
+    dealt = items.repartitionByRange(parts_of(items), *keys, order).sortWithinPartitions(*keys, order)
+    pieces = _streamed(dealt, [*keys, order, item], f"{_schema(items, [*keys, order])}, body string", join)
+    met = pieces.repartition(parts_of(items), *keys).sortWithinPartitions(*keys, order)
+    return sha256_in_order(met, keys, "body", separator, name)
+
+
+def sha256_in_order(items: DataFrame, keys: Sequence[str], item: str, separator: str, name: str = "sha256") -> DataFrame:
+    """(keys, ``name``) of items that are dealt by the keys already and lie in order in each partition; nothing is shuffled."""
+
     def digest(rows: Iterator[tuple]) -> Iterator[tuple]:
         key, sha = None, None
-        for *k, _, body in rows:
+        for *k, body in rows:
             if k == key:
                 sha.update(separator.encode())
             else:
@@ -120,7 +129,4 @@ def joined_sha256(items: DataFrame, keys: Sequence[str], order: str, item: str,
         if sha:
             yield (*key, sha.hexdigest())
 
-    dealt = items.repartitionByRange(_ranges(items), *keys, order).sortWithinPartitions(*keys, order)
-    pieces = _streamed(dealt, [*keys, order, item], f"{_schema(items, [*keys, order])}, body string", join)
-    met = pieces.repartition(_ranges(items), *keys).sortWithinPartitions(*keys, order)
-    return _streamed(met, [*keys, order, "body"], f"{_schema(items, keys)}, {name} string", digest)
+    return _streamed(items, [*keys, item], f"{_schema(items, keys)}, {name} string", digest)
