@@ -34,7 +34,7 @@ so others can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.bytewords import flat
 from textloom.llm.scratch import checked_broadcast, materialize
 
 SAMPLE = 2048
@@ -198,10 +199,11 @@ def search(queries: Tree, floor: np.ndarray, points: Tree, rank: np.ndarray, k:
 
 def unpack(values: pa.Array) -> np.ndarray:
     """Rows of equal length packed as little-endian doubles."""
-    return np.array([np.frombuffer(v, "<f8") for v in values.to_pylist()], np.float64).reshape(len(values), -1)
+    data, _ = flat(values)
+    return np.frombuffer(data.tobytes(), "<f8").astype(np.float64).reshape(len(values), -1) if len(values) else np.empty((0, 0))
 
 
-def quantised(x: list[float], scale: float) -> np.ndarray:
+def quantised(x: Sequence[float], scale: float) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.floor(scale * np.array(x, np.float64)) + 0.0  # one zero
     if not np.isfinite(out).all():
@@ -219,9 +221,12 @@ def encode(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [quantised(x, scale).tobytes() for x in batch.column(1).to_pylist()]
-            dims = pa.array([len(x) // 8 for x in packed], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), dims, pa.array(packed, pa.binary())], ["vec_id", "dim", "v"])
+            # All components of the batch at once; a vector's bytes are a slice of theirs.
+            x = quantised(batch.column(1).flatten().to_numpy(), scale)
+            dims = batch.column(1).value_lengths().to_numpy().astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(dims, dtype=np.int32) * 8]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(dims), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), packed], ["vec_id", "dim", "v"])
 
     finite = F.forall("x", lambda c: c.isNotNull() & (F.abs(c) < float("inf")))
     chosen = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
