@@ -89,3 +89,10 @@ def test_release_deletes_the_librarys_tables(spark):
     session.release(spark)
     assert not file.exists() and not Path(urlsplit(session.shared_folder(spark)).path).exists()
     session.release(spark)
+
+
+def test_variances_that_are_equal_once_rounded_go_by_name(spark):
+    rows = [("x", 1.0, 1.00001, 5.0), ("y", 2.0, 2.00003, 9.0)]
+    df = spark.createDataFrame(rows, "label string, b double, c double, d double")
+    top = describe.top_variance(df, "label", ("c", "b", "d"), 2, digits=3)
+    assert [tuple(r) for r in top.select("metric", "variance").collect()] == [("d", 8.0), ("b", 0.5)]

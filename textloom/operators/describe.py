@@ -74,9 +74,11 @@ def medians(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFrame:
     return percentiles(values, ["metric", label], [0.5]).select("metric", label, F.col("q")[0].alias("median"))
 
 
-def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int = 12) -> DataFrame:
-    """The metrics whose medians vary most over labels (sample variance)."""
+def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int = 12, digits: int | None = None) -> DataFrame:
+    """The metrics whose medians vary most over labels (sample variance); with ``digits``, variances are rounded first, and equal ones go by name."""
     spread = medians(df, label, metrics).groupBy("metric").agg(F.var_samp("median").alias("variance")).where("variance is not null")
+    if digits is not None:
+        spread = spread.withColumn("variance", F.round("variance", digits))
     return spread.orderBy(F.desc("variance"), "metric").limit(limit)
 
 
