@@ -19,6 +19,7 @@ from textloom.functions.let import let
 from textloom.functions.tokens import ngrams
 from textloom.operators import sgd
 from textloom.operators.sampling import stratified_split
+from textloom.session import small_batches
 
 #: Words of two or more letters, digits or ``_``.
 TERM = r"(?U)\b\w\w+\b"
@@ -31,18 +32,15 @@ def term_array(text: Column, max_n: int = 2) -> Column:
     return let(words, lambda w: F.concat(w, *grams(w)))
 
 
-def term_counts(text: Column, max_n: int = 2) -> Column:
-    """Array of (term, tf) for the n-grams of 1..max_n, counted within the row."""
-    return kernels.term_counts(max_n)(F.lower(F.coalesce(text, F.lit(""))))
-
-
-def vocabulary(counts: DataFrame, column: str, n_docs: int, max_features: int = 6000, min_df: int = 2) -> DataFrame:
+def vocabulary(df: DataFrame, text: str, max_n: int = 2, max_features: int = 6000, min_df: int = 2) -> DataFrame:
     """(term, df, idf) of the most frequent terms with enough documents; idf is ln((1 + n) / (1 + df)) + 1.
 
-    ``column`` has each document's ``term_counts``.
+    Terms are added up within tasks before they are shuffled.
     """
-    tf = counts.select(F.explode(column).alias("x")).select("x.term", "x.tf")
-    counted = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    n_docs = df.count()
+    small_batches(df.sparkSession)
+    totals = df.select(F.lower(F.col(text))).mapInArrow(kernels.term_totals(max_n), "term string, df bigint, total bigint")
+    counted = totals.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where(F.col("df") >= min_df)
     top = counted.orderBy(F.desc("total"), "term").limit(max_features)
     return top.select("term", "df", (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -50,19 +48,16 @@ def vocabulary(counts: DataFrame, column: str, n_docs: int, max_features: int =
 def tfidf(df: DataFrame, doc: str, text: str, max_n: int = 2, max_features: int = 6000, min_df: int = 2) -> DataFrame:
     """(doc, term, weight): L2-normalised tf-idf over the kept vocabulary, which is bounded by ``max_features``; ids are unique.
 
-    Terms are counted within the row, so only kept terms are shuffled, once by document.
+    Terms are counted within tasks and weighed within the row, so no document is shuffled.
     """
-    counts = df.select(doc, term_counts(F.col(text), max_n).alias("c"))
-    kept = counts.select(doc, F.explode("c").alias("x")).select(doc, "x.term", "x.tf").join(F.broadcast(vocabulary(counts, "c", df.count(), max_features, min_df)), "term")
-    listed = kept.groupBy(doc).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("x"))).alias("items"))
-    norm = F.sqrt(F.aggregate("items", F.lit(0.0), lambda acc, i: acc + i["x"] * i["x"]))
-    return listed.select(doc, norm.alias("norm"), F.explode("items").alias("i")).select(doc, "i.term", (F.col("i.x") / F.col("norm")).alias("weight"))
+    idf = {r.term: r.idf for r in vocabulary(df, text, max_n, max_features, min_df).collect()}  # max_features at most
+    weights = kernels.term_weights(max_n, idf)(F.lower(F.coalesce(text, F.lit(""))))
+    return df.select(doc, weights.alias("x")).select(doc, F.explode("x").alias("x")).select(doc, "x.term", "x.weight")
 
 
 def fit_tfidf(train: DataFrame, text: str, terms: str = "__terms", out: str = "features", max_n: int = 2, max_features: int = 6000, min_df: int = 2) -> PipelineModel:
     """L2-normalised tf-idf vectors of a ``term_array`` column, with the vocabulary and idf of the training rows alone."""
-    counts = train.select(term_counts(F.col(text), max_n).alias("c"))
-    rows = vocabulary(counts, "c", train.count(), max_features, min_df).orderBy("term").collect()  # max_features at most
+    rows = vocabulary(train, text, max_n, max_features, min_df).orderBy("term").collect()  # max_features at most
     if not rows:
         raise ValueError("no term is in enough documents")
     tf = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=terms, outputCol=f"{out}_tf")

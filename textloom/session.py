@@ -68,6 +68,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession | None = None, rows: int = 1000, size: int = 1 << 20) -> None:
+    """Lower the length and the bytes of Arrow batches, so that what a Python worker holds at once doesn't grow with a partition or with long texts."""
+    spark = spark or SparkSession.getActiveSession()
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, parse in (("maxRecordsPerBatch", rows, int), ("maxBytesPerBatch", size, in_bytes)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = parse(spark.conf.get(name))
+        if held <= 0 or held > most:
+            spark.conf.set(name, str(most))
+
+
 def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` (of written rows, each of bounded size) with a broadcast hint if it is counted to hold at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
