@@ -11,7 +11,7 @@ from textloom.functions.metrics import run_lengths
 from textloom.functions.tokens import ngrams, white_words
 from textloom.schemas import require_columns
 
-_OVERLAPS = kernels.overlap_counts(4)
+_OVERLAPS, _LIGHT = kernels.overlap_counts(4), kernels.light_counts()
 
 
 def score_tokens(text: Column) -> Column:
@@ -104,26 +104,16 @@ def pair_scores(c: Column) -> dict[str, Column]:
 
 def light_stats(text: Column) -> Column:
     """Struct of tokens, chars, unique, avg_word_len and avg_sent_len (rounded to 2)."""
-    text = F.coalesce(text, F.lit(""))
-    sents = F.regexp_count(text, F.lit(r"(?U)[^.!?\s][^.!?]*"))
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        chars = F.aggregate(w, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
-        return F.struct(
-            n.cast("bigint").alias("tokens"), F.length(text).cast("bigint").alias("chars"), F.size(F.array_distinct(w)).cast("bigint").alias("unique"),
-            F.round(ratio(chars, n), 2).alias("avg_word_len"), F.round(F.when(sents > 0, ratio(n, sents)).otherwise(n.cast("double")), 2).alias("avg_sent_len"),
-        )
-
-    return let(white_words(text), of)
+    c = _LIGHT(text)
+    n, sents = c["tokens"], c["sents"]
+    return F.struct(
+        n.alias("tokens"), c["chars"].alias("chars"), c["unique"].alias("unique"),
+        F.round(ratio(c["solid"], n), 2).alias("avg_word_len"), F.round(F.when(sents > 0, ratio(n, sents)).otherwise(n.cast("double")), 2).alias("avg_sent_len"),
+    )
 
 
 def summarize(original: Column, processed: Column) -> Column:
-    """Struct of both texts' stats, delta_tokens and token_reduction_pct."""
-
-    def of(s: Column) -> Column:
-        o, p = s["original"], s["processed"]
-        cut = F.when(o["tokens"] > 0, (1 - ratio(p["tokens"], o["tokens"])) * 100).otherwise(0.0)
-        return F.struct(o.alias("original"), p.alias("processed"), (p["tokens"] - o["tokens"]).alias("delta_tokens"), F.round(cut, 2).alias("token_reduction_pct"))
-
-    return let(F.struct(light_stats(original).alias("original"), light_stats(processed).alias("processed")), of)
+    """Struct of both texts' stats, delta_tokens and token_reduction_pct; each text is read once."""
+    o, p = light_stats(original), light_stats(processed)
+    cut = F.when(o["tokens"] > 0, (1 - ratio(p["tokens"], o["tokens"])) * 100).otherwise(0.0)
+    return F.struct(o.alias("original"), p.alias("processed"), (p["tokens"] - o["tokens"]).alias("delta_tokens"), F.round(cut, 2).alias("token_reduction_pct"))
