@@ -84,7 +84,7 @@ def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int =
 
 def box_statistics(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers by metric and label; a whisker is the furthest value within 1.5 times the quartile range."""
-    values = long_form(df, label, metrics)
+    values = written(long_form(df, label, metrics), "box-values")
     quart = percentiles(values, ["metric", label], [0.25, 0.5, 0.75])
     quart = quart.select("metric", label, "n", *(F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))))
     quart = checked_broadcast(written(quart, "quartiles"), GROUPS)
