@@ -99,3 +99,28 @@ def test_spans_equal_the_rule_for_each_word():
         begin = word.start if begin is None else begin
         last = word
     assert model.spans(text) == [*out, (begin, last.end)] and model.spans(" \n") == []
+
+
+def test_short_ways_equal_the_rules():
+    own, rules = tokenizer.Tokenizer(), tokenizer.Tokenizer()
+    for chunk in ("word", "word.", "Word,", "A.", "US.", "cannot", "cannot,", "don't.", "5km.", "dr.", "Dr.,", "a", "É.", "maß…", "www.a.org.", "x@y.org,"):
+        front, back, rest = [], [], chunk
+        while rest:  # the rules, one sign at a time, without the short ways
+            parts = rules.exceptions.get(rest.lower())
+            if parts:
+                ends = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+                front += [rest[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            elif tokenizer.URL.fullmatch(rest) or len(rest) == 1:
+                front.append(rest)
+            elif rest[0] in tokenizer.PREFIXES:
+                front.append(rest[0])
+                rest = rest[1:]
+                continue
+            elif size := rules._suffix(rest):
+                back.append(rest[-size:])
+                rest = rest[:-size]
+                continue
+            else:
+                front += rules._infixes(rest)
+            break
+        assert own(chunk) == front + back[::-1], chunk

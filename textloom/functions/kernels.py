@@ -168,19 +168,20 @@ def token_counts(stopwords: frozenset[str], tools: Tools = Tools()) -> Callable[
 
     def properties(token: str) -> tuple:
         """(word, stop, punctuation, upper, syllables, length, lower, difficult)."""
-        low = token.lower()
-        punctuation = all(unicodedata.category(c)[0] == "P" for c in token)
-        syllables = tools.syllables(low) if token.isalpha() else 1
+        low, word = token.lower(), token.isalpha()
+        punctuation = not token.isalnum() and all(unicodedata.category(c)[0] == "P" for c in token)
+        upper = not token.islower() and any(map(str.isupper, token))
+        syllables = tools.syllables(low) if word else 1
         difficult = syllables >= 3 if tools.familiar is None else not tools.familiar(low)
-        return token.isalpha(), low in stopwords, punctuation, any(map(str.isupper, token)), syllables, len(token), low, difficult
+        return word, low in stopwords, punctuation, upper, syllables, len(token), low, difficult
 
     get = Remembered(properties)
 
     def row(text: str) -> tuple:
         tokens = counts(text)
         n = syll = poly = upper = punct = stop = content = hard = 0
-        lengths: Counter = Counter()
-        types: Counter = Counter()
+        lengths: dict[int, int] = {}
+        types: dict[str, int] = {}
         for token, c in tokens.items():
             word, is_stop, is_punct, is_upper, syllables, length, low, difficult = get[token]
             stop += c * is_stop
@@ -192,8 +193,8 @@ def token_counts(stopwords: frozenset[str], tools: Tools = Tools()) -> Callable[
                 hard += c * difficult
                 upper += c * is_upper
                 content += c * (not is_stop)
-                lengths[length] += c
-                types[low] += c
+                lengths[length] = lengths.get(length, 0) + c
+                types[low] = types.get(low, 0) + c
         ordered = sorted(lengths.items())
         middles = _at(ordered, (n - 1) // 2) + _at(ordered, n // 2) if n else 0
         # Signs are no words, so the plain tokenizer needn't look for them here.

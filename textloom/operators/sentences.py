@@ -17,17 +17,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import written
+from textloom.functions.remember import Remembered
+from textloom.session import small_batches, written
 
 #: White space, and the signs around a word.
 TOKEN = re.compile(r"[^\t-\r \u00a0]+")
+SPACE = "\t\n\x0b\x0c\r \u00a0"
+#: A word that has one of the signs that may end a sentence.
+MARKED = re.compile(r"(?<![^\t-\r \u00a0])[^\t-\r \u00a0.!?]*+[.!?][^\t-\r \u00a0]*+")
 OPENERS, CLOSERS = "\"'([{<“‘«„", "\"')]}>”’»“‘"
 #: Scores from which a word is an abbreviation or a starter, and the share of an abbreviation's occurrences that have a stop.
 ABBREVIATION, STARTER, DOTTED = 0.3, 30.0, 0.99
@@ -46,23 +50,56 @@ class Word:
     stop: bool
 
 
+def _parts(token: str) -> tuple[str, str, bool]:
+    """A word without signs, its type, and whether it has a stop."""
+    if token.isalpha():
+        return token, token.lower(), False
+    core = token.lstrip(OPENERS).rstrip(CLOSERS)
+    body = core.rstrip(",;:")
+    return core, body.rstrip(".!?").lower(), body.endswith(".")
+
+
+def _word(token: str, start: int = 0) -> Word:
+    return Word(start, start + len(token), *_parts(token))
+
+
 def words(text: str) -> Iterator[Word]:
-    for m in TOKEN.finditer(text):
-        core = m[0].lstrip(OPENERS).rstrip(CLOSERS)
-        body = core.rstrip(",;:")
-        yield Word(m.start(), m.end(), core, body.rstrip(".!?").lower(), body.endswith("."))
+    return (_word(m[0], m.start()) for m in TOKEN.finditer(text))
 
 
 def is_initial(word: Word) -> bool:
     return len(word.type) == 1 and word.type.isalpha()
 
 
+#: Whether a word ends a sentence: never, always, or by the word after it.
+NEVER, ALWAYS, ASK = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class Model:
     """What has been learnt; ``Model(frozenset(), frozenset())`` knows initials and numbers only."""
 
     abbreviations: frozenset[str]
     starters: frozenset[str]
+    #: NEVER, ALWAYS or ASK of the words that have been met.
+    kinds: Remembered = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "kinds", Remembered(self.kind))
+
+    def __reduce__(self) -> tuple:
+        return Model, (self.abbreviations, self.starters)
+
+    def kind(self, token: str) -> int:
+        if token.isalpha():
+            return NEVER
+        word = _word(token)
+        if word.core.endswith(("!", "?")):
+            return ALWAYS
+        if not word.core.endswith("."):
+            return NEVER
+        open_ = word.core.endswith("..") or word.type in self.abbreviations or is_initial(word) or word.type.isdecimal()
+        return ASK if open_ else ALWAYS
 
     def ends(self, word: Word, after: Word | None) -> bool:
         """Whether a word ends a sentence, given the one after it."""
@@ -80,29 +117,43 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Where the sentences of a text begin and end."""
-        out, begin, last = [], None, None
-        for word in words(text):
-            if last is not None and self.ends(last, word):
-                out.append((begin, last.end))
-                begin = None
-            begin = word.start if begin is None else begin
-            last = word
-        return [*out, (begin, last.end)] if last is not None else out
+        first = TOKEN.search(text)
+        if first is None:
+            return []
+        out, begin = [], first.start()
+        for m, after in self.asked(text):
+            if self.kinds[m[0]] == ALWAYS or self.ends(_word(m[0]), _word(after[0])):
+                out.append((begin, m.end()))
+                begin = after.start()
+        return [*out, (begin, len(text.rstrip(SPACE)))]
+
+    def asked(self, text: str) -> Iterator[tuple[re.Match, re.Match]]:
+        """The words that may end a sentence, with the words after them."""
+        for m in MARKED.finditer(text):
+            if self.kinds[m[0]] != NEVER:
+                after = TOKEN.search(text, m.end())
+                if after is not None:
+                    yield m, after
 
     def __call__(self, text: str) -> list[str]:
         return [text[a:b] for a, b in self.spans(text)]
 
 
-def _counted(df: DataFrame, text: str, of: Callable[[str], Iterator[tuple[str, int]]], names: tuple[str, ...]) -> DataFrame:
-    """(type, names): sums of what ``of`` yields as (type, place of the name), added up within tasks first."""
+def _counted(df: DataFrame, text: str, of: Callable[[str], Iterable[str]], place: Callable[[bool], int], names: tuple[str, ...]) -> DataFrame:
+    """(type, names): counts of the words that ``of`` gives, by the place of their name (which a stop may tell), added up within tasks first."""
+    small_batches(df.sparkSession)
     schema = "type string, " + ", ".join(f"{n} bigint" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            types = list({t for t, _ in held})
-            columns = [pa.array(types, pa.string()), *(pa.array([held[t, i] for t in types], pa.int64()) for i in range(len(names)))]
+            sums: dict[str, list[int]] = {}
+            for token, c in held.items():
+                _, kind, stop = _parts(token)
+                if kind:
+                    sums.setdefault(kind, [0] * len(names))[place(stop)] += c
+            columns = [pa.array(list(sums), pa.string()), *(pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(len(names)))]
             return pa.RecordBatch.from_arrays(columns, ["type", *names])
 
         for batch in batches:
@@ -119,7 +170,7 @@ def _counted(df: DataFrame, text: str, of: Callable[[str], Iterator[tuple[str, i
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(type, dotted, plain): how often each word stands with a stop and without."""
-    return _counted(df, text, lambda t: ((w.type, 0 if w.stop else 1) for w in words(t) if w.type), ("dotted", "plain"))
+    return _counted(df, text, TOKEN.findall, lambda stop: 0 if stop else 1, ("dotted", "plain"))
 
 
 def abbreviation_score(words_in_all: float, dotted_in_all: float) -> Column:
@@ -146,16 +197,11 @@ def starter_score(words_in_all: float, breaks: float) -> Column:
     return F.when(p1 > p, -2 * (same - apart)).otherwise(-1.0)
 
 
-def starts(model: Model) -> Callable[[str], Iterator[tuple[str, int]]]:
-    """Counts of the words after sure ends: a word with its stop that is no abbreviation, initial or number, or one that ends in ! or ?."""
+def starts(model: Model) -> Callable[[str], Iterable[str]]:
+    """The words after sure ends: after one with its stop that is no abbreviation, initial or number, or one that ends in ! or ?."""
 
-    def of(text: str) -> Iterator[tuple[str, int]]:
-        last = None
-        for word in words(text):
-            sure = last is not None and (last.core.endswith(("!", "?")) or last.core.endswith(".") and not last.core.endswith("..") and last.type not in model.abbreviations and not is_initial(last) and not last.type.isdecimal())
-            if sure and word.type:
-                yield word.type, 0
-            last = word
+    def of(text: str) -> Iterable[str]:
+        return (after[0] for m, after in model.asked(text) if model.kinds[m[0]] == ALWAYS)
 
     return of
 
@@ -178,7 +224,7 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     if not n or not dotted or n == dotted:
         return Model(frozenset(), frozenset())
     abbreviations = _set(counts.where(F.col("type").rlike(r"\p{L}") & (F.col("dotted") > 0) & (abbreviation_score(n, dotted) >= ABBREVIATION)))
-    after = written(_counted(df, text, starts(Model(abbreviations, frozenset())), ("after",)), "starts")
+    after = written(_counted(df, text, starts(Model(abbreviations, frozenset())), lambda stop: 0, ("after",)), "starts")
     breaks = after.agg(F.sum("after")).first()[0] or 0
     if not 0 < breaks < n:
         return Model(abbreviations, frozenset())
@@ -193,4 +239,8 @@ def sentences(model: Model) -> Callable[[Column], Column]:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([model(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return run
+    def apply(text: Column) -> Column:
+        small_batches()
+        return run(text)
+
+    return apply
