@@ -31,8 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the least by doc_id, then by content hash.
 
-    Fingerprints miss such copies (see textloom.llm.near_copies), so candidates
-    come from minimum hashes and are confirmed on the shingles.
+    Candidates come by SimHash (tiled exact comparison, as in op10_simhash), then by
+    minimum hashes, as fingerprints miss many such copies (see
+    textloom.llm.near_copies); all are confirmed on the shingles.
     """
     return near_copies.deduplicate(docs.select(*COLUMNS))
 

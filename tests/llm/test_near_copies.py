@@ -76,3 +76,14 @@ def test_pipeline_equals_brute_force_with_jaccard_near_copies(spark, small):
     con.register("mixed", mixed)
     want = con.sql(sharding.oracle(16, "mixed")).to_arrow_table().select(["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
     assert got == sorted(tuple(r.values()) for r in want.to_pylist())
+
+
+def test_near_fingerprints_link_without_bands(spark):
+    words = [f"w{x}" for x in np.random.default_rng(3).integers(0, 5000, 4000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[::-1]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    content = F.xxhash64("doc_id", "text")
+    marked = near_copies.marks(df, "doc_id", "text", content).withColumn("bands", F.array(F.xxhash64("fp"))).persist()
+    ids = {r.doc_id: r.fp for r in marked.collect()}
+    found = {r.fp for r in near_copies.links(df, marked, "text", content).collect()}
+    assert found == {ids[1], ids[2]}

@@ -57,7 +57,11 @@ def fingerprints_of(texts: Iterable[bytes | None], width: int = 3) -> np.ndarray
     Bits are counted eight at a time in the byte lanes of 64-bit words, over
     segments short enough not to overflow, then summed by text.
     """
-    per_text = [shingle_hashes(t, width) for t in texts]
+    return majority([shingle_hashes(t, width) for t in texts])
+
+
+def majority(per_text: list[np.ndarray]) -> np.ndarray:
+    """``fingerprints_of`` texts whose shingle hashes are given."""
     sizes = np.array([len(h) for h in per_text], np.int64)
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
