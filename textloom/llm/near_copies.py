@@ -3,8 +3,8 @@
 Two texts are near copies if their sets of five-word shingles have a Jaccard
 similarity of 0.8 or more; a group is a connected component of such pairs.
 Candidates come by SimHash first: five-word fingerprints within RADIUS bits, by
-the tiled exact comparison of ``simhash``; of each such group every text is compared
-with one of them. Those links are confirmed and joined before anything else.
+the tiled exact comparison of ``simhash``; of each group of a tile pair every text is
+compared with one of them. Those links are confirmed with the first ones by bands.
 Further candidates share one of BANDS bands of ROWS minimum hashes: a pair at 0.8
 shares none with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6, and closer pairs
 far less often. The texts of a band's bucket are first compared with one of them, another
@@ -176,13 +176,16 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _alike(nodes: DataFrame) -> DataFrame:
-    """(u, v): candidates by SimHash, each set id of a group of near fingerprints with the least one."""
-    rooted = connected_components(fingerprint_links(nodes.select(F.col("sim").alias("fp")).distinct(), RADIUS), "a", "b").withColumnRenamed("node", "sim")
-    placed = materialize(nodes.join(checked_broadcast(rooted), "sim", "left").select("fp", "n", F.coalesce("root", "sim").alias("g")), "alike")
-    leads = placed.groupBy("g").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    pairs = placed.join(checked_broadcast(materialize(leads, "leads")), "g").where(F.col("fp") != F.col("lead.fp"))
-    near = F.least("n", "lead.n") * 5 >= F.greatest("n", "lead.n") * 4
-    return materialize(pairs.where(near).select(F.least("fp", "lead.fp").alias("u"), F.greatest("fp", "lead.fp").alias("v")), "pairs")
+    """(u, v): candidates by SimHash, the set ids of a fingerprint with the least of them, and the least ones of fingerprints that are linked."""
+    near = fingerprint_links(nodes.select(F.col("sim").alias("fp")).distinct(), RADIUS)
+    # Renamed once they are written: a projection right on a co-grouping makes Spark prune what its function reads.
+    near = checked_broadcast(materialize(near.distinct(), "near").select(F.col("a").alias("sim"), F.col("b").alias("other")))
+    leads = nodes.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("m"))
+    several = checked_broadcast(materialize(leads.where("m > 1").select("sim", "lead"), "leads"))
+    copies = nodes.join(several, "sim").select(F.struct("fp", "n").alias("x"), F.col("lead").alias("y"))
+    first = leads.join(near, "sim").select(F.col("lead").alias("x"), F.col("other").alias("sim"))
+    pairs = copies.union(first.join(leads, "sim").select("x", F.col("lead").alias("y"))).where("x.fp <> y.fp and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    return materialize(pairs.select(F.least("x.fp", "y.fp").alias("u"), F.greatest("x.fp", "y.fp").alias("v")), "pairs")
 
 
 def links(docs: DataFrame, marked: DataFrame, text_col: str, content: Column) -> DataFrame:
@@ -199,9 +202,8 @@ def links(docs: DataFrame, marked: DataFrame, text_col: str, content: Column) ->
     texts = docs.select(content.alias("content"), F.col(text_col).cast("string").alias("text")).join(held, "content", "left_semi").select("text")
     sets = materialize(_sets(texts), "sets")
 
-    found = materialize(_confirmed(alike, sets), "confirmed")
-    rooted = connected_components(found, "u", "v").withColumnRenamed("node", "fp")
-    open_ = open_.join(checked_broadcast(rooted), "fp", "left").select("key", "fp", "n", "m", F.coalesce("root", "fp").alias("c"))
+    open_ = open_.select("key", "fp", "n", "m", F.col("fp").alias("c"))
+    found = None
     for salt in range(STARS + 1):
         if salt < STARS:
             lead = F.min_by(F.struct("fp", "n", "c"), F.xxhash64("fp", "key", F.lit(salt))).alias("lead")
@@ -209,11 +211,12 @@ def links(docs: DataFrame, marked: DataFrame, text_col: str, content: Column) ->
             # 9 common >= 4 (a + b) and common <= min(a, b): sizes further apart can't reach 0.8.
             near = F.least("n", "lead.n") * 5 >= F.greatest("n", "lead.n") * 4
             pairs = open_.join(leads, "key").where(F.col("c") != F.col("lead.c")).where(near)
-            new = _confirmed(pairs.select(F.least("fp", "lead.fp").alias("u"), F.greatest("fp", "lead.fp").alias("v")).distinct(), sets)
+            pairs = pairs.select(F.least("fp", "lead.fp").alias("u"), F.greatest("fp", "lead.fp").alias("v"))
+            new = _confirmed((alike.union(pairs) if found is None else pairs).distinct(), sets)
         else:
             new = _across(open_, sets)
         new = materialize(new, "confirmed")
-        found = found.union(new)
+        found = new if found is None else found.union(new)
         rooted = connected_components(found, "u", "v").withColumnRenamed("node", "fp")
         if salt < STARS:
             placed = open_.drop("c").join(checked_broadcast(rooted), "fp", "left").select("key", "fp", "n", "m", F.coalesce("root", "fp").alias("c"))
