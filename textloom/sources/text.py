@@ -12,9 +12,12 @@ from pyspark.sql.types import StringType
 from pyspark.sql.utils import AnalysisException
 
 from textloom.functions.labels import source_of, stem
+from textloom.session import small_batches
 
 TXT = "*.[tT][xX][tT]"
 TXT_OR_MD = "*.{txt,md}"
+#: Bytes of files that a task reads, about, whatever their number.
+TASK_BYTES = 64 << 20
 
 
 @F.pandas_udf(StringType())
@@ -48,6 +51,12 @@ def list_files(spark: SparkSession, folder: str, glob: str = TXT) -> DataFrame:
     return found.select("path", F.col("length").alias("size"))
 
 
+def _in_few_tasks(files: DataFrame) -> DataFrame:
+    """``files`` in tasks of some TASK_BYTES: Spark counts each file as four megabytes, so small ones would make a task of every 32."""
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return files.coalesce(max(3 * files.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+
+
 def read_texts(spark: SparkSession, folder: str, glob: str = TXT, undecodable: str = "drop", required: bool = False) -> DataFrame:
     """(path, text) of the files below ``folder``, whole.
 
@@ -64,7 +73,8 @@ def read_texts(spark: SparkSession, folder: str, glob: str = TXT, undecodable: s
         raise
     if required and files.select("path").isEmpty():
         raise ValueError(f"no text files in {folder}")
-    return files.select(F.col("path"), DECODERS[undecodable](F.col("content")).alias("text"))
+    small_batches(spark)
+    return _in_few_tasks(files).select(F.col("path"), DECODERS[undecodable](F.col("content")).alias("text"))
 
 
 def relative(path: Column, root: str) -> Column:
