@@ -23,9 +23,13 @@ def _write_tree(rows: DataFrame, root: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else root.replace(":", "://", 1))
+        made: set[str] = set()
         for batch in batches:
             for path, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                folder = f"{base}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with fs.open_output_stream(f"{base}/{path}") as out:
                     out.write(body)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
