@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom import session
-from textloom.functions import cleaning, kernels, scoring, tokenizer
+from textloom.functions import cleaning, kernels, remember, scoring, tokenizer
 from textloom.operators import describe, ml, sentences, sgd
 
 LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "67108864"}
@@ -124,3 +124,23 @@ def test_short_ways_equal_the_rules():
                 front += rules._infixes(rest)
             break
         assert own(chunk) == front + back[::-1], chunk
+
+
+def test_long_keys_are_not_all_remembered(monkeypatch):
+    monkeypatch.setattr(remember, "CHARACTERS", 100)
+    held = remember.Remembered(len)
+    for k in range(50):
+        assert [held[key] for key in (f"{k:02}" * 20, f"{k:02}")] == [40, 2]
+        assert sum(map(len, held)) <= 100
+    assert held["x" * 1000] == 1000 and list(held) == ["x" * 1000]
+
+
+def test_long_words_are_counted_over_several_flushes(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "CHARACTERS", 100)
+    df = spark.createDataFrame([(f"{'x' * 90}{k % 3}. end",) for k in range(12)], "text string").coalesce(1)
+    sent = []
+    monkeypatch.setattr(type(df.groupBy()), "agg", lambda grouped, *columns: sent.append(grouped._df) or None)
+    sentences.word_counts(df, "text")
+    assert sent[0].count() > 4
+    monkeypatch.undo()
+    assert {tuple(r) for r in sentences.word_counts(df, "text").collect()} == {("end", 0, 12), *((f"{'x' * 90}{k}", 4, 0) for k in range(3))}

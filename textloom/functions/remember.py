@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Keys that are remembered at most.
-HELD = 1 << 16
+#: Keys that are remembered at most, and characters of them all.
+HELD, CHARACTERS = 1 << 16, 1 << 22
 
 
 class Remembered(dict):
@@ -14,10 +14,13 @@ class Remembered(dict):
     def __init__(self, of: Callable) -> None:
         super().__init__()
         self.of = of
+        self.characters = 0
 
     def __missing__(self, key: str):
-        if len(self) >= HELD:
+        self.characters += len(key)
+        if len(self) >= HELD or self.characters > CHARACTERS:
             self.clear()
+            self.characters = len(key)
         found = self[key] = self.of(key)
         return found
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.remember import Remembered
+from textloom.functions.remember import CHARACTERS, Remembered
 from textloom.session import small_batches, written
 
 #: White space, and the signs around a word.
@@ -35,7 +35,7 @@ MARKED = re.compile(r"(?<![^\t-\r \u00a0])[^\t-\r \u00a0.!?]*+[.!?][^\t-\r \u00a
 OPENERS, CLOSERS = "\"'([{<“‘«„", "\"')]}>”’»“‘"
 #: Scores from which a word is an abbreviation or a starter, and the share of an abbreviation's occurrences that have a stop.
 ABBREVIATION, STARTER, DOTTED = 0.3, 30.0, 0.99
-#: Words of either kind at most, and counts that a task holds before it sends them on.
+#: Words of either kind at most, and counts that a task holds before it sends them on (or CHARACTERS of their words).
 LIMIT, HELD = 1_000_000, 200_000
 
 
@@ -146,6 +146,7 @@ def _counted(df: DataFrame, text: str, of: Callable[[str], Iterable[str]], place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        most = 0  # characters of the held words, at most
 
         def flush() -> pa.RecordBatch:
             sums: dict[str, list[int]] = {}
@@ -158,10 +159,16 @@ def _counted(df: DataFrame, text: str, of: Callable[[str], Iterable[str]], place
 
         for batch in batches:
             for value in batch.column(0):
-                held.update(of(value.as_py() or ""))
-                if len(held) >= HELD:
+                read = value.as_py() or ""
+                held.update(of(read))
+                most += len(read)
+                full = len(held) >= HELD
+                if most >= 2 * CHARACTERS:
+                    most = sum(map(len, held))
+                    full |= most >= CHARACTERS
+                if full:
                     yield flush()
-                    held = Counter()
+                    held, most = Counter(), 0
         if held:
             yield flush()
 
