@@ -1,5 +1,6 @@
 """Correlations by co-moments, and descriptions whose summaries are broadcast."""
 
+import random
 from pathlib import Path
 from urllib.parse import urlsplit
 
@@ -96,3 +97,12 @@ def test_variances_that_are_equal_once_rounded_go_by_name(spark):
     df = spark.createDataFrame(rows, "label string, b double, c double, d double")
     top = describe.top_variance(df, "label", ("c", "b", "d"), 2, digits=3)
     assert [tuple(r) for r in top.select("metric", "variance").collect()] == [("d", 8.0), ("b", 0.5)]
+
+
+def test_percentiles_of_a_sketch_that_differs_each_time(spark, monkeypatch):
+    sketch = F.percentile_approx
+    wider = F.udf(lambda b: [x + random.randrange(400) * (1 if i % 2 else -1) for i, x in enumerate(b)], "array<double>")
+    monkeypatch.setattr(describe.F, "percentile_approx", lambda *a: wider(sketch(*a)))
+    values = spark.range(20_001, numPartitions=8).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 20_011).cast("double").alias("value"))
+    want = {r.k: r.q for r in values.groupBy("k").agg(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).collect()}
+    assert {r.k: r.q for r in describe.percentiles(values, ["k"], [0.25, 0.5, 0.75]).collect()} == want

@@ -46,6 +46,8 @@ def percentiles(values: DataFrame, keys: Sequence[str], shares: Sequence[float])
     margin = 2.0 / ACCURACY
     ends = F.array(*(F.lit(float(min(1.0, max(0.0, p + d)))) for p in shares for d in (-margin, margin)))
     groups = held.groupBy("__key").agg(*(F.first(k).alias(k) for k in keys), F.count("*").alias("n"), F.percentile_approx("value", ends, F.lit(ACCURACY)).alias("b"))
+    # A sketch depends on the order in which its parts arrive: computed again, it gives other brackets, and counts of one don't fit values of another.
+    groups = written(groups, "brackets")
     place = lambda p: (F.col("n") - 1) * p
     targets = F.array(*(F.struct(F.lit(i).alias("i"), F.col("b")[2 * i].alias("lo"), F.col("b")[2 * i + 1].alias("hi"), place(p).alias("at")) for i, p in enumerate(shares)))
     wanted = groups.select("__key", F.explode(targets).alias("t")).select("__key", "t.*")
@@ -60,9 +62,10 @@ def percentiles(values: DataFrame, keys: Sequence[str], shares: Sequence[float])
     ranked = inside.withColumn("end", F.sum("c").over(Window.partitionBy(*one).orderBy("value"))).join(outside, one)
     low, high = F.floor("at"), F.ceil("at")
     holds = lambda rank: F.max(F.when((F.col("below") + F.col("end") - F.col("c") <= rank) & (rank < F.col("below") + F.col("end")), value))
-    found = ranked.groupBy(*one).agg(*(F.first(c).alias(c) for c in ("at", "below", "under", "over")), holds(low).alias("a"), holds(high).alias("z"))
+    found = ranked.groupBy(*one).agg(*(F.first(c).alias(c) for c in ("at", "below", "under", "over")), F.max("end").alias("held"), holds(low).alias("a"), holds(high).alias("z"))
     # A neighbour's rank may lie one beyond the bracket.
-    a, z = (F.coalesce(F.col(c), F.when(rank < F.col("below"), F.col("under")).otherwise(F.col("over"))) for c, rank in (("a", low), ("z", high)))
+    beyond = lambda rank: F.when(rank == F.col("below") - 1, F.col("under")).when(rank == F.col("below") + F.col("held"), F.col("over")).otherwise(F.raise_error(F.lit("a sketch missed a percentile")))
+    a, z = (F.coalesce(F.col(c), beyond(rank)) for c, rank in (("a", low), ("z", high)))
     between = F.when(a == z, a).otherwise((high - F.col("at")) * a + (F.col("at") - low) * z)
     q = found.select("__key", F.struct("i", between.alias("v")).alias("x")).groupBy("__key").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("q"))
     return groups.drop("b").join(q, "__key").select(*keys, "n", "q")
