@@ -8,13 +8,14 @@ from conftest import same_rows
 
 from textloom.plans import queries
 
-TEXTS = ["", "a", "Two words.", "", "", "", "\u00e9t\u00e9", "x\n", "", "\u4e2d\u6587", "aaa", ""]
+#: Empty ones, and some whose Latin-1 bytes pass for UTF-8 or that end in a line separator.
+TEXTS = ["", "a", "Two words.", "", "", "", "\u00e9t\u00e9", "x\n", "", "\u4e2d\u6587", "aaa", "\u00c3\u00a9", "a\u2028", "a\u0085", "caf\u00e9 \u00c3\u00a9", ""]
 
 
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
     folder = tmp_path_factory.mktemp("odd")
-    columns = {"doc_id": range(len(TEXTS)), "text": TEXTS, "lang": ["en"] * len(TEXTS), "source": ["s0", "s1", "s1", None] * 3, "n_chars": map(len, TEXTS)}
+    columns = {"doc_id": range(len(TEXTS)), "text": TEXTS, "lang": ["en"] * len(TEXTS), "source": ["s0", "s1", "s1", None] * 4, "n_chars": map(len, TEXTS)}
     pq.write_table(pa.table({k: list(v) for k, v in columns.items()}), folder / "documents.parquet")
     return str(folder)
 
@@ -25,6 +26,6 @@ def equals_sql(spark, folder, name):
     same_rows(queries.queries()[name](spark, folder), con, queries.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["q19_entropy_chars"])
+@pytest.mark.parametrize("name", ["q19_entropy_chars", "q74_text_tree"])
 def test_empty_texts(spark, odd, name):
     equals_sql(spark, odd, name)
