@@ -26,6 +26,6 @@ def equals_sql(spark, folder, name):
     same_rows(queries.queries()[name](spark, folder), con, queries.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["q19_entropy_chars", "q74_text_tree"])
+@pytest.mark.parametrize("name", ["q19_entropy_chars", "q74_text_tree", "q75_latin_1_files"])
 def test_empty_texts(spark, odd, name):
     equals_sql(spark, odd, name)

@@ -15,6 +15,8 @@ from textloom.sources import sinks, tables, text
 
 R = C.Registry()
 
+#: Folders that the Latin-1 files are dealt over.
+FOLDERS = 64
 _LABEL = "CASE WHEN doc_id % 2 = 0 THEN 'pls' ELSE 'no_pls' END"
 
 
@@ -56,11 +58,14 @@ def q74_text_tree(spark, d):
 
 @R.add("SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS name, md5(text) AS body FROM documents")
 def q75_latin_1_files(spark, d):
-    """Texts that Latin-1 can hold are written in it and read back by the fallback, others in UTF-8."""
+    """Texts that Latin-1 can hold are written in it, unless they would pass for UTF-8, and read back by the fallback, others in UTF-8."""
     root = f"{shared_folder(spark)}/latin-{C.fresh()}"
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
-    plain = F.col("text").rlike(r"^[\x00-\xFF]*$")
-    docs = C.documents(spark, d).select(name.alias("path"), F.when(plain, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("body"))
+    latin = F.when(F.col("text").rlike(r"\A[\x00-\xFF]*\z"), F.encode("text", "ISO-8859-1"))
+    plain = latin.isNotNull() & ~F.is_valid_utf8(latin.cast("string"))
+    # Folders of a bounded share of the files each, so that no task lists them all.
+    path = F.concat_ws("/", F.pmod("doc_id", F.lit(FOLDERS)).cast("string"), name)
+    docs = C.documents(spark, d).select(path.alias("path"), F.when(plain, latin).otherwise(F.encode("text", "UTF-8")).alias("body"))
     _write_tree(docs, root)
     read = text.read_texts(spark, root, text.TXT_OR_MD, "latin-1", required=True)
     return read.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.md5(F.encode("text", "UTF-8")).alias("body"))
