@@ -17,15 +17,22 @@ def odd(tmp_path_factory):
     folder = tmp_path_factory.mktemp("odd")
     columns = {"doc_id": range(len(TEXTS)), "text": TEXTS, "lang": ["en"] * len(TEXTS), "source": ["s0", "s1", "s1", None] * 4, "n_chars": map(len, TEXTS)}
     pq.write_table(pa.table({k: list(v) for k, v in columns.items()}), folder / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": list(range(len(TEXTS))), "quality": [0, 1, None, 1] * 4, "toxic": [0] * len(TEXTS)}), folder / "labels.parquet")
     return str(folder)
 
 
 def equals_sql(spark, folder, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     same_rows(queries.queries()[name](spark, folder), con, queries.oracle_sql()[name])
 
 
 @pytest.mark.parametrize("name", ["q19_entropy_chars", "q74_text_tree", "q75_latin_1_files"])
 def test_empty_texts(spark, odd, name):
     equals_sql(spark, odd, name)
+
+
+@pytest.mark.parametrize("name", ["q47_median_by_label", "q48_topvar_metrics", "q49_boxstats", "q50_histogram_density"])
+def test_documents_without_a_label(spark, odd, name):
+    equals_sql(spark, odd, name)

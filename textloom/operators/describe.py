@@ -71,15 +71,15 @@ def percentiles(values: DataFrame, keys: Sequence[str], shares: Sequence[float])
     return groups.drop("b").join(q, "__key").select(*keys, "n", "q")
 
 
-def medians(df: DataFrame, label: str, metrics: Sequence[str]) -> DataFrame:
-    """(metric, label, median) of every metric."""
-    values = long_form(df.where(F.col(label).isNotNull()), label, metrics)
+def medians(df: DataFrame, label: str, metrics: Sequence[str], unlabelled: bool = False) -> DataFrame:
+    """(metric, label, median) of every metric; with ``unlabelled``, rows without a label are a group, too."""
+    values = long_form(df if unlabelled else df.where(F.col(label).isNotNull()), label, metrics)
     return percentiles(values, ["metric", label], [0.5]).select("metric", label, F.col("q")[0].alias("median"))
 
 
-def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int = 12, digits: int | None = None) -> DataFrame:
+def top_variance(df: DataFrame, label: str, metrics: Sequence[str], limit: int = 12, digits: int | None = None, unlabelled: bool = False) -> DataFrame:
     """The metrics whose medians vary most over labels (sample variance); with ``digits``, variances are rounded first, and equal ones go by name."""
-    spread = medians(df, label, metrics).groupBy("metric").agg(F.var_samp("median").alias("variance")).where("variance is not null")
+    spread = medians(df, label, metrics, unlabelled).groupBy("metric").agg(F.var_samp("median").alias("variance")).where("variance is not null")
     if digits is not None:
         spread = spread.withColumn("variance", F.round("variance", digits))
     return spread.orderBy(F.desc("variance"), "metric").limit(limit)
